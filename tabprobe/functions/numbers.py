@@ -71,7 +71,7 @@ def period_split(df: DataFrame, name: str, split: object) -> Column:
 def decimal_places(value: Column) -> Column:
     """Digits after the point of the shortest decimal text; a whole number counts as one."""
     text = value.cast("string").try_cast("decimal(38,18)").cast("string")
-    tail = F.element_at(F.split(F.rtrim(F.lit("0"), text), r"\."), -1)
+    tail = F.element_at(F.split(F.rtrim(text, F.lit("0")), r"\."), -1)
     return F.when(value.isNotNull(), F.greatest(F.lit(1), F.coalesce(F.length(tail), F.lit(1))))
 
 
