@@ -50,11 +50,7 @@ def is_bool_token(value: Column) -> Column:
 
 def normalise_numeric(value: Column) -> Column:
     """Strip brackets (negative), currency signs, thousands commas and a trailing percent sign."""
-    text = F.trim(value)
-    text = F.when(
-        (F.length(text) >= 2) & text.startswith("(") & text.endswith(")"),
-        F.concat(F.lit("-"), F.trim(F.regexp_replace(text, r"^\(|\)$", ""))),
-    ).otherwise(text)
+    text = F.regexp_replace(F.trim(value), r"^(?s)\(\s*(.*?)\s*\)$", "-$1")
     text = F.regexp_replace(text, r"[$€£¥]", "")
     text = F.regexp_replace(text, r"(?<=\d),(?=\d{3}(\D|$))", "")
     text = F.regexp_replace(text, r"%$", "")

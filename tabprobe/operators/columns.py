@@ -58,10 +58,10 @@ def distinct_reaches(df: DataFrame, wanted: dict[str, int]) -> dict[str, bool]:
 
 
 def numeric_features(
-    df: DataFrame, outcome: str, min_unique: int, drop: tuple[str, ...] = ()
+    df: DataFrame, outcome: str, min_unique: int
 ) -> list[str]:
     """Numeric columns other than the outcome with at least ``min_unique`` values."""
-    names = [n for n in number_columns(df) if n != outcome and n not in drop]
+    names = [n for n in number_columns(df) if n != outcome]
     if not names:
         return []
     reaches = distinct_reaches(df, {n: min_unique for n in names})
