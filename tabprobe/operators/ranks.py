@@ -74,13 +74,12 @@ def _bucketed(
         rows.join(sizes.share(wanted), by)
         .where(F.pmod(F.xxhash64(value), F.lit(_HASH_RANGE)) < F.col("_share"))
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_set(value)).alias("_cuts"))
+        # At most 2**16 - 1 cuts are searched; hashing may give a few more than asked for.
+        .agg(F.slice(F.array_sort(F.collect_set(value)), 1, most).alias("_cuts"))
     )
-    layout = wanted.select(*by).join(sizes.share(cuts), by, "left")
-    # At most 2**16 - 1 cuts are searched; hashing may give a few more than asked for.
-    searched = F.slice(F.col("_cuts"), 1, most)
-    bucketed = rows.join(sizes.share(layout), by).withColumn(
-        "_bucket", F.when(F.col("_cuts").isNull(), 0).otherwise(bucket_of(F.col(value), searched))
+    bucketed = rows.join(sizes.share(cuts), by, "left").withColumn(
+        "_bucket",
+        F.when(F.col("_cuts").isNull(), 0).otherwise(bucket_of(F.col(value), F.col("_cuts"))),
     ).drop("_cuts")
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_held")).withColumn(
