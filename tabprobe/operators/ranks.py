@@ -78,8 +78,7 @@ def _bucketed(
         .agg(F.slice(F.array_sort(F.collect_set(value)), 1, most).alias("_cuts"))
     )
     bucketed = rows.join(sizes.share(cuts), by, "left").withColumn(
-        "_bucket",
-        F.when(F.col("_cuts").isNull(), 0).otherwise(bucket_of(F.col(value), F.col("_cuts"))),
+        "_bucket", F.coalesce(bucket_of(F.col(value), F.col("_cuts")), F.lit(0))
     ).drop("_cuts")
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_held")).withColumn(
@@ -106,6 +105,12 @@ def order_statistics(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Values at 0-based positions ``k`` of ``wanted(by..., k)`` in each group's sorted order."""
+    if not by:
+        whole = order_statistics(
+            rows.withColumn("_all", F.lit(0)), ["_all"], value, wanted.withColumn("_all", F.lit(0)),
+            sizes, small_group, rows_per_bucket,
+        )
+        return whole.drop("_all")
     small_group = SMALL_GROUP if small_group is None else small_group
     rows = rows.select(*by, F.col(value).alias("_value")).where(F.col("_value").isNotNull())
     sizes = sizes or group_sizes(rows, by, "_value")
@@ -138,6 +143,9 @@ def quantiles(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: ``(by..., quantiles array<double>)``."""
+    if not by:
+        whole = rows.withColumn("_all", F.lit(0))
+        return quantiles(whole, ["_all"], value, probs, small_group, rows_per_bucket).drop("_all")
     small_group = SMALL_GROUP if small_group is None else small_group
     rows = rows.select(*by, F.col(value).cast("double").alias("_value"))
     sizes = group_sizes(rows, by, "_value")
@@ -194,6 +202,9 @@ def value_ranks(
     ``mid_rank`` is the 1-based average rank of the tied rows. ``extra`` are aggregates of the
     rows behind each value.
     """
+    if not by:
+        whole = rows.withColumn("_all", F.lit(0))
+        return value_ranks(whole, ["_all"], value, extra, small_group, rows_per_bucket).drop("_all")
     small_group = SMALL_GROUP if small_group is None else small_group
     rows = rows.where(F.col(value).isNotNull()).withColumn("_value", F.col(value))
     sizes = group_sizes(rows, by, "_value")
