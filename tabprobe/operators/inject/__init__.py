@@ -35,7 +35,13 @@ def inject(
     df: DataFrame, injector: str, params: dict, seed: int, key: str = "row_id",
     ids: list[str] | None = None,
 ) -> Injection:
-    """Run one injector under the seed of its specification."""
+    """Run one injector under the seed of its specification.
+
+    A column parameter that names no column (a slot was left open) rejects the injection.
+    """
+    absent = [v for k, v in params.items() if k.endswith("_col") and v not in df.columns]
+    if absent:
+        return Injection(injector, df, params).reject(f"no column {absent[0]}")
     own = spec_seed(seed, injector, {k: str(v) for k, v in params.items()})
     if ids and injector in RENAMING:
         params = {**params, "id_no_cols": list(ids)}

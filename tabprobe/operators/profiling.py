@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ _PREFILTER_MARGIN = 4
 _FIRST_ROWS = 10_000
 
 
+class CellCounts(NamedTuple):
+    rows: int
+    held: list[int]
+    near: list[int]
+
+
 def cell_rows(df: DataFrame, key: str) -> DataFrame:
     """Every non-blank cell as text: ``(column, position, row, cell)``."""
     names = df.columns
@@ -36,28 +44,44 @@ def row_draw(seed: int, key: Column, position: Column) -> Column:
     return F.substr(digest(seed, "cell", key), F.lit(1) + position % 24, F.lit(8))
 
 
-def column_sample(df: DataFrame, key: str, seed: int = 0, size: int = SAMPLE) -> DataFrame:
+def cell_counts(df: DataFrame, key: str) -> CellCounts:
+    """Rows, and non-blank cells per column in all rows and among the first row ids, in one pass."""
+    near = F.col(f"`{key}`") <= _FIRST_ROWS
+    shown = [F.coalesce(F.trim(F.col(f"`{n}`").cast("string")) != "", F.lit(False)) for n in df.columns]
+    found = df.agg(
+        F.count("*").alias("rows"),
+        F.array(*[F.count_if(c) for c in shown]).alias("held"),
+        F.array(*[F.count_if(c & near) for c in shown]).alias("near"),
+    ).first()
+    return CellCounts(found["rows"], found["held"], found["near"])
+
+
+def column_sample(
+    df: DataFrame, key: str, seed: int = 0, size: int = SAMPLE, counts: CellCounts | None = None
+) -> DataFrame:
     """Up to ``size`` random non-blank cells of each column.
 
     The rank limit is applied in every task before the shuffle. On large tables a threshold on
     the draw first drops nearly all cells; counts per column prove that enough of them pass, and
     a column where they do not is left unfiltered.
     """
+    counts = counts or cell_counts(df, key)
     cells = cell_rows(df, key).withColumn("draw", row_draw(seed, F.col("row"), F.col("position")))
-    names = df.columns
-    blank = {n: F.col(f"`{n}`").isNull() | (F.trim(F.col(f"`{n}`").cast("string")) == "") for n in names}
-    held = df.agg(*[F.count_if(~blank[n]).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    if max(held, default=0) > _PREFILTER_ROWS:
+    if max(counts.held, default=0) > _PREFILTER_ROWS:
         limits = [
-            "%08x" % min(2**32 - 1, int(2**32 * size * _PREFILTER_MARGIN / max(1, n))) for n in held
+            "%08x" % min(2**32 - 1, int(2**32 * size * _PREFILTER_MARGIN / max(1, n)))
+            for n in counts.held
         ]
         passing = df.agg(*[
-            F.count_if(~blank[n] & (row_draw(seed, F.col(f"`{key}`"), F.lit(i)) < limits[i])).alias(
-                f"c{i}")
-            for i, n in enumerate(names)
+            F.count_if(
+                (F.trim(F.col(f"`{n}`").cast("string")) != "")
+                & (row_draw(seed, F.col(f"`{key}`"), F.lit(i)) < limits[i])
+            ).alias(f"c{i}")
+            for i, n in enumerate(df.columns)
         ]).first()
         limits = [
-            limit if passing[i] >= min(size, held[i]) else "g" for i, limit in enumerate(limits)
+            limit if passing[i] >= min(size, counts.held[i]) else "g"
+            for i, limit in enumerate(limits)
         ]
         listed = F.array(*[F.lit(limit) for limit in limits])
         cells = cells.where(F.col("draw") < F.element_at(listed, F.col("position") + 1))
@@ -65,31 +89,29 @@ def column_sample(df: DataFrame, key: str, seed: int = 0, size: int = SAMPLE) ->
     return cells.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
 
 
-def first_cells(df: DataFrame, key: str, size: int = SAMPLE) -> DataFrame:
-    """The first ``size`` non-blank cells of each column in row order."""
-    names = df.columns
-    near = F.col(f"`{key}`") <= _FIRST_ROWS
-    shown = {n: F.trim(F.col(f"`{n}`").cast("string")) != "" for n in names}
-    counts = df.agg(
-        *[F.count_if(near & shown[n]).alias(f"c{i}") for i, n in enumerate(names)],
-        *[F.count_if(shown[n]).alias(f"n{i}") for i, n in enumerate(names)],
-    ).first()
-    enough = all(
-        counts[f"c{i}"] >= min(size, counts[f"n{i}"]) for i in range(len(names))
-    )
+def first_cells(
+    df: DataFrame, key: str, size: int = SAMPLE, counts: CellCounts | None = None
+) -> DataFrame:
+    """The first ``size`` non-blank cells of each column in row order.
+
+    Only the lowest row ids are read when they hold enough cells of every column.
+    """
+    counts = counts or cell_counts(df, key)
+    enough = all(near >= min(size, held) for near, held in zip(counts.near, counts.held))
     order = Window.partitionBy("position").orderBy("row")
-    return cell_rows(df.where(near) if enough else df, key).withColumn(
-        "place", F.row_number().over(order)
-    ).where(F.col("place") <= size)
+    rows = df.where(F.col(f"`{key}`") <= _FIRST_ROWS) if enough else df
+    return cell_rows(rows, key).withColumn("place", F.row_number().over(order)).where(
+        F.col("place") <= size
+    )
 
 
-def sequential_ids(df: DataFrame, key: str) -> DataFrame:
+def sequential_ids(df: DataFrame, key: str, counts: CellCounts | None = None) -> DataFrame:
     """Columns whose first cells are 1, 2, 3, ...: ``(column, sequential)``."""
-    rows = df.count()
-    cells = first_cells(df, key)
+    counts = counts or cell_counts(df, key)
+    cells = first_cells(df, key, SAMPLE, counts)
     follows = F.coalesce(X.parse_int(F.col("cell")) == F.col("place"), F.lit(False))
     return cells.groupBy("column").agg(
-        (F.bool_and(follows) & (F.count("*") >= min(20, rows))).alias("sequential")
+        (F.bool_and(follows) & (F.count("*") >= min(20, counts.rows))).alias("sequential")
     )
 
 
@@ -98,44 +120,26 @@ def vote(cells: DataFrame) -> DataFrame:
     cell = F.col("cell")
     normalised = X.normalise_numeric(cell)
     known = ~X.is_missing(cell)
-    tagged = cells.withColumns({
-        "known": known,
-        "bool_form": known & X.is_bool_token(cell),
-        "moment": X.parse_datetime(cell).isNotNull(),
-        "int_form": X.is_int_text(normalised),
-        "float_form": X.is_float_text(normalised),
-        "form": X.clean(cell),
-        "whole": X.parse_int(cell),
-        "number": cell.try_cast("double"),
-    })
-    # A column is boolean only as a whole: every known cell, in at most six spellings.
-    # The sample has at most SAMPLE rows per column, so this window stays tiny.
-    of = Window.partitionBy("column")
-    tagged = tagged.withColumn(
-        "all_bool",
-        (F.count_if(F.col("known") & ~F.col("bool_form")).over(of) == 0)
-        & (F.size(F.collect_set(F.when(F.col("known"), F.col("form"))).over(of)) <= 6),
-    )
-    form = (
-        F.when(~F.col("known"), F.lit(None).cast("string"))
-        .when(F.col("all_bool"), "bool")
-        .when(F.col("moment"), "datetime")
-        .when(F.col("int_form"), "int")
-        .when(F.col("float_form"), "float")
-        .otherwise("string")
-    )
-    number = F.col("number")
+    number = cell.try_cast("double")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
-    counts = tagged.withColumn("as", form).groupBy("column", "position").agg(
-        F.count("as").alias("total"),
-        *[F.count_if(F.col("as") == t).alias(t) for t in ("bool", "int", "float", "datetime", "string")],
-        F.count_distinct("cell").alias("unique_count"),
-        F.count("whole").alias("wholes"),
-        (F.max("whole") - F.min("whole")).alias("span"),
-        F.bool_and(finite).alias("all_finite"),
-        F.count("*").alias("cells"),
-        F.count_distinct("number").alias("numbers"),
-        F.coalesce(F.bool_or(number != F.floor(number)), F.lit(False)).alias("fractional"),
+    tagged = cells.select(
+        "column", "position", "cell", known.alias("known"),
+        (known & X.is_bool_token(cell)).alias("bool_form"), X.clean(cell).alias("form"),
+        F.when(known, F.when(X.parse_datetime(cell).isNotNull(), "datetime")
+               .when(X.is_int_text(normalised), "int").when(X.is_float_text(normalised), "float")
+               .otherwise("string")).alias("as"),
+        X.parse_int(cell).alias("whole"), number.alias("number"), finite.alias("finite"),
+    )
+    # The sets below hold at most SAMPLE cells per column.
+    counts = tagged.groupBy("column", "position").agg(
+        F.count_if("known").alias("total"), F.count_if("bool_form").alias("bool_forms"),
+        F.size(F.collect_set(F.when(F.col("known"), F.col("form")))).alias("forms"),
+        *[F.count_if(F.col("as") == t).alias(t) for t in ("int", "float", "datetime", "string")],
+        F.size(F.collect_set("cell")).alias("unique_count"),
+        F.count("whole").alias("wholes"), (F.max("whole") - F.min("whole")).alias("span"),
+        F.bool_and("finite").alias("all_finite"), F.count("*").alias("cells"),
+        F.size(F.collect_set("number")).alias("numbers"),
+        F.coalesce(F.bool_or(F.col("number") != F.floor("number")), F.lit(False)).alias("fractional"),
     )
     total = F.col("total")
 
@@ -143,11 +147,13 @@ def vote(cells: DataFrame) -> DataFrame:
         return F.try_divide(sum((F.col(n) for n in names), F.lit(0)), total)
 
     numeric_type = F.when(F.col("float") > 0, "float").otherwise("int")
-    others = F.col("bool") + F.col("datetime") + F.col("string")
+    others = F.col("datetime") + F.col("string")
+    # A column is boolean only as a whole: every known cell, in at most six spellings.
+    all_bool = (F.col("bool_forms") == total) & (F.col("forms") <= 6)
     dtype = (
         F.when(total == 0, "empty")
+        .when(all_bool, "bool")
         .when((F.col("datetime") > 0) & (share("datetime") >= DOMINANT), "datetime")
-        .when(share("bool") >= DOMINANT, "bool")
         .when((share("int") >= DOMINANT) | (share("float") >= DOMINANT), numeric_type)
         .when(share("string") >= DOMINANT, "string")
         .when((share("int", "float") >= DOMINANT) & (others == 0), numeric_type)
@@ -184,10 +190,11 @@ def profile(df: DataFrame, dataset: str, key: str = "row_id", seed: int = 0) ->
     """
     spark = df.sparkSession
     names = spark.createDataFrame(list(enumerate(df.columns)), "position int, column string")
-    counts = vote(column_sample(df, key, seed)).drop("position")
+    held = cell_counts(df, key)
+    votes = vote(column_sample(df, key, seed, SAMPLE, held)).drop("position")
     found = (
-        names.join(F.broadcast(counts), "column", "left")
-        .join(F.broadcast(sequential_ids(df, key)), "column", "left")
+        names.join(F.broadcast(votes), "column", "left")
+        .join(F.broadcast(sequential_ids(df, key, held)), "column", "left")
     )
     empty = F.col("dtype").isNull()
     return found.select(
