@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from suite.base import as_bigint, orders_study, table
-from tabprobe.operators.profiling import column_sample, profile, sequential_ids
+from tabprobe.operators.profiling import column_sample, profile_all, sequential_ids
 from tabprobe.plans import matching as M
-from tabprobe.plans.build import build_instances, column_values, summarise_instances
+from tabprobe.plans.build import build_instances, summarise_instances, values_of
 from tabprobe.plans.templates import TEMPLATES, templates_frame
 from tabprobe.sources.instances import discover_instances, refresh_answers
 from tabprobe.sources.shared import cut, fresh_folder
@@ -61,14 +61,12 @@ def catalog_table(spark, sf_dir, name):
     return table(spark, sf_dir, source).selectExpr(*[f"{sql} as {c}" for c, sql in columns])
 
 
-def profiles(spark, sf_dir):
-    parts = [profile(catalog_table(spark, sf_dir, name), name) for name in CATALOG]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def catalog(spark, sf_dir):
+    return {name: catalog_table(spark, sf_dir, name) for name in CATALOG}
 
 
-def values(spark, sf_dir):
-    parts = [column_values(catalog_table(spark, sf_dir, name), name) for name in CATALOG]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def profiles(spark, sf_dir):
+    return profile_all(catalog(spark, sf_dir))
 
 
 _CELLS = " union all ".join(
@@ -147,17 +145,16 @@ PROFILE_SQL = f"""
     select dataset, col as "column", place, row_ as "row", cell from sampled
     where dataset = 'customer'""")
 def sampled_cells(spark, sf_dir):
-    df = column_sample(catalog_table(spark, sf_dir, "customer"), "row_id")
-    return as_bigint(df.select(
-        F.lit("customer").alias("dataset"), "column", "place", "row", "cell"
-    ), "place")
+    df = column_sample({"customer": catalog_table(spark, sf_dir, "customer")}, "row_id")
+    return as_bigint(df.select("dataset", "column", "place", "row", "cell"), "place")
 
 
 @query(f"""
     with {PROFILE_SQL} select col as "column", sequential from sequences
     where dataset = 'orders'""")
 def sequential_columns(spark, sf_dir):
-    return sequential_ids(catalog_table(spark, sf_dir, "orders"), "row_id")
+    tables = {"orders": catalog_table(spark, sf_dir, "orders")}
+    return sequential_ids(tables, "row_id").drop("dataset")
 
 
 @query(f"""
@@ -274,7 +271,7 @@ MATCH_SQL = f"""
 
 def _matches(spark, sf_dir):
     return M.match_all(
-        templates_frame(spark), profiles(spark, sf_dir), values(spark, sf_dir), SEED
+        templates_frame(spark), profiles(spark, sf_dir), values_of(catalog(spark, sf_dir)), SEED
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -447,42 +448,52 @@ ASKED = {
 }
 
 
-@query()
+_UPPER = f"""(
+        select case when var_samp(o_totalprice) filter (o_orderstatus = 'P')
+            > var_samp(o_totalprice) filter (o_orderstatus = 'F') then 'P' else 'F' end from risk)"""
+_TREND = """(
+        with m as (
+            select avg(price) filter (p = 'B') > avg(price) filter (p = 'A') as up
+            from shifted group by segment having count(distinct p) = 2)
+        select case when bool_and(up) and (select avg(price) filter (p = 'B')
+            < avg(price) filter (p = 'A') from shifted) then 'IMPROVED' end from m)"""
+_TOP = ", ".join(
+    f"('{_SWAPPED[n]}', (select abs(corr({n}, o_score)) from scored))" for n in ORDERS
+)
+
+
+def _answer_sql(injector: str, select: str, ctes: str = "") -> str:
+    with_ = f"with {ctes} " if ctes else ""
+    return f"select '{injector}' as injector, ({with_}{select}) as answer"
+
+
+@query(" union all ".join([
+    _answer_sql("dq_bad_row_indicator", f"select '{_FLAG}'"),
+    _answer_sql("dq_bad_row_indicator_v1", f"select '{_RENAMED[_FLAG]}'"),
+    _answer_sql("dq_riskier_group", f"select {_UPPER}", _RISK_SQL),
+    _answer_sql("rca_performance_improve", f"select {_TREND}", _SIMPSON_SQL),
+    _answer_sql("rca_retrain_point", "select 'YES, 600'"),
+    _answer_sql("sf_nonmonotone_peak",
+                "select (select f from pick) || ', ' || peak::double::varchar from facts", _PEAK_SQL),
+    _answer_sql("sf_monotone_classify", "select f from chosen", _VALLEY_SQL),
+    _answer_sql("ix_interaction_dominant", "select least(a.f, b.f) || ', ' || greatest(a.f, b.f) "
+                "from fa a, fb b", _XOR_SQL),
+    _answer_sql("fi_top_features", "select string_agg(f, ', ' order by r desc) "
+                f"from (values {_TOP}) t(f, r)", SCORED_SQL),
+]))
 def answers_after_injection(spark, sf_dir):
-    """Every injector with the answer its question gets from the injected table."""
-    rows = []
-    for injector, (template_id, slots) in ASKED.items():
+    """Every injector, and the answer its question gets from the injected table."""
+    def ask(injector: str) -> tuple:
+        template_id, slots = ASKED[injector]
         done = injected(spark, sf_dir, injector)
         found = answer_safe(
             template_id, done.table, slots, {injector: done.effects}, SOURCES[injector][1]
         )
         value = ", ".join(found.value) if isinstance(found.value, list) else found.value
-        rows.append((injector, done.status, template_id, found.status, value))
-    return spark.createDataFrame(
-        rows, "injector string, injected string, template_id string, status string, answer string"
-    )
-
+        return injector, value if done.status == "OK" else None
 
-@query(f"""
-    with {_RISK_SQL}
-    select 'dq_riskier_group' as injector, case when var_samp(o_totalprice) filter
-        (o_orderstatus = 'P') > var_samp(o_totalprice) filter (o_orderstatus = 'F')
-        then 'P' else 'F' end as answer
-    from risk
-    union all
-    select 'rca_performance_improve', (
-        with {_SIMPSON_SQL}, m as (
-            select segment, avg(price) filter (p = 'B') > avg(price) filter (p = 'A') as up
-            from shifted group by segment having count(distinct p) = 2)
-        select case when bool_and(up) then 'IMPROVED' else 'MIXED' end from m)""")
-def answers_by_statistics(spark, sf_dir):
-    """The two answers that are read off group statistics alone."""
-    rows = []
-    for injector in ("dq_riskier_group", "rca_performance_improve"):
-        template_id, slots = ASKED[injector]
-        done = injected(spark, sf_dir, injector)
-        found = answer_safe(template_id, done.table, slots, {injector: done.effects}, KEY)
-        rows.append((injector, found.value))
+    with ThreadPoolExecutor(4) as pool:
+        rows = list(pool.map(ask, ASKED))
     return spark.createDataFrame(rows, "injector string, answer string")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,19 +24,19 @@ class CellCounts(NamedTuple):
     near: list[int]
 
 
-def cell_rows(df: DataFrame, key: str) -> DataFrame:
-    """Every non-blank cell as text: ``(column, position, row, cell)``."""
+def cell_rows(df: DataFrame, key: str, dataset: str = "") -> DataFrame:
+    """Every non-blank cell as text: ``(dataset, column, position, row, cell)``."""
     names = df.columns
     texts = df.select(
-        F.col(f"`{key}`").alias("@row"),
+        F.col(f"`{key}`").cast("bigint").alias("@row"),
         *[F.trim(F.col(f"`{n}`").cast("string")).alias(f"@{i}") for i, n in enumerate(names)],
     )
     long = texts.unpivot(["@row"], [f"`@{i}`" for i in range(len(names))], "at", "cell")
     position = F.substring("at", 2, 10).cast("int")
     listed = F.array(*[F.lit(n) for n in names])
     return long.where(F.col("cell") != "").select(
-        F.element_at(listed, position + 1).alias("column"), position.alias("position"),
-        F.col("@row").alias("row"), "cell",
+        F.lit(dataset).alias("dataset"), F.element_at(listed, position + 1).alias("column"),
+        position.alias("position"), F.col("@row").alias("row"), "cell",
     )
 
 
@@ -56,17 +57,23 @@ def cell_counts(df: DataFrame, key: str) -> CellCounts:
     return CellCounts(found["rows"], found["held"], found["near"])
 
 
-def column_sample(
-    df: DataFrame, key: str, seed: int = 0, size: int = SAMPLE, counts: CellCounts | None = None
+def _limited(cells: DataFrame, order: list[str], size: int) -> DataFrame:
+    """The first ``size`` cells of each column; the limit works in every task before the shuffle."""
+    window = Window.partitionBy("dataset", "position").orderBy(*order)
+    return cells.withColumn("place", F.row_number().over(window)).where(F.col("place") <= size)
+
+
+def _sample_candidates(
+    df: DataFrame, key: str, dataset: str, seed: int, size: int, counts: CellCounts
 ) -> DataFrame:
-    """Up to ``size`` random non-blank cells of each column.
+    """Cells that can be in the sample.
 
-    The rank limit is applied in every task before the shuffle. On large tables a threshold on
-    the draw first drops nearly all cells; counts per column prove that enough of them pass, and
-    a column where they do not is left unfiltered.
+    On large tables a threshold on the draw drops nearly all cells; counts per column prove that
+    enough of them pass, and a column where they do not is left unfiltered.
     """
-    counts = counts or cell_counts(df, key)
-    cells = cell_rows(df, key).withColumn("draw", row_draw(seed, F.col("row"), F.col("position")))
+    cells = cell_rows(df, key, dataset).withColumn(
+        "draw", row_draw(seed, F.col("row"), F.col("position"))
+    )
     if max(counts.held, default=0) > _PREFILTER_ROWS:
         limits = [
             "%08x" % min(2**32 - 1, int(2**32 * size * _PREFILTER_MARGIN / max(1, n)))
@@ -85,33 +92,55 @@ def column_sample(
         ]
         listed = F.array(*[F.lit(limit) for limit in limits])
         cells = cells.where(F.col("draw") < F.element_at(listed, F.col("position") + 1))
-    order = Window.partitionBy("position").orderBy("draw", "row")
-    return cells.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    return cells
+
+
+def column_sample(
+    tables: dict[str, DataFrame], key: str, seed: int = 0, size: int = SAMPLE,
+    counts: dict[str, CellCounts] | None = None,
+) -> DataFrame:
+    """Up to ``size`` random non-blank cells of each column of each table."""
+    counts = counts or {name: cell_counts(df, key) for name, df in tables.items()}
+    parts = [
+        _sample_candidates(df, key, name, seed, size, counts[name]) for name, df in tables.items()
+    ]
+    return _limited(reduce(DataFrame.unionByName, parts), ["draw", "row"], size)
 
 
 def first_cells(
-    df: DataFrame, key: str, size: int = SAMPLE, counts: CellCounts | None = None
+    tables: dict[str, DataFrame], key: str, size: int = SAMPLE,
+    counts: dict[str, CellCounts] | None = None,
 ) -> DataFrame:
     """The first ``size`` non-blank cells of each column in row order.
 
-    Only the lowest row ids are read when they hold enough cells of every column.
+    Only the lowest row ids are read where they hold enough cells of every column.
     """
-    counts = counts or cell_counts(df, key)
-    enough = all(near >= min(size, held) for near, held in zip(counts.near, counts.held))
-    order = Window.partitionBy("position").orderBy("row")
-    rows = df.where(F.col(f"`{key}`") <= _FIRST_ROWS) if enough else df
-    return cell_rows(rows, key).withColumn("place", F.row_number().over(order)).where(
-        F.col("place") <= size
-    )
-
-
-def sequential_ids(df: DataFrame, key: str, counts: CellCounts | None = None) -> DataFrame:
-    """Columns whose first cells are 1, 2, 3, ...: ``(column, sequential)``."""
-    counts = counts or cell_counts(df, key)
-    cells = first_cells(df, key, SAMPLE, counts)
+    counts = counts or {name: cell_counts(df, key) for name, df in tables.items()}
+    parts = []
+    for name, df in tables.items():
+        enough = all(
+            near >= min(size, held) for near, held in zip(counts[name].near, counts[name].held)
+        )
+        rows = df.where(F.col(f"`{key}`") <= _FIRST_ROWS) if enough else df
+        parts.append(cell_rows(rows, key, name))
+    return _limited(reduce(DataFrame.unionByName, parts), ["row"], size)
+
+
+def sequential_ids(
+    tables: dict[str, DataFrame], key: str, counts: dict[str, CellCounts] | None = None
+) -> DataFrame:
+    """Columns whose first cells are 1, 2, 3, ...: ``(dataset, column, sequential)``."""
+    counts = counts or {name: cell_counts(df, key) for name, df in tables.items()}
+    cells = first_cells(tables, key, SAMPLE, counts)
     follows = F.coalesce(X.parse_int(F.col("cell")) == F.col("place"), F.lit(False))
-    return cells.groupBy("column").agg(
-        (F.bool_and(follows) & (F.count("*") >= min(20, counts.rows))).alias("sequential")
+    least = F.create_map(*[
+        F.lit(x) for name in tables for x in (name, min(20, counts[name].rows))
+    ])
+    return cells.groupBy("dataset", "column").agg(
+        F.bool_and(follows).alias("follows"), F.count("*").alias("n")
+    ).select(
+        "dataset", "column",
+        (F.col("follows") & (F.col("n") >= least[F.col("dataset")])).alias("sequential"),
     )
 
 
@@ -123,7 +152,7 @@ def vote(cells: DataFrame) -> DataFrame:
     number = cell.try_cast("double")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
     tagged = cells.select(
-        "column", "position", "cell", known.alias("known"),
+        "dataset", "column", "position", "cell", known.alias("known"),
         (known & X.is_bool_token(cell)).alias("bool_form"), X.clean(cell).alias("form"),
         F.when(known, F.when(X.parse_datetime(cell).isNotNull(), "datetime")
                .when(X.is_int_text(normalised), "int").when(X.is_float_text(normalised), "float")
@@ -131,7 +160,7 @@ def vote(cells: DataFrame) -> DataFrame:
         X.parse_int(cell).alias("whole"), number.alias("number"), finite.alias("finite"),
     )
     # The sets below hold at most SAMPLE cells per column.
-    counts = tagged.groupBy("column", "position").agg(
+    counts = tagged.groupBy("dataset", "column", "position").agg(
         F.count_if("known").alias("total"), F.count_if("bool_form").alias("bool_forms"),
         F.size(F.collect_set(F.when(F.col("known"), F.col("form")))).alias("forms"),
         *[F.count_if(F.col("as") == t).alias(t) for t in ("int", "float", "datetime", "string")],
@@ -162,7 +191,7 @@ def vote(cells: DataFrame) -> DataFrame:
     return counts.withColumn("dtype", dtype)
 
 
-def kind_of(counts: DataFrame) -> Column:
+def kind_of() -> Column:
     """Kind rule: id, binary, small whole range, regression, else categorical."""
     unique = F.col("unique_count")
     regression = F.col("all_finite") & (F.col("cells") >= 2) & (
@@ -183,29 +212,39 @@ def kind_of(counts: DataFrame) -> Column:
     )
 
 
-def profile(df: DataFrame, dataset: str, key: str = "row_id", seed: int = 0) -> DataFrame:
-    """One row per column: ``(dataset, column, position, kind, dtype, unique_count, is_target)``.
+def profile_all(tables: dict[str, DataFrame], key: str = "row_id", seed: int = 0) -> DataFrame:
+    """One row per table and column:
+    ``(dataset, column, position, kind, dtype, unique_count, is_target)``.
 
-    The last column is the target. Columns without any cell are ``empty`` and categorical.
+    The last column is the target. Columns without any cell are ``empty`` and categorical. All
+    tables are sampled, voted on and classified in one plan.
     """
-    spark = df.sparkSession
-    names = spark.createDataFrame(list(enumerate(df.columns)), "position int, column string")
-    held = cell_counts(df, key)
-    votes = vote(column_sample(df, key, seed, SAMPLE, held)).drop("position")
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame(
+        [(name, i, c, i == len(df.columns) - 1) for name, df in tables.items()
+         for i, c in enumerate(df.columns)],
+        "dataset string, position int, column string, is_target boolean",
+    )
+    held = {name: cell_counts(df, key) for name, df in tables.items()}
+    votes = vote(column_sample(tables, key, seed, SAMPLE, held)).drop("position")
     found = (
-        names.join(F.broadcast(votes), "column", "left")
-        .join(F.broadcast(sequential_ids(df, key, held)), "column", "left")
+        names.join(F.broadcast(votes), ["dataset", "column"], "left")
+        .join(F.broadcast(sequential_ids(tables, key, held)), ["dataset", "column"], "left")
     )
     empty = F.col("dtype").isNull()
     return found.select(
-        F.lit(dataset).alias("dataset"), "column", "position",
-        F.when(empty, "categorical").otherwise(kind_of(found)).alias("kind"),
+        "dataset", "column", "position",
+        F.when(empty, "categorical").otherwise(kind_of()).alias("kind"),
         F.coalesce("dtype", F.lit("empty")).alias("dtype"),
-        F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"),
-        (F.col("position") == len(df.columns) - 1).alias("is_target"),
+        F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"), "is_target",
     )
 
 
+def profile(df: DataFrame, dataset: str, key: str = "row_id", seed: int = 0) -> DataFrame:
+    """The profile of one table."""
+    return profile_all({dataset: df}, key, seed)
+
+
 def nested_profile(profiles: DataFrame) -> DataFrame:
     """One row per dataset: target, columns by name, and column names by kind."""
     listed = F.array_sort(F.collect_list(F.struct(

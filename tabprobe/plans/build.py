@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from tabprobe.plans.templates import templates_frame
 from tabprobe.sources.instances import discover_instances, read_table, write_instance
 from tabprobe.sources.shared import cut
 
+PARALLEL = 4
 _EFFECTS = "dataset string, injector string, params_key string, status string, reason string"
 _ANSWERS = (
     "dataset string, injector string, params_key string, template_id string, answer string,"
@@ -25,12 +29,19 @@ _ANSWERS = (
 )
 
 
-def column_values(df: DataFrame, dataset: str) -> DataFrame:
-    """Every cell as ``(dataset, column, value)`` text, for the slots that hold a column's value."""
-    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    return texts.unpivot([], [f"`{c}`" for c in df.columns], "column", "value").select(
-        F.lit(dataset).alias("dataset"), "column", "value"
-    )
+def values_of(tables: dict[str, DataFrame]):
+    """Reader of the cells of chosen columns, for the slots that hold a column's value."""
+    def read(pairs: list[tuple[str, str]]) -> DataFrame:
+        parts = []
+        for dataset in sorted({d for d, _ in pairs}):
+            names = [c for d, c in pairs if d == dataset]
+            texts = tables[dataset].select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
+            parts.append(texts.unpivot([], [f"`{c}`" for c in names], "column", "value").select(
+                F.lit(dataset).alias("dataset"), "column", "value"
+            ))
+        return reduce(DataFrame.unionByName, parts)
+
+    return read
 
 
 def build_instances(
@@ -44,20 +55,20 @@ def build_instances(
     """
     profiles = cut(profile(table, dataset, key))
     matches = cut(match_all(
-        templates_frame(spark), profiles, column_values(table, dataset), seed, template_ids
+        templates_frame(spark), profiles, values_of({dataset: table}), seed, template_ids
     ))
     by_id = {r["template_id"]: r for r in matches.where("compatible").collect()}
     specs = required_phenomena(matches).orderBy("injector", "params_key").collect()
     facts = profiles.where((F.col("kind") == "id_no") | F.col("is_target")).collect()
     ids = sorted(r["column"] for r in facts if r["kind"] == "id_no")
     target = next(r["column"] for r in facts if r["is_target"])
-    effects, answers = [], []
-    done = inject_each(table, [(s["injector"], s["params"]) for s in specs], seed, key, ids)
-    for spec, result in zip(specs, done):
+
+    def build(spec) -> tuple[tuple, list[tuple]]:
         name = (dataset, spec["injector"], spec["params_key"])
+        result = inject_each(table, [(spec["injector"], spec["params"])], seed, key, ids)[0]
         if spec["injector"] == "fi_top_features":
             result.table = drop_ids(result.table, ids)
-        qa_pairs = []
+        qa_pairs, answers = [], []
         for template_id in spec["templates"] if result.status == "OK" else []:
             match = by_id[template_id]
             answer = answer_safe(
@@ -73,8 +84,14 @@ def build_instances(
         unanswered = [qa["template_id"] for qa in qa_pairs if qa["answer"] is None]
         if unanswered:
             result.reject("no answer: " + ", ".join(unanswered))
-        effects.append((*name, result.status, result.reason))
         write_instance(spark, root, dataset, seed, result, qa_pairs, dataset, target, key)
+        return (*name, result.status, result.reason), answers
+
+    # Independent jobs of one table, a few at a time.
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        done = list(pool.map(build, specs))
+    effects = [effect for effect, _ in done]
+    answers = [row for _, rows in done for row in rows]
     return run_report(
         matches, spark.createDataFrame(effects, _EFFECTS), spark.createDataFrame(answers, _ANSWERS)
     )
@@ -97,21 +114,22 @@ def summarise_instances(
     spark: SparkSession, root: str, force: bool = False, suffixes: list[str] | None = None
 ) -> DataFrame:
     """Summaries of every stored instance that has none yet: one status row per instance."""
-    rows = []
-    for m in discover_instances(spark, root, suffixes=suffixes).collect():
+    def summarise(m) -> tuple[str, str]:
         folder = f"{root}/summaries/{m['instance']}"
         if not force and _finished(spark, folder):
-            rows.append((m["instance"], "skipped"))
-            continue
+            return m["instance"], "skipped"
         table = read_table(spark, root, m["instance"])
         if m["target"] not in table.columns:
-            rows.append((m["instance"], "failed"))
-            continue
+            return m["instance"], "failed"
         parts = summarise_table(table, m["target"])
         overview_last = [*[n for n in parts if n != "overview"], "overview"]
         for part in overview_last:  # the overview is written last and marks the summary finished
             parts[part].write.mode("overwrite").parquet(f"{folder}/{part}")
-        rows.append((m["instance"], "generated"))
+        return m["instance"], "generated"
+
+    instances = discover_instances(spark, root, suffixes=suffixes).collect()
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        rows = list(pool.map(summarise, instances))
     return spark.createDataFrame(rows, "instance string, status string")
 
 

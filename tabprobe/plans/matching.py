@@ -6,6 +6,8 @@ distinct values of the columns that a value slot needs grow with the data; they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,23 +188,28 @@ def assign_columns(found: DataFrame, usable: DataFrame) -> DataFrame:
     ).select(*_PAIR, F.map_from_arrays("done.slots", "done.taken").alias("assigned"))
 
 
-def pick_values(needed: DataFrame, values: DataFrame, seed: int) -> DataFrame:
+Values = Callable[[list[tuple[str, str]]], DataFrame]
+
+
+def pick_values(needed: DataFrame, values: Values, seed: int) -> DataFrame:
     """Values for the value slots ``needed(dataset, template_id, slot, column, position, turn)``.
 
     Slots of one template that read the same column get different values: the random ones take
     the smallest keyed digests in turn, a middle one the middle of what is left in text order.
-    ``values`` is ``(dataset, column, value)``, with repeats.
+    ``values`` is called with the (dataset, column) pairs that are needed, a few per table, and
+    gives ``(dataset, column, value)`` with repeats; no other column is read.
     """
     key = ["dataset", "column"]
-    distinct = values.where(F.col("value").isNotNull()).join(
-        needed.select(*key).distinct(), key, "left_semi"
-    ).distinct()
+    pairs = [tuple(r) for r in needed.select(*key).distinct().orderBy(*key).collect()]
+    if not pairs:
+        return needed.select(*_PAIR, "slot", F.lit(None).cast("string").alias("value")).limit(0)
+    distinct = values(pairs).where(F.col("value").isNotNull()).distinct()
     randoms = needed.where(F.col("position") != "middle")
     draw = digest(seed, "value", F.concat_ws("|", "dataset", "template_id", "column", "value"))
     order = Window.partitionBy(*_PAIR, "column").orderBy("draw", "value")
-    # `most` random slots per column at the most, so each task passes on only that many rows.
-    pairs = randoms.groupBy(*_PAIR, "column").agg(F.max("turn").alias("most"))
-    drawn = distinct.join(pairs, key).select(
+    # A template has a handful of slots, so each task passes on a handful of rows per column.
+    turns = randoms.groupBy(*_PAIR, "column").agg(F.max("turn").alias("most"))
+    drawn = distinct.join(turns, key).select(
         *_PAIR, "column", "value", "most", draw.alias("draw")
     ).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= 16).where(
         F.col("turn") <= F.col("most")
@@ -217,7 +224,7 @@ def pick_values(needed: DataFrame, values: DataFrame, seed: int) -> DataFrame:
 
 
 def assign_slots(
-    templates: DataFrame, found: DataFrame, usable: DataFrame, values: DataFrame, seed: int
+    templates: DataFrame, found: DataFrame, usable: DataFrame, values: Values, seed: int
 ) -> DataFrame:
     """All slots of every usable pair: ``(dataset, template_id, slots map<string,string>)``."""
     columns = cut(assign_columns(found, usable).select(
@@ -225,13 +232,13 @@ def assign_slots(
     ))
     slots = slot_rows(templates)
     turn = Window.partitionBy(*_PAIR, "column").orderBy("slot_at")
-    needed = slots.where(F.col("source") == "column_values").join(
+    needed = cut(slots.where(F.col("source") == "column_values").join(
         columns.select(*_PAIR, F.col("slot").alias("source_column"), F.col("value").alias("column")),
         ["template_id", "source_column"],
     ).select(
         *_PAIR, "slot", "column", F.coalesce("position", F.lit("random")).alias("position"),
         F.row_number().over(turn).alias("turn"),
-    )
+    ))
     scalars = usable.join(
         F.broadcast(slots.where(F.col("type").isin("int", "float", "string"))), "template_id"
     ).select(*_PAIR, "slot", F.coalesce("default", "min").alias("value"))
@@ -245,7 +252,7 @@ def assign_slots(
 
 
 def match_all(
-    templates: DataFrame, profiles: DataFrame, values: DataFrame, seed: int,
+    templates: DataFrame, profiles: DataFrame, values: Values, seed: int,
     template_ids: list[str] | None = None,
 ) -> DataFrame:
     """Every (dataset, template): compatibility, reasons, slots, feature pool, question.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ MANIFEST_SCHEMA = """
 """
 
 
+PARALLEL = 4
+
+
 def instance_name(dataset: str, seed: int, injector: str, params: dict) -> str:
     """Path of an instance below the root; injections with other parameters get their own."""
     listed = json.dumps({k: str(v) for k, v in params.items()}, sort_keys=True)
@@ -100,12 +104,11 @@ def discover_instances(
 
 def refresh_answers(spark: SparkSession, root: str) -> DataFrame:
     """Recompute every stored answer from its table; one row per question with its status."""
-    rows = []
-    for m in read_manifests(spark, root).where(F.col("status") == "OK").toLocalIterator():
+    def refresh(m) -> list[tuple]:
         injector = m["phenomenon"]["injector_type"]
         effects = {injector: json.loads(m["phenomenon"]["effects"])}
         table = read_table(spark, root, m["instance"])
-        qa_pairs, changed = [], False
+        rows, qa_pairs = [], []
         for qa in m["qa_pairs"]:
             entry = qa.asDict()
             answer = answer_safe(
@@ -113,13 +116,13 @@ def refresh_answers(spark: SparkSession, root: str) -> DataFrame:
             )
             text = _as_text(answer.value)
             if answer.status != "SKIP":
-                entry["answer"], changed = text, True
+                entry["answer"] = text
             qa_pairs.append(entry)
             rows.append((
                 m["dataset_name"], m["instance"], injector, qa["template_id"], text,
                 answer.status, answer.reason,
             ))
-        if changed:
+        if any(row[5] != "SKIP" for row in rows):
             manifest = m.asDict(recursive=True)
             manifest["phenomenon"] = {
                 "injector_type": injector, "params": json.loads(m["phenomenon"]["params"]),
@@ -127,8 +130,14 @@ def refresh_answers(spark: SparkSession, root: str) -> DataFrame:
             }
             manifest["qa_pairs"] = qa_pairs
             _write_manifest(spark, root, manifest)
+        return rows
+
+    manifests = read_manifests(spark, root).where(F.col("status") == "OK").collect()
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        found = list(pool.map(refresh, manifests))
     return spark.createDataFrame(
-        rows, "dataset string, instance string, injector string, template_id string,"
+        [row for rows in found for row in rows],
+        "dataset string, instance string, injector string, template_id string,"
         " answer string, status string, reason string",
     )
 
