@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_NUMBER_PATTERN = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+
+
 def is_number(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
@@ -24,8 +27,9 @@ def to_double(df: DataFrame, name: str) -> Column:
     if is_number(dtype) or isinstance(dtype, T.BooleanType):
         return F.col(name).cast("double")
     if isinstance(dtype, T.StringType):
-        value = F.trim(F.col(name)).try_cast("double")
-        return F.when(~F.isnan(value), value)
+        text = F.trim(F.col(name))
+        # The pattern spares the failing casts, which are slow, on columns of words.
+        return F.when(text.rlike(_NUMBER_PATTERN), text.try_cast("double"))
     return F.lit(None).cast("double")
 
 
@@ -70,9 +74,14 @@ def period_split(df: DataFrame, name: str, split: object) -> Column:
 
 def decimal_places(value: Column) -> Column:
     """Digits after the point of the shortest decimal text; a whole number counts as one."""
-    text = value.cast("string").try_cast("decimal(38,18)").cast("string")
-    tail = F.element_at(F.split(F.rtrim(text, F.lit("0")), r"\."), -1)
-    return F.when(value.isNotNull(), F.greatest(F.lit(1), F.coalesce(F.length(tail), F.lit(1))))
+    text = value.cast("double").cast("string")
+    plain = F.length(F.substring_index(text, ".", -1))
+    spread = F.rtrim(text.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
+    long = F.coalesce(F.length(F.substring_index(spread, ".", -1)), F.lit(1))
+    # Very large and very small numbers are written with an exponent.
+    return F.when(
+        value.isNotNull(), F.when(~text.contains("E"), plain).otherwise(F.greatest(F.lit(1), long))
+    )
 
 
 def typical_decimals(value: Column) -> Column:

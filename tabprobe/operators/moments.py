@@ -289,11 +289,29 @@ def auroc(
     ).where(F.col("auroc").isNotNull())
 
 
-def column_stats(df: DataFrame) -> DataFrame:
-    """Per column: type, distinct and missing counts, and for numbers min, max, mean and std.
+def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """Exact distinct values per column, counted over distinct (column, value) pairs.
 
-    Distinct counts are exact; Spark spreads them over (column, value) pairs.
+    One narrow pair per cell is combined map-side and spread by both fields, where several
+    ``count(DISTINCT)`` in one aggregate would shuffle a row as wide as the table for each.
     """
+    places = df.select(*[
+        to_double(df, n).cast("string").alias(f"@{i}") if is_number(df.schema[n].dataType)
+        and not isinstance(df.schema[n].dataType, (T.LongType, T.DecimalType))
+        else F.col(f"`{n}`").cast("string").alias(f"@{i}")
+        for i, n in enumerate(names)
+    ])
+    pairs = places.unpivot([], [f"`@{i}`" for i in range(len(names))], "at", "value").where(
+        F.col("value").isNotNull()
+    )
+    counts = pairs.groupBy("at", "value").agg(F.lit(1).alias("_")).groupBy("at").agg(
+        F.count("*").alias("n_unique")
+    )
+    return counts.select(F.substring("at", 2, 10).cast("int").alias("position"), "n_unique")
+
+
+def column_stats(df: DataFrame) -> DataFrame:
+    """Per column: type, distinct and missing counts, and for numbers min, max, mean and std."""
     names = df.columns
     parts, fields = [], {}
     for name in names:
@@ -303,7 +321,6 @@ def column_stats(df: DataFrame) -> DataFrame:
         seen = value if number else col
         null = F.lit(None).cast("double")
         parts += [
-            F.count_distinct(seen).alias(f"n_unique:{name}"),
             F.count_if(seen.isNull()).alias(f"n_missing:{name}"),
             (F.min(value) if number else F.max(null)).alias(f"min:{name}"),
             (F.max(value) if number else F.max(null)).alias(f"max:{name}"),
@@ -311,14 +328,17 @@ def column_stats(df: DataFrame) -> DataFrame:
             (F.stddev_samp(value) if number else F.max(null)).alias(f"std:{name}"),
         ]
     fields = {
-        "n_unique": "n_unique:{}", "n_missing": "n_missing:{}", "min_value": "min:{}",
-        "max_value": "max:{}", "mean": "mean:{}", "std": "std:{}",
+        "n_missing": "n_missing:{}", "min_value": "min:{}", "max_value": "max:{}",
+        "mean": "mean:{}", "std": "std:{}",
     }
     types = F.create_map(*[
         F.lit(t) for f in df.schema.fields for t in (f.name, f.dataType.simpleString())
     ])
-    return _one_row_per_name(df.agg(*parts), names, fields).select(
-        "feature", "position", types[F.col("feature")].alias("dtype"), "n_unique", "n_missing",
+    return _one_row_per_name(df.agg(*parts), names, fields).join(
+        F.broadcast(distinct_counts(df, names)), "position", "left"  # one row per column
+    ).select(
+        "feature", "position", types[F.col("feature")].alias("dtype"),
+        F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique"), "n_missing",
         "min_value", "max_value",
         F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
     )

@@ -13,7 +13,7 @@ from tabprobe.functions.draws import digest
 
 SAMPLE = 100
 DOMINANT = 0.9
-_PREFILTER_ROWS = 200_000
+_PREFILTER_ROWS = 50_000
 _PREFILTER_MARGIN = 4
 _FIRST_ROWS = 10_000
 
@@ -24,25 +24,27 @@ class CellCounts(NamedTuple):
     near: list[int]
 
 
-def cell_rows(df: DataFrame, key: str, dataset: str = "") -> DataFrame:
-    """Every non-blank cell as text: ``(dataset, column, position, row, cell)``."""
+def cell_rows(df: DataFrame, key: str, dataset: str = "", seed: int = 0) -> DataFrame:
+    """Every non-blank cell as text: ``(dataset, column, position, row, digest, cell)``."""
     names = df.columns
     texts = df.select(
         F.col(f"`{key}`").cast("bigint").alias("@row"),
+        digest(seed, "cell", key).alias("@digest"),
         *[F.trim(F.col(f"`{n}`").cast("string")).alias(f"@{i}") for i, n in enumerate(names)],
     )
-    long = texts.unpivot(["@row"], [f"`@{i}`" for i in range(len(names))], "at", "cell")
+    long = texts.unpivot(["@row", "@digest"], [f"`@{i}`" for i in range(len(names))], "at", "cell")
     position = F.substring("at", 2, 10).cast("int")
     listed = F.array(*[F.lit(n) for n in names])
     return long.where(F.col("cell") != "").select(
         F.lit(dataset).alias("dataset"), F.element_at(listed, position + 1).alias("column"),
-        position.alias("position"), F.col("@row").alias("row"), "cell",
+        position.alias("position"), F.col("@row").alias("row"),
+        F.col("@digest").alias("digest"), "cell",
     )
 
 
-def row_draw(seed: int, key: Column, position: Column) -> Column:
+def cell_draw(row_digest: Column, position: Column) -> Column:
     """Eight hex digits of the row's digest, a different window of it for each column."""
-    return F.substr(digest(seed, "cell", key), F.lit(1) + position % 24, F.lit(8))
+    return F.substr(row_digest, F.lit(1) + position % 24, F.lit(8))
 
 
 def cell_counts(df: DataFrame, key: str) -> CellCounts:
@@ -71,8 +73,8 @@ def _sample_candidates(
     On large tables a threshold on the draw drops nearly all cells; counts per column prove that
     enough of them pass, and a column where they do not is left unfiltered.
     """
-    cells = cell_rows(df, key, dataset).withColumn(
-        "draw", row_draw(seed, F.col("row"), F.col("position"))
+    cells = cell_rows(df, key, dataset, seed).withColumn(
+        "draw", cell_draw(F.col("digest"), F.col("position"))
     )
     if max(counts.held, default=0) > _PREFILTER_ROWS:
         limits = [
@@ -82,7 +84,7 @@ def _sample_candidates(
         passing = df.agg(*[
             F.count_if(
                 (F.trim(F.col(f"`{n}`").cast("string")) != "")
-                & (row_draw(seed, F.col(f"`{key}`"), F.lit(i)) < limits[i])
+                & (cell_draw(digest(seed, "cell", key), F.lit(i)) < limits[i])
             ).alias(f"c{i}")
             for i, n in enumerate(df.columns)
         ]).first()

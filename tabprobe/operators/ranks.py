@@ -47,9 +47,9 @@ def group_sizes(rows: DataFrame, by: list[str], value: str) -> GroupSizes:
     return GroupSizes(found["largest"] or 0, found["groups"])
 
 
-def bucket_of(value: Column, cuts: Column) -> Column:
-    """Number of cut points below the value: binary search in the group's sorted cuts."""
-    steps = F.array(*[F.lit(2**bit) for bit in reversed(range(BUCKET_BITS))])
+def bucket_of(value: Column, cuts: Column, bits: int = BUCKET_BITS) -> Column:
+    """Number of cut points below the value: binary search in fewer than 2**bits sorted cuts."""
+    steps = F.array(*[F.lit(2**bit) for bit in reversed(range(bits))])
     return F.aggregate(
         steps,
         F.lit(0),
@@ -64,7 +64,9 @@ def _bucketed(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with their bucket, and per bucket the number of values below it."""
     rows = rows.where(F.col(value).isNotNull())
-    most = 2**BUCKET_BITS - 1
+    # Twice the buckets asked for leave room for the chance in how many cuts the hash picks.
+    bits = min(BUCKET_BITS, (2 * sizes.largest // rows_per_bucket + 15).bit_length())
+    most = 2**bits - 1
     wanted = rows.groupBy(*by).agg(F.count("*").alias("_rows")).withColumn(
         "_share",
         F.least(F.lit(most) / F.col("_rows"), F.lit(1.0 / rows_per_bucket))
@@ -74,11 +76,10 @@ def _bucketed(
         rows.join(sizes.share(wanted), by)
         .where(F.pmod(F.xxhash64(value), F.lit(_HASH_RANGE)) < F.col("_share"))
         .groupBy(*by)
-        # At most 2**16 - 1 cuts are searched; hashing may give a few more than asked for.
         .agg(F.slice(F.array_sort(F.collect_set(value)), 1, most).alias("_cuts"))
     )
     bucketed = rows.join(sizes.share(cuts), by, "left").withColumn(
-        "_bucket", F.coalesce(bucket_of(F.col(value), F.col("_cuts")), F.lit(0))
+        "_bucket", F.coalesce(bucket_of(F.col(value), F.col("_cuts"), bits), F.lit(0))
     ).drop("_cuts")
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_held")).withColumn(

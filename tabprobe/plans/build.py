@@ -18,7 +18,9 @@ from tabprobe.operators.summaries import (
 from tabprobe.functions.numbers import number_columns
 from tabprobe.plans.matching import match_all, required_phenomena, run_report
 from tabprobe.plans.templates import templates_frame
-from tabprobe.sources.instances import discover_instances, read_table, write_instance
+from tabprobe.sources.instances import (
+    discover_instances, read_table, store_table, write_instance,
+)
 from tabprobe.sources.shared import cut
 
 PARALLEL = 4
@@ -68,6 +70,9 @@ def build_instances(
         result = inject_each(table, [(spec["injector"], spec["params"])], seed, key, ids)[0]
         if spec["injector"] == "fi_top_features":
             result.table = drop_ids(result.table, ids)
+        stored = result.status == "OK"
+        if stored:
+            store_table(spark, root, dataset, seed, result)
         qa_pairs, answers = [], []
         for template_id in spec["templates"] if result.status == "OK" else []:
             match = by_id[template_id]
@@ -84,7 +89,7 @@ def build_instances(
         unanswered = [qa["template_id"] for qa in qa_pairs if qa["answer"] is None]
         if unanswered:
             result.reject("no answer: " + ", ".join(unanswered))
-        write_instance(spark, root, dataset, seed, result, qa_pairs, dataset, target, key)
+        write_instance(spark, root, dataset, seed, result, qa_pairs, dataset, target, key, stored)
         return (*name, result.status, result.reason), answers
 
     # Independent jobs of one table, a few at a time.

@@ -40,9 +40,19 @@ def _write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
     )
 
 
+def store_table(
+    spark: SparkSession, root: str, dataset: str, seed: int, injection: Injection
+) -> None:
+    """Write the injected table once and go on from the written one."""
+    name = instance_name(dataset, seed, injection.injector, injection.params)
+    injection.table.write.mode("overwrite").parquet(f"{root}/tables/{name}")
+    injection.table = read_table(spark, root, name)
+
+
 def write_instance(
     spark: SparkSession, root: str, dataset: str, seed: int, injection: Injection,
     qa_pairs: list[dict], base: str = "", target: str = "", row_key: str = "row_id",
+    stored: bool = False,
 ) -> str:
     """Write table and manifest; a rejected injection only leaves a manifest that says so.
 
@@ -50,8 +60,8 @@ def write_instance(
     run is out of use from then on.
     """
     name = instance_name(dataset, seed, injection.injector, injection.params)
-    if injection.status == "OK":
-        injection.table.write.mode("overwrite").parquet(f"{root}/tables/{name}")
+    if injection.status == "OK" and not stored:
+        store_table(spark, root, dataset, seed, injection)
     _write_manifest(spark, root, {
         "dataset_name": dataset, "seed": seed, "base_dataset": base, "target": target,
         "row_key": row_key, "instance": name,
