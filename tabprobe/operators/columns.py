@@ -107,10 +107,11 @@ def id_like(df: DataFrame, names: list[str], row_id: str) -> set[str]:
     """Columns without repeats that never fall along the row order."""
     if not names:
         return set()
-    total = df.count()
     sketch = df.agg(
-        *[F.approx_count_distinct(F.col(f"`{n}`"), 0.05).alias(f"c{i}") for i, n in enumerate(names)]
+        *[F.approx_count_distinct(F.col(f"`{n}`"), 0.05).alias(f"c{i}") for i, n in enumerate(names)],
+        F.count("*").alias("rows"),
     ).first()
+    total = sketch["rows"]
     # A sketch more than a third under the row count rules a column out without a shuffle.
     near = [n for i, n in enumerate(names) if sketch[i] >= total * 2 / 3]
     rising = [n for n, falls in has_inversion(df, near, row_id).items() if not falls] if near else []

@@ -9,7 +9,7 @@ from tabprobe.functions.draws import shuffled, u_text
 from tabprobe.functions.numbers import round_even, to_double, typical_decimals
 from tabprobe.operators.columns import id_like, numeric_features, unpivot_numbers
 from tabprobe.operators.inject.base import Injection, or_one, replace_column
-from tabprobe.operators.ranks import quantiles
+from tabprobe.operators.ranks import feature_sizes, quantiles
 from tabprobe.operators.shapes import bin_means, quantile_edges, shape_scores
 
 MIN_UNIQUE = 10
@@ -44,7 +44,9 @@ def nonmonotone_peak(df: DataFrame, params: dict, seed: int, key: str = "row_id"
     x, y = to_double(df, chosen), to_double(df, outcome)
     at = 0.35 + 0.3 * u_text(seed, "peak", "")
     found = _ranges(df, outcome, [chosen])
-    raw = quantiles(df.select(x.alias("x")), [], "x", [at]).first()["quantiles"][0]
+    raw = quantiles(
+        df.select(x.alias("x")), [], "x", [at], feature_sizes(df, [chosen])
+    ).first()["quantiles"][0]
     peak = round(raw, found["f0"]["places"])
     half = (found["f0"]["high"] - found["f0"]["low"]) / 2.0
     if half == 0:
@@ -105,7 +107,10 @@ def monotone_classify(df: DataFrame, params: dict, seed: int, key: str = "row_id
     found = _ranges(df, outcome, candidates)
     centres = {
         r["feature"]: r["quantiles"][0]
-        for r in quantiles(unpivot_numbers(df, candidates, {}), ["feature"], "x", [0.5]).collect()
+        for r in quantiles(
+            unpivot_numbers(df, candidates, {}), ["feature"], "x", [0.5],
+            feature_sizes(df, candidates),
+        ).collect()
     }
     amplitude = strength * or_one(found["std"])
     trials, facts = {}, {}

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from tabprobe.functions.numbers import (
     coercible, equals_value, is_number, period_split, to_double,
 )
-from tabprobe.operators.ranks import medians, quantiles
+from tabprobe.operators.columns import distinct_reaches, unpivot_numbers
+from tabprobe.operators.ranks import feature_sizes, medians, quantiles, value_ranks
 
 
 def guarded_std(value: Column) -> Column:
@@ -260,9 +261,6 @@ def auroc(
     A target with more than two values is split at its median. AUROC comes in closed form from
     the mid-ranks of the positive rows.
     """
-    from tabprobe.operators.columns import distinct_reaches, unpivot_numbers
-    from tabprobe.operators.ranks import value_ranks
-
     names = features or [c for c in df.columns if c != target]
     names = [n for n in names if coercible(df, n)]
     y = to_double(df, target)
@@ -274,7 +272,7 @@ def auroc(
     long = unpivot_numbers(df, names, {"label": label})
     table = value_ranks(
         long.where(F.col("label").isin(0, 1)), ["feature"], "x",
-        [F.sum("label").alias("positives")], **sizing,
+        [F.sum("label").alias("positives")], feature_sizes(df, names), **sizing,
     )
     sums = table.groupBy("feature").agg(
         F.sum(F.col("mid_rank") * F.col("positives")).alias("rank_sum"),
@@ -356,11 +354,11 @@ def top_values(df: DataFrame, names: list[str], k: int = 5) -> DataFrame:
 
 def median_bits(df: DataFrame, names: list[str], **sizing) -> dict[str, Column]:
     """Per column: 1 above the column's median, else 0 (null counts as 0)."""
-    from tabprobe.operators.columns import unpivot_numbers
-
     found = {
         r["feature"]: r["median"]
-        for r in medians(unpivot_numbers(df, names, {}), ["feature"], "x", **sizing).collect()
+        for r in medians(
+            unpivot_numbers(df, names, {}), ["feature"], "x", sizes=feature_sizes(df, names), **sizing
+        ).collect()
     }
     return {
         n: F.coalesce((to_double(df, n) > F.lit(found.get(n))).cast("int"), F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
@@ -12,6 +13,7 @@ from tabprobe.functions import text as X
 from tabprobe.functions.draws import digest
 
 SAMPLE = 100
+PARALLEL = 4
 DOMINANT = 0.9
 _PREFILTER_ROWS = 50_000
 _PREFILTER_MARGIN = 4
@@ -59,6 +61,12 @@ def cell_counts(df: DataFrame, key: str) -> CellCounts:
     return CellCounts(found["rows"], found["held"], found["near"])
 
 
+def all_counts(tables: dict[str, DataFrame], key: str) -> dict[str, CellCounts]:
+    """Cell counts of every table, a few tables at a time."""
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return dict(zip(tables, pool.map(lambda df: cell_counts(df, key), tables.values())))
+
+
 def _limited(cells: DataFrame, order: list[str], size: int) -> DataFrame:
     """The first ``size`` cells of each column; the limit works in every task before the shuffle."""
     window = Window.partitionBy("dataset", "position").orderBy(*order)
@@ -102,10 +110,11 @@ def column_sample(
     counts: dict[str, CellCounts] | None = None,
 ) -> DataFrame:
     """Up to ``size`` random non-blank cells of each column of each table."""
-    counts = counts or {name: cell_counts(df, key) for name, df in tables.items()}
-    parts = [
-        _sample_candidates(df, key, name, seed, size, counts[name]) for name, df in tables.items()
-    ]
+    counts = counts or all_counts(tables, key)
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        parts = list(pool.map(
+            lambda name: _sample_candidates(tables[name], key, name, seed, size, counts[name]), tables
+        ))
     return _limited(reduce(DataFrame.unionByName, parts), ["draw", "row"], size)
 
 
@@ -117,7 +126,7 @@ def first_cells(
 
     Only the lowest row ids are read where they hold enough cells of every column.
     """
-    counts = counts or {name: cell_counts(df, key) for name, df in tables.items()}
+    counts = counts or all_counts(tables, key)
     parts = []
     for name, df in tables.items():
         enough = all(
@@ -132,7 +141,7 @@ def sequential_ids(
     tables: dict[str, DataFrame], key: str, counts: dict[str, CellCounts] | None = None
 ) -> DataFrame:
     """Columns whose first cells are 1, 2, 3, ...: ``(dataset, column, sequential)``."""
-    counts = counts or {name: cell_counts(df, key) for name, df in tables.items()}
+    counts = counts or all_counts(tables, key)
     cells = first_cells(tables, key, SAMPLE, counts)
     follows = F.coalesce(X.parse_int(F.col("cell")) == F.col("place"), F.lit(False))
     least = F.create_map(*[
@@ -227,7 +236,7 @@ def profile_all(tables: dict[str, DataFrame], key: str = "row_id", seed: int = 0
          for i, c in enumerate(df.columns)],
         "dataset string, position int, column string, is_target boolean",
     )
-    held = {name: cell_counts(df, key) for name, df in tables.items()}
+    held = all_counts(tables, key)
     votes = vote(column_sample(tables, key, seed, SAMPLE, held)).drop("position")
     found = (
         names.join(F.broadcast(votes), ["dataset", "column"], "left")

@@ -47,6 +47,14 @@ def group_sizes(rows: DataFrame, by: list[str], value: str) -> GroupSizes:
     return GroupSizes(found["largest"] or 0, found["groups"])
 
 
+def feature_sizes(df: DataFrame, names: list[str]) -> GroupSizes:
+    """Upper bound for the groups of an unpivoted table: no column has more values than rows.
+
+    A row count needs no column, so on Parquet it is read from the file footers.
+    """
+    return GroupSizes(df.count(), len(names))
+
+
 def bucket_of(value: Column, cuts: Column, bits: int = BUCKET_BITS) -> Column:
     """Number of cut points below the value: binary search in fewer than 2**bits sorted cuts."""
     steps = F.array(*[F.lit(2**bit) for bit in reversed(range(bits))])
@@ -140,16 +148,19 @@ def quantiles(
     by: list[str],
     value: str,
     probs: list[float],
+    sizes: GroupSizes | None = None,
     small_group: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: ``(by..., quantiles array<double>)``."""
     if not by:
         whole = rows.withColumn("_all", F.lit(0))
-        return quantiles(whole, ["_all"], value, probs, small_group, rows_per_bucket).drop("_all")
+        return quantiles(
+            whole, ["_all"], value, probs, sizes, small_group, rows_per_bucket
+        ).drop("_all")
     small_group = SMALL_GROUP if small_group is None else small_group
     rows = rows.select(*by, F.col(value).cast("double").alias("_value"))
-    sizes = group_sizes(rows, by, "_value")
+    sizes = sizes or group_sizes(rows, by, "_value")
     if sizes.small(small_group):
         return rows.groupBy(*by).agg(
             F.percentile("_value", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles")
@@ -183,7 +194,7 @@ def quantiles(
     ).select(*by, F.col("_all.value").alias("quantiles"))
 
 
-def medians(rows: DataFrame, by: list[str], value: str, **sizing: int) -> DataFrame:
+def medians(rows: DataFrame, by: list[str], value: str, **sizing) -> DataFrame:
     """Median per group: ``(by..., median)``."""
     return quantiles(rows, by, value, [0.5], **sizing).select(
         *by, F.col("quantiles")[0].alias("median")
@@ -195,6 +206,7 @@ def value_ranks(
     by: list[str],
     value: str,
     extra: list[Column] = (),
+    sizes: GroupSizes | None = None,
     small_group: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
@@ -205,10 +217,12 @@ def value_ranks(
     """
     if not by:
         whole = rows.withColumn("_all", F.lit(0))
-        return value_ranks(whole, ["_all"], value, extra, small_group, rows_per_bucket).drop("_all")
+        return value_ranks(
+            whole, ["_all"], value, extra, sizes, small_group, rows_per_bucket
+        ).drop("_all")
     small_group = SMALL_GROUP if small_group is None else small_group
     rows = rows.where(F.col(value).isNotNull()).withColumn("_value", F.col(value))
-    sizes = group_sizes(rows, by, "_value")
+    sizes = sizes or group_sizes(rows, by, "_value")
     if sizes.small(small_group):
         counted = rows.groupBy(*by, "_value").agg(F.count("*").alias("n"), *extra)
         placed = _with_below(counted, by)

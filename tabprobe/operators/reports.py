@@ -44,25 +44,33 @@ def derive(results: DataFrame, categories: DataFrame | None = None) -> DataFrame
     return out.withColumn("category", F.coalesce("category", F.lit("other")))
 
 
-def _sets(df: DataFrame, sets: list[list[str]], *aggregates: Column) -> DataFrame:
-    """One pass over several groupings; ``grouping`` names the columns that are grouped by."""
+def _sets(df: DataFrame, sets: list[list[str]], counted: dict[str, Column]) -> DataFrame:
+    """Sums of 0/1 columns over several groupings; ``grouping`` names the grouping columns.
+
+    Records are first summed by all the columns together, so the grouping sets repeat the few
+    combinations that occur and not the records.
+    """
     names = sorted({n for s in sets for n in s}, key=lambda n: [n in s for s in sets], reverse=True)
-    used = F.concat_ws(",", *[F.when(F.grouping(n) == 0, F.lit(n)) for n in names])
-    return df.groupingSets([[F.col(n) for n in s] for s in sets], *[F.col(n) for n in names]).agg(
-        used.alias("grouping"), *aggregates
+    finest = df.groupBy(*names).agg(
+        F.count("*").alias("n"), *[F.sum(c.cast("bigint")).alias(k) for k, c in counted.items()]
     )
+    used = F.concat_ws(",", *[F.when(F.grouping(n) == 0, F.lit(n)) for n in names])
+    return finest.groupingSets(
+        [[F.col(n) for n in s] for s in sets], *[F.col(n) for n in names]
+    ).agg(used.alias("grouping"), F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in counted])
 
 
-def correct_rate() -> Column:
-    """Share graded CORRECT; a missing grade counts as wrong."""
-    return F.avg(F.coalesce((F.col("grade") == "CORRECT").cast("double"), F.lit(0.0)))
+def is_correct() -> Column:
+    """Graded CORRECT; a missing grade counts as wrong."""
+    return F.coalesce(F.col("grade") == "CORRECT", F.lit(False))
 
 
 def accuracy_cube(
     results: DataFrame, drop_empty: bool = True, sets: list[list[str]] = ACCURACY_SETS
 ) -> DataFrame:
     kept = results.where(~F.col("is_empty")) if drop_empty else results
-    return _sets(kept, sets, correct_rate().alias("accuracy"), F.count("*").alias("n"))
+    sums = _sets(kept, sets, {"correct": is_correct().cast("int")})
+    return sums.withColumn("accuracy", F.col("correct") / F.col("n")).drop("correct")
 
 
 def grade_pivot(results: DataFrame, with_empty: bool = False) -> DataFrame:
@@ -74,10 +82,8 @@ def grade_pivot(results: DataFrame, with_empty: bool = False) -> DataFrame:
 
 
 def empty_rates(results: DataFrame) -> DataFrame:
-    return _sets(
-        results, EMPTY_SETS, F.count_if("is_empty").alias("empty"), F.count("*").alias("total"),
-        F.avg(F.col("is_empty").cast("double")).alias("rate"),
-    )
+    sums = _sets(results, EMPTY_SETS, {"empty": F.col("is_empty").cast("int")})
+    return sums.withColumnRenamed("n", "total").withColumn("rate", F.col("empty") / F.col("total"))
 
 
 def metric_medians(
@@ -170,7 +176,7 @@ def call_histogram(results: DataFrame) -> DataFrame:
 
 def component_counts(calls: DataFrame) -> DataFrame:
     """Calls by component, over all models (model is null) and per model."""
-    return _sets(calls, [["component"], ["model", "component"]], F.count("*").alias("n"))
+    return _sets(calls, [["component"], ["model", "component"]], {})
 
 
 def component_pivot(calls: DataFrame) -> DataFrame:
@@ -197,7 +203,7 @@ def requested_by_category(calls: DataFrame, n: int = 20) -> DataFrame:
 def zero_call_rates(results: DataFrame) -> DataFrame:
     """Correct rate of the records without tool calls, against all graded records."""
     zero = F.col("n_calls") == 0
-    right = F.coalesce((F.col("grade") == "CORRECT").cast("double"), F.lit(0.0))
+    right = is_correct().cast("double")
     return results.agg(
         F.count_if(zero).alias("zero_entries"),
         F.avg(F.when(zero, right)).alias("zero_rate"),

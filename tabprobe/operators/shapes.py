@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.numbers import to_double
 from tabprobe.operators.columns import unpivot_numbers
-from tabprobe.operators.ranks import quantiles
+from tabprobe.operators.ranks import feature_sizes, quantiles
 
 
 def quantile_edges(df: DataFrame, features: list[str], q: int = 5, **sizing) -> DataFrame:
     """Per feature: the distinct bin edges at the q-quantiles."""
     probs = [i / q for i in range(q + 1)]
-    return quantiles(unpivot_numbers(df, features, {}), ["feature"], "x", probs, **sizing).select(
-        "feature", F.array_distinct("quantiles").alias("edges")
-    )
+    long = unpivot_numbers(df, features, {})
+    return quantiles(
+        long, ["feature"], "x", probs, feature_sizes(df, features), **sizing
+    ).select("feature", F.array_distinct("quantiles").alias("edges"))
 
 
 def bin_of(value: Column, edges: Column, q: int) -> Column:

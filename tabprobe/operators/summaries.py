@@ -34,7 +34,8 @@ def shape_function(
         edges = quantile_edges(df, numeric, q, **sizing)
         binned = assign_bins(df, numeric, edges, {"y": y}, q)
         pieces.append(
-            binned.groupBy("feature", "bin").agg(F.any_value("edges").alias("edges"), *aggregates)
+            binned.groupBy("feature", "bin").agg(*aggregates)
+            .join(F.broadcast(edges), "feature")
             .select(
                 "feature", F.lit("continuous").alias("type"), "bin",
                 F.lit(None).cast("string").alias("label"),
