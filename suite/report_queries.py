@@ -63,8 +63,8 @@ def results(spark, sf_dir):
         F.struct(
             F.when(e % 11 != 0, F.floor(seconds * 100)).cast("bigint").alias("input_tokens"),
             F.when(e % 13 != 0, u * 3 + e % 50).cast("bigint").alias("output_tokens"),
-            F.when(e % 17 != 0, seconds / 7).alias("ttft_s"),
-            ((seconds + u) / 7).alias("total_latency_s"),
+            F.when(e % 17 != 0, F.sqrt(seconds)).alias("ttft_s"),
+            F.sqrt(seconds + u).alias("total_latency_s"),
         ).alias("metrics"),
         calls.alias("tool_use"),
     )
@@ -101,8 +101,8 @@ D = f"""
                     when {_CHANCE} < 0.95 then 'INCORRECT' end as grade,
                case when event_id % 11 <> 0 then floor(value * 100)::bigint end as input_tokens,
                case when event_id % 13 <> 0 then user_id * 3 + event_id % 50 end as output_tokens,
-               case when event_id % 17 <> 0 then value / 7 end as ttft_s,
-               (value + user_id) / 7 as total_latency_s, event_id % 4 as n_calls
+               case when event_id % 17 <> 0 then sqrt(value) end as ttft_s,
+               sqrt(value + user_id) as total_latency_s, event_id % 4 as n_calls
         from events),
     d as (
         select *, coalesce(try_cast(regexp_extract(dataset, '_(\\d+)$', 1) as bigint), 0)

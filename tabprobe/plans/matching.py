@@ -7,6 +7,7 @@ distinct values of the columns that a value slot needs grow with the data; they
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,33 +195,43 @@ Values = Callable[[list[tuple[str, str]]], DataFrame]
 def pick_values(needed: DataFrame, values: Values, seed: int) -> DataFrame:
     """Values for the value slots ``needed(dataset, template_id, slot, column, position, turn)``.
 
-    Slots of one template that read the same column get different values: the random ones take
-    the smallest keyed digests in turn, a middle one the middle of what is left in text order.
+    Random slots of one template that read the same column get different values: the smallest
+    keyed digests in turn. A middle slot takes the middle value in text order.
     ``values`` is called with the (dataset, column) pairs that are needed, a few per table, and
     gives ``(dataset, column, value)`` with repeats; no other column is read.
     """
     key = ["dataset", "column"]
-    pairs = [tuple(r) for r in needed.select(*key).distinct().orderBy(*key).collect()]
-    if not pairs:
-        return needed.select(*_PAIR, "slot", F.lit(None).cast("string").alias("value")).limit(0)
-    distinct = values(pairs).where(F.col("value").isNotNull()).distinct()
-    randoms = needed.where(F.col("position") != "middle")
-    draw = digest(seed, "value", F.concat_ws("|", "dataset", "template_id", "column", "value"))
-    order = Window.partitionBy(*_PAIR, "column").orderBy("draw", "value")
-    # A template has a handful of slots, so each task passes on a handful of rows per column.
-    turns = randoms.groupBy(*_PAIR, "column").agg(F.max("turn").alias("most"))
-    drawn = distinct.join(turns, key).select(
-        *_PAIR, "column", "value", "most", draw.alias("draw")
-    ).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= 16).where(
-        F.col("turn") <= F.col("most")
-    )
-    picked = randoms.join(drawn, [*_PAIR, "column", "turn"]).select(*_PAIR, "slot", "value")
-    middles = needed.where(F.col("position") == "middle")
-    sought = distinct.join(middles.select(*key).distinct(), key, "left_semi")
-    counts = sought.groupBy(*key).agg(F.count("*").alias("n"))
-    wanted = counts.select(*key, F.floor(F.col("n") / 2).cast("bigint").alias("k"))
-    centre = order_statistics(sought, key, "value", wanted)
-    return picked.unionByName(middles.join(centre, key).select(*_PAIR, "slot", "value"))
+    is_middle = F.col("position") == "middle"
+    asked = needed.groupBy(*key).agg(
+        F.bool_or(is_middle).alias("middle"), F.bool_or(~is_middle).alias("random")
+    ).orderBy(*key).collect()
+    picks = [needed.select(*_PAIR, "slot", F.lit(None).cast("string").alias("value")).limit(0)]
+    random_pairs = [(r["dataset"], r["column"]) for r in asked if r["random"]]
+    if random_pairs:
+        randoms = needed.where(~is_middle)
+        turns = randoms.groupBy(*_PAIR, "column").agg(F.max("turn").alias("most"))
+        draw = digest(seed, "value", F.concat_ws("|", "dataset", "template_id", "column", "value"))
+        order = Window.partitionBy(*_PAIR, "column").orderBy("draw", "value")
+        # A template has a handful of slots, so each task passes on a handful of rows per column.
+        drawn = _distinct(values(random_pairs)).join(turns, key).select(
+            *_PAIR, "column", "value", "most", draw.alias("draw")
+        ).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= 16).where(
+            F.col("turn") <= F.col("most")
+        )
+        picks.append(
+            randoms.join(drawn, [*_PAIR, "column", "turn"]).select(*_PAIR, "slot", "value")
+        )
+    middle_pairs = [(r["dataset"], r["column"]) for r in asked if r["middle"]]
+    if middle_pairs:
+        sought = _distinct(values(middle_pairs))
+        wanted = sought.groupBy(*key).agg(F.floor(F.count("*") / 2).cast("bigint").alias("k"))
+        centre = order_statistics(sought, key, "value", wanted)
+        picks.append(needed.where(is_middle).join(centre, key).select(*_PAIR, "slot", "value"))
+    return reduce(DataFrame.unionByName, picks)
+
+
+def _distinct(values: DataFrame) -> DataFrame:
+    return values.where(F.col("value").isNotNull()).distinct()
 
 
 def assign_slots(
