@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from string import ascii_lowercase
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.draws import digest_text, shuffled, u_text
 from tabprobe.functions.numbers import number_columns, to_double
+from tabprobe.sources.shared import cut
 
 # Neutral stems for an inserted indicator column.
 NEUTRAL_NAMES = [
@@ -155,7 +157,7 @@ def row_id_column(df: DataFrame) -> str | None:
 def ensure_row_id(df: DataFrame) -> DataFrame:
     """Rename the column that numbers the rows to ``row_id``, or put a new ``row_id`` first.
 
-    New numbers follow the rows' place in their source files, which is the same on every read.
+    New numbers follow the rows' place in their source, see :func:`number_rows`.
     """
     found = row_id_column(df)
     if found is not None:
@@ -163,16 +165,37 @@ def ensure_row_id(df: DataFrame) -> DataFrame:
     return number_rows(df)
 
 
+def _places_in_files(df: DataFrame) -> DataFrame | None:
+    """Rows with their file and place, or null where a place is unknown or rows were left out."""
+    try:
+        tagged = df.select(
+            "*", F.col("_metadata.file_path").alias("_part"),
+            F.col("_metadata.row_index").alias("_at"),
+        )
+    except AnalysisException:
+        return None
+    whole = tagged.groupBy("_part").agg(
+        (F.count("*") == F.max("_at") + 1).alias("whole")
+    ).agg(F.bool_and("whole")).first()[0]
+    return None if whole is False else tagged
+
+
 def number_rows(df: DataFrame) -> DataFrame:
-    """Put ``row_id`` 1..n first, in the order of the Parquet files the rows come from."""
-    tagged = df.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")
-    )
-    ahead = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = tagged.groupBy("_file").agg(F.count("*").alias("_held")).select(
-        "_file", F.coalesce(F.sum("_held").over(ahead), F.lit(0)).alias("_ahead")
-    )  # one row per file; the join is left to the optimizer, which sees its size
-    return tagged.join(files, "_file").select(
+    """Put ``row_id`` 1..n first.
+
+    Whole Parquet files are numbered by file and place in the file, which is the same on every
+    read. Any other table is checkpointed first, which fixes its partitions, and
+    numbered by partition and place in the partition. No window or sort over rows is needed.
+    """
+    tagged = _places_in_files(df)
+    if tagged is None:
+        inside = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+        tagged = cut(df).select("*", F.spark_partition_id().alias("_part"), inside.alias("_at"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = tagged.groupBy("_part").agg(F.count("*").alias("_held")).select(
+        "_part", F.coalesce(F.sum("_held").over(ahead), F.lit(0)).alias("_ahead")
+    )  # one row per file or partition; the join is left to the optimizer, which sees its size
+    return tagged.join(parts, "_part").select(
         (F.col("_ahead") + F.col("_at") + 1).alias("row_id"), *[F.col(f"`{c}`") for c in df.columns]
     )
 

@@ -11,9 +11,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; only where none is named (local runs) a temporary one."""
+    """The folder the cluster names; a temporary one only for local runs that name none."""
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tabprobe-")
         spark.conf.set(_SETTING, named)
     return named

@@ -206,6 +206,19 @@ def test_ensure_row_id_keeps_a_counter(spark):
     assert ensure_row_id(df).columns == ["s", "row_id"]
 
 
+def test_new_row_ids_for_files_and_other_tables(spark, tmp_path):
+    words = spark.createDataFrame([(f"w{i % 9}",) for i in range(500)], "w string").repartition(6)
+    words.write.parquet(str(tmp_path / "t"))
+    words.write.csv(str(tmp_path / "c"), header=True)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    text = spark.read.csv(str(tmp_path / "c"), header=True)
+    for df in (stored, text, stored.where("w <> 'w1'"), text.groupBy("w").count()):
+        out = ensure_row_id(df).cache()
+        ids = sorted(r["row_id"] for r in out.collect())
+        assert ids == list(range(1, len(ids) + 1)) and len(ids) == df.count()
+        assert out.columns == ["row_id", *df.columns]
+
+
 def test_id_like_needs_order_and_no_repeats(spark):
     df = spark.range(50).select(
         F.col("id").alias("row_id"), (F.col("id") * 3).alias("up"), (-F.col("id")).alias("down"),
