@@ -12,7 +12,7 @@ from suite.base import (
     ORDERS, ORDERS_SQL, SCORES_SQL, SEED, orders_study, sql_bins, sql_digest, sql_n, sql_pick,
     sql_u, table,
 )
-from tabprobe.functions.draws import u_text
+from tabprobe.functions.draws import spec_seed, u_text
 from tabprobe.operators import columns as C
 from tabprobe.operators.answers import answer_safe
 from tabprobe.operators.inject import INJECTORS, inject_chain
@@ -497,18 +497,45 @@ def answers_after_injection(spark, sf_dir):
     return spark.createDataFrame(rows, "injector string, answer string")
 
 
-@query()
+_CHAIN = [
+    ("dq_bad_row_indicator", PARAMS["dq_bad_row_indicator"]),
+    ("unknown", {}),
+    ("dq_riskier_group", PARAMS["dq_riskier_group"]),
+    ("fi_top_features", {"target_col": "o_totalprice"}),
+]
+_FIRST, _SECOND = (spec_seed(SEED, *_CHAIN[i]) for i in (0, 2))
+
+
+@query(f"""
+    with {ORDERS_SQL},
+    facts as (select count(*) // 10 as n_bad, stddev_samp(o_totalprice) as sd from study),
+    ranked as (
+        select *, row_number() over (order by {sql_digest('bad', KEY, _FIRST)}) <= n_bad as bad
+        from study, facts),
+    raised as (
+        select o_orderkey, o_orderstatus, case when bad then o_totalprice
+            + least(abs(({sql_n('noise', KEY, _FIRST)}) * sd * 0.5), sd * 2)
+            else o_totalprice end as y
+        from ranked),
+    spread as (
+        select avg(y) as mu, stddev_samp(y) as sd,
+               case when {sql_u('coin', "''", _SECOND)} < 0.5 then 'P' else 'F' end as risky
+        from raised),
+    risk as (
+        select o_orderkey, case when o_orderstatus = risky
+                then mu + ({sql_n('risk', KEY, _SECOND)}) * sd * 3
+            when o_orderstatus in ('P', 'F') then mu + ({sql_n('risk', KEY, _SECOND)}) * sd * 0.5
+            else y end as y
+        from raised, spread)
+    select o_orderkey % 100 as part, count(*) as n, round(sum(y), 3) as total,
+           '{','.join(name for name, _ in _CHAIN if name in INJECTORS)}' as steps
+    from risk group by 1""")
 def chained_injections(spark, sf_dir):
     """Three injections on one table, in order; the unknown one is passed over."""
-    df, done = inject_chain(orders_study(spark, sf_dir), [
-        ("dq_bad_row_indicator", PARAMS["dq_bad_row_indicator"]),
-        ("unknown", {}),
-        ("dq_riskier_group", PARAMS["dq_riskier_group"]),
-        ("fi_top_features", {"target_col": "o_totalprice", "id_no_cols": [KEY]}),
-    ], SEED, KEY)
+    df, done = inject_chain(orders_study(spark, sf_dir), _CHAIN, SEED, KEY)
+    # The last step gave the order key another column's name.
+    key = done[-1].effects["original_to_new"][KEY]
     steps = F.lit(",".join(d.injector for d in done))
-    return df.agg(
-        F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"),
-        F.lit(len(df.columns)).alias("columns"), steps.alias("steps"),
-    )
-
+    return df.groupBy((F.col(key) % 100).alias("part")).agg(
+        F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 3).alias("total"),
+    ).withColumn("steps", steps)
