@@ -47,12 +47,13 @@ def exact_duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(ranges)))
         .otherwise(F.lit(0)).cast("long").alias("salt"),
     )
-    near = Window.partitionBy("norm", "salt")
+    near = Window.partitionBy("norm", "salt").orderBy(F.desc_nulls_last("doc_id"))
+    all_near = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parts = salted.repartitionByRange(ranges, "norm", "salt").select(
         "doc_id", "salt", "norm",
-        F.max("doc_id").over(near).alias("keep_id"),
-        F.count("*").over(near).alias("group_size"),
-        F.row_number().over(near.orderBy(F.desc_nulls_last("doc_id"))).alias("place"),
+        F.first("doc_id").over(all_near).alias("keep_id"),
+        F.count("*").over(all_near).alias("group_size"),
+        F.row_number().over(near).alias("place"),
     ).select(
         "doc_id", "salt", "keep_id", "group_size", "place", F.sha2("norm", 256).alias("text_sha256"),
         F.when((F.col("salt") > 0) & (F.col("place") == 1), F.col("norm")).alias("norm"),
