@@ -1,8 +1,8 @@
 """Exact duplicates by a content sort.
 
-Normalised texts are range-partitioned between sampled splitters and sorted externally, so that
-equal texts are neighbours; neighbours are compared in full by the window over the sorted rows.
-The range key has a second part, which is constant but for the few texts that fill a good part of
+Normalised texts are range-partitioned between sampled splitters (by their first characters, then
+their digest) and sorted externally, so that equal texts are neighbours; neighbours are compared
+in full by the window over the sorted rows. The range key has a last part, which is constant but for the few texts that fill a good part of
 a partition: their copies are spread over many ranges, summed up there, and the sums are compared
 in full once more.
 """
@@ -18,6 +18,9 @@ from tabprobe.llm.common import partitions_of, stored, texts_of
 SAMPLED_PER_RANGE = 40
 HOT_IN_SAMPLE = 8
 
+#: Characters of a text that splitters hold, before its digest; whole texts stay off the driver.
+LEADING = 32
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,13 +46,13 @@ def exact_duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     salted = normal.withColumn("digest", F.xxhash64("norm")).join(
         F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left"
     ).select(
-        "doc_id", "norm",
+        "doc_id", "norm", "digest", F.substring("norm", 1, LEADING).alias("leading"),
         F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(ranges)))
         .otherwise(F.lit(0)).cast("long").alias("salt"),
     )
-    near = Window.partitionBy("norm", "salt").orderBy(F.desc_nulls_last("doc_id"))
+    near = Window.partitionBy("leading", "digest", "norm", "salt").orderBy(F.desc_nulls_last("doc_id"))
     all_near = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = salted.repartitionByRange(ranges, "norm", "salt").select(
+    parts = salted.repartitionByRange(ranges, "leading", "digest", "salt").select(
         "doc_id", "salt", "norm",
         F.first("doc_id").over(all_near).alias("keep_id"),
         F.count("*").over(all_near).alias("group_size"),

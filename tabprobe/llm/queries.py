@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import table
+from tabprobe.llm import language_id
+from tabprobe.llm.common import fold_of, table
 from tabprobe.llm.exact_dedup import exact_duplicates
 from tabprobe.llm.packing import pack
 from tabprobe.llm.token_counts import token_counts
@@ -18,6 +19,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two folds of three."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.filter((fold_of("doc_id", 3) != 1) & F.col("lang").isNotNull())
+    model = language_id.train(labelled, docs)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 2048."""
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -37,6 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
