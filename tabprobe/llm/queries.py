@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import language_id
+from tabprobe.llm import language_id, toxicity
 from tabprobe.llm.common import fold_of, table
 from tabprobe.llm.exact_dedup import exact_duplicates
 from tabprobe.llm.packing import pack
@@ -29,6 +29,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = table(spark, sf_dir, "labels").filter(
+        (fold_of("doc_id", 5) != 0) & F.col("toxic").isNotNull())
+    found = toxicity.score(docs, toxicity.train(labelled, docs))
+    return found.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score",
+                        "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 2048."""
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -49,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_toxicity": op3_toxicity,
     "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
