@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import language_id, toxicity
+from tabprobe.llm import language_id, language_model, toxicity
 from tabprobe.llm.common import fold_of, table
 from tabprobe.llm.exact_dedup import exact_duplicates
 from tabprobe.llm.packing import pack
@@ -52,6 +52,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document under a bigram model of four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_model.train(docs.filter(fold_of("doc_id", 5) != 1))
+    found = language_model.scored(docs, model)
+    return found.withColumn("held_out", fold_of("doc_id", 5) == 1).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy that stays of each text, for every document."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
@@ -62,6 +71,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_language_model": op9_language_model,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
