@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabprobe.llm import language_id, language_model, toxicity
 from tabprobe.llm.common import fold_of, table
 from tabprobe.llm.exact_dedup import exact_duplicates
+from tabprobe.llm.ngram_join import similar_groups
 from tabprobe.llm.packing import pack
 from tabprobe.llm.token_counts import token_counts
 
@@ -29,6 +30,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share at least three quarters of their word 5-grams."""
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four folds of five."""
     docs = table(spark, sf_dir, "documents")
@@ -68,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
     "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
@@ -76,6 +83,29 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_ngram_jaccard": """
+        with recursive w as materialized (
+          select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+          from documents),
+        s as materialized (
+          select distinct doc_id, array_to_string(words[i:i + 4], ' ') as shingle
+          from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from w
+                where len(words) > 0)),
+        n as materialized (select doc_id, count(*) as n from s group by doc_id),
+        pairs as materialized (
+          select a.doc_id as a, b.doc_id as b, count(*) as shared
+          from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+        links as materialized (
+          select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b
+          where 100 * shared >= 75 * (x.n + y.n - shared)),
+        reach as (
+          select doc_id, doc_id as other from w
+          union select reach.doc_id, links.b from reach join links on links.a = reach.other)
+        select w.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other) as component_id
+        from w join reach on reach.doc_id = w.doc_id left join n on n.doc_id = w.doc_id
+        group by w.doc_id""",
     "op10_exact_dedup": """
         with n as (
           select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
