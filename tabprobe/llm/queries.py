@@ -10,6 +10,7 @@ from tabprobe.llm.common import fold_of, table
 from tabprobe.llm.exact_dedup import exact_duplicates
 from tabprobe.llm.ngram_join import similar_groups
 from tabprobe.llm.packing import pack
+from tabprobe.llm.substring_dedup import without_repeats
 from tabprobe.llm.token_counts import token_counts
 
 
@@ -45,6 +46,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "predicted")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that occur again."""
+    left = without_repeats(table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 2048."""
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -76,6 +85,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
     "op9_language_model": op9_language_model,
