@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tabprobe.llm import language_id, language_model, toxicity
 from tabprobe.llm.common import fold_of, table
 from tabprobe.llm.exact_dedup import exact_duplicates
+from tabprobe.llm.mixing import mixed
 from tabprobe.llm.ngram_join import similar_groups
 from tabprobe.llm.packing import pack
 from tabprobe.llm.substring_dedup import without_repeats
 from tabprobe.llm.token_counts import token_counts
+from tabprobe.llm.vector_search import nearest
 
 
 def tokenizer(name: str) -> str:
@@ -46,6 +48,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "predicted")
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for every hundredth one."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 400-byte strings that occur again."""
     left = without_repeats(table(spark, sf_dir, "documents"))
@@ -62,6 +69,26 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "offset")
 
 
+#: Target weights of the mixture; sources weigh alike within a language.
+WEIGHTS = {
+    ("web",): 5.0, ("books",): 3.0, ("forums",): 2.0,
+    ("web", "en"): 5.0, ("books", "en"): 4.0, ("forums", "en"): 6.0,
+    ("web", "de"): 2.0, ("books", "fr"): 2.0,
+}
+
+
+def domain():
+    """Domain of a source: the first eight are web, the next six books, the others forums."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    return (F.when(number == "", None).when(number.cast("int") < 8, "web")
+            .when(number.cast("int") < 14, "books").otherwise("forums"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for a mixture of as many tokens as there are."""
+    return mixed(table(spark, sf_dir, "documents"), domain(), weights=WEIGHTS)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -85,8 +112,10 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
+    "op4_vector_search": op4_vector_search,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
+    "op7_mixing": op7_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_language_model": op9_language_model,
     "op10_exact_dedup": op10_exact_dedup,
