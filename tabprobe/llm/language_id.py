@@ -116,8 +116,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     is no model. Of equally likely languages the first by name is taken. All columns of `docs`
     stay but those two, which are replaced; repeated rows stay.
     """
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*columns)
+    rows = docs.drop("lang_pred", "score")
     if model is None:
         return rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     sent = docs.sparkSession.sparkContext.broadcast(model)
