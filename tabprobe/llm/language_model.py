@@ -8,6 +8,7 @@ merged and written by one task. Scoring maps the arrays and searches them.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,6 +73,7 @@ class Counter:
     def sent(self) -> pa.RecordBatch:
         keys, n = self._sum() if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
         self.parts, self.size = [], 0
+        n = n.astype(np.uint32)  # sums are wider
         of = self.shard(keys)
         own, first = np.unique(of, return_index=True)
         cut = [*first, len(keys)]
@@ -289,8 +291,8 @@ class Scorer:
         folder = model.folder
 
         def parts(name: str) -> list[np.ndarray]:
-            return [mapped(f"{folder}/{name.format(s)}.npy") if n else None
-                    for s, n in enumerate(model.sizes)]
+            paths = [f"{folder}/{name.format(s)}.npy" for s in range(len(model.sizes))]
+            return [mapped(p) if os.path.exists(p) else None for p in paths]
 
         self.counts, self.endings = parts("words/{}.count"), parts("endings/{}")
         self.contexts = parts("contexts/{}")
