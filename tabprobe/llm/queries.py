@@ -79,7 +79,7 @@ WEIGHTS = {
 
 def domain():
     """Domain of a source: the first eight are web, the next six books, the others forums."""
-    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1), F.lit(""))
     return (F.when(number == "", None).when(number.cast("int") < 8, "web")
             .when(number.cast("int") < 14, "books").otherwise("forums"))
 
