@@ -91,7 +91,7 @@ PROFILE_SQL = f"""
                regexp_full_match(cell, '[+-]?\\d+') as is_int,
                regexp_full_match(cell, '[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?') as is_float,
                try_cast(cell as double) as number
-        from sampled),
+        from cells where cell <> ''),
     voted as (
         select dataset, col, position, count(*) filter (known) as total,
                count(*) filter (known and is_bool) as bools,
@@ -118,14 +118,15 @@ PROFILE_SQL = f"""
                 then case when floats > 0 then 'float' else 'int' end
             else 'mixed' end as dtype
         from voted),
-    firsts as (
-        select dataset, col, cell, row_number() over (partition by dataset, position order by row_)
-                   as place, count(*) over (partition by dataset, position) as held
-        from cells where cell <> ''),
     sequences as (
-        select dataset, col, coalesce(bool_and(try_cast(cell as bigint) = place), false)
+        select dataset, col, coalesce(count(try_cast(cell as bigint)) = count(*)
+                   and min(try_cast(cell as bigint)) = 1
+                   and max(try_cast(cell as bigint)) = count(*)
+                   and count(distinct try_cast(cell as bigint)) = count(*), false)
                    and count(*) >= least(20, max(held)) as sequential
-        from firsts where place <= 100 group by all),
+        from (select *, count(*) over (partition by dataset, position) as held from cells
+              where cell <> '')
+        group by all),
     targets as (
         select * from (values {', '.join(
             f"('{n}', '{cols[-1][0]}')" for n, (_, cols) in CATALOG.items())}) t(dataset, target)),
@@ -145,7 +146,7 @@ PROFILE_SQL = f"""
     select dataset, col as "column", place, row_ as "row", cell from sampled
     where dataset = 'customer'""")
 def sampled_cells(spark, sf_dir):
-    df = column_sample({"customer": catalog_table(spark, sf_dir, "customer")}, "row_id")
+    df = column_sample({"customer": catalog_table(spark, sf_dir, "customer")}, "row_id", 100)
     return as_bigint(df.select("dataset", "column", "place", "row", "cell"), "place")
 
 
@@ -154,7 +155,7 @@ def sampled_cells(spark, sf_dir):
     where dataset = 'orders'""")
 def sequential_columns(spark, sf_dir):
     tables = {"orders": catalog_table(spark, sf_dir, "orders")}
-    return sequential_ids(tables, "row_id").drop("dataset")
+    return sequential_ids(tables).drop("dataset")
 
 
 @query(f"""

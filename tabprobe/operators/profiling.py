@@ -1,10 +1,8 @@
-"""Column profiles: semantic type, kind and distinct count, voted on a keyed sample of cells."""
+"""Column profiles: semantic type, kind and distinct count, from every cell of a table."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,18 +10,9 @@ from pyspark.sql import functions as F
 from tabprobe.functions import text as X
 from tabprobe.functions.draws import digest
 
-SAMPLE = 100
-PARALLEL = 4
 DOMINANT = 0.9
 _PREFILTER_ROWS = 50_000
 _PREFILTER_MARGIN = 4
-_FIRST_ROWS = 10_000
-
-
-class CellCounts(NamedTuple):
-    rows: int
-    held: list[int]
-    near: list[int]
 
 
 def cell_rows(df: DataFrame, key: str, dataset: str = "", seed: int = 0) -> DataFrame:
@@ -49,22 +38,10 @@ def cell_draw(row_digest: Column, position: Column) -> Column:
     return F.substr(row_digest, F.lit(1) + position % 24, F.lit(8))
 
 
-def cell_counts(df: DataFrame, key: str) -> CellCounts:
-    """Rows, and non-blank cells per column in all rows and among the first row ids, in one pass."""
-    near = F.col(f"`{key}`") <= _FIRST_ROWS
-    shown = [F.coalesce(F.trim(F.col(f"`{n}`").cast("string")) != "", F.lit(False)) for n in df.columns]
-    found = df.agg(
-        F.count("*").alias("rows"),
-        F.array(*[F.count_if(c) for c in shown]).alias("held"),
-        F.array(*[F.count_if(c & near) for c in shown]).alias("near"),
-    ).first()
-    return CellCounts(found["rows"], found["held"], found["near"])
-
-
-def all_counts(tables: dict[str, DataFrame], key: str) -> dict[str, CellCounts]:
-    """Cell counts of every table, a few tables at a time."""
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        return dict(zip(tables, pool.map(lambda df: cell_counts(df, key), tables.values())))
+def held_cells(df: DataFrame) -> list[int]:
+    """Non-blank cells per column, in one pass."""
+    shown = [F.trim(F.col(f"`{n}`").cast("string")) != "" for n in df.columns]
+    return df.agg(F.array(*[F.count_if(c) for c in shown])).first()[0]
 
 
 def _limited(cells: DataFrame, order: list[str], size: int) -> DataFrame:
@@ -74,7 +51,7 @@ def _limited(cells: DataFrame, order: list[str], size: int) -> DataFrame:
 
 
 def _sample_candidates(
-    df: DataFrame, key: str, dataset: str, seed: int, size: int, counts: CellCounts
+    df: DataFrame, key: str, dataset: str, seed: int, size: int
 ) -> DataFrame:
     """Cells that can be in the sample.
 
@@ -84,10 +61,11 @@ def _sample_candidates(
     cells = cell_rows(df, key, dataset, seed).withColumn(
         "draw", cell_draw(F.col("digest"), F.col("position"))
     )
-    if max(counts.held, default=0) > _PREFILTER_ROWS:
+    held = held_cells(df)
+    if max(held, default=0) > _PREFILTER_ROWS:
         limits = [
             "%08x" % min(2**32 - 1, int(2**32 * size * _PREFILTER_MARGIN / max(1, n)))
-            for n in counts.held
+            for n in held
         ]
         passing = df.agg(*[
             F.count_if(
@@ -97,7 +75,7 @@ def _sample_candidates(
             for i, n in enumerate(df.columns)
         ]).first()
         limits = [
-            limit if passing[i] >= min(size, counts.held[i]) else "g"
+            limit if passing[i] >= min(size, held[i]) else "g"
             for i, limit in enumerate(limits)
         ]
         listed = F.array(*[F.lit(limit) for limit in limits])
@@ -106,79 +84,68 @@ def _sample_candidates(
 
 
 def column_sample(
-    tables: dict[str, DataFrame], key: str, seed: int = 0, size: int = SAMPLE,
-    counts: dict[str, CellCounts] | None = None,
+    tables: dict[str, DataFrame], key: str, size: int, seed: int = 0
 ) -> DataFrame:
     """Up to ``size`` random non-blank cells of each column of each table."""
-    counts = counts or all_counts(tables, key)
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        parts = list(pool.map(
-            lambda name: _sample_candidates(tables[name], key, name, seed, size, counts[name]), tables
-        ))
+    parts = [_sample_candidates(df, key, name, seed, size) for name, df in tables.items()]
     return _limited(reduce(DataFrame.unionByName, parts), ["draw", "row"], size)
 
 
-def first_cells(
-    tables: dict[str, DataFrame], key: str, size: int = SAMPLE,
-    counts: dict[str, CellCounts] | None = None,
-) -> DataFrame:
-    """The first ``size`` non-blank cells of each column in row order.
+def counted_cells(df: DataFrame, dataset: str) -> DataFrame:
+    """Different non-blank cells of each column and how often each is there.
 
-    Only the lowest row ids are read where they hold enough cells of every column.
+    Equal cells are summed up in every task before the shuffle.
     """
-    counts = counts or all_counts(tables, key)
-    parts = []
-    for name, df in tables.items():
-        enough = all(
-            near >= min(size, held) for near, held in zip(counts[name].near, counts[name].held)
-        )
-        rows = df.where(F.col(f"`{key}`") <= _FIRST_ROWS) if enough else df
-        parts.append(cell_rows(rows, key, name))
-    return _limited(reduce(DataFrame.unionByName, parts), ["row"], size)
-
-
-def sequential_ids(
-    tables: dict[str, DataFrame], key: str, counts: dict[str, CellCounts] | None = None
-) -> DataFrame:
-    """Columns whose first cells are 1, 2, 3, ...: ``(dataset, column, sequential)``."""
-    counts = counts or all_counts(tables, key)
-    cells = first_cells(tables, key, SAMPLE, counts)
-    follows = F.coalesce(X.parse_int(F.col("cell")) == F.col("place"), F.lit(False))
-    least = F.create_map(*[
-        F.lit(x) for name in tables for x in (name, min(20, counts[name].rows))
-    ])
-    return cells.groupBy("dataset", "column").agg(
-        F.bool_and(follows).alias("follows"), F.count("*").alias("n")
-    ).select(
-        "dataset", "column",
-        (F.col("follows") & (F.col("n") >= least[F.col("dataset")])).alias("sequential"),
-    )
+    names = df.columns
+    texts = df.select(*[F.trim(F.col(f"`{n}`").cast("string")).alias(f"@{i}")
+                        for i, n in enumerate(names)])
+    long = texts.unpivot([], [f"`@{i}`" for i in range(len(names))], "at", "cell")
+    return long.where(F.col("cell") != "").select(
+        F.lit(dataset).alias("dataset"), F.substring("at", 2, 10).cast("int").alias("position"),
+        "cell")
+
 
+def vote(tables: dict[str, DataFrame]) -> DataFrame:
+    """Semantic type and the facts behind the kind, per column, from all its cells.
 
-def vote(cells: DataFrame) -> DataFrame:
-    """Semantic type, kind and distinct count per column from its sampled cells."""
+    Cells are reduced to different cells, then to different numbers, then to columns, so that a
+    column of any size meets in one task only as a few partial sums.
+    """
+    cells = reduce(DataFrame.unionByName, [counted_cells(df, n) for n, df in tables.items()])
+    cells = cells.groupBy("dataset", "position", "cell").agg(F.count("*").alias("n"))
     cell = F.col("cell")
     normalised = X.normalise_numeric(cell)
     known = ~X.is_missing(cell)
     number = cell.try_cast("double")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
     tagged = cells.select(
-        "dataset", "column", "position", "cell", known.alias("known"),
+        "dataset", "position", "n", known.alias("known"),
         (known & X.is_bool_token(cell)).alias("bool_form"), X.clean(cell).alias("form"),
         F.when(known, F.when(X.parse_datetime(cell).isNotNull(), "datetime")
                .when(X.is_int_text(normalised), "int").when(X.is_float_text(normalised), "float")
                .otherwise("string")).alias("as"),
         X.parse_int(cell).alias("whole"), number.alias("number"), finite.alias("finite"),
     )
-    # The sets below hold at most SAMPLE cells per column.
-    counts = tagged.groupBy("dataset", "column", "position").agg(
-        F.count_if("known").alias("total"), F.count_if("bool_form").alias("bool_forms"),
-        F.size(F.collect_set(F.when(F.col("known"), F.col("form")))).alias("forms"),
-        *[F.count_if(F.col("as") == t).alias(t) for t in ("int", "float", "datetime", "string")],
-        F.size(F.collect_set("cell")).alias("unique_count"),
-        F.count("whole").alias("wholes"), (F.max("whole") - F.min("whole")).alias("span"),
-        F.bool_and("finite").alias("all_finite"), F.count("*").alias("cells"),
-        F.size(F.collect_set("number")).alias("numbers"),
+
+    def times(flag: Column) -> Column:
+        return F.sum(F.when(flag, F.col("n")).otherwise(0))
+
+    numbers = tagged.groupBy("dataset", "position", "number").agg(
+        times(F.col("known")).alias("total"), times(F.col("bool_form")).alias("bool_forms"),
+        # The spellings of true and false are a short fixed list.
+        F.collect_set(F.when(F.col("bool_form"), F.col("form"))).alias("forms"),
+        *[times(F.col("as") == t).alias(t) for t in ("int", "float", "datetime", "string")],
+        F.count("*").alias("unique_count"), F.sum("n").alias("cells"),
+        times(F.col("whole").isNotNull()).alias("wholes"),
+        F.min("whole").alias("low"), F.max("whole").alias("high"),
+        F.bool_and("finite").alias("all_finite"),
+    )
+    counts = numbers.groupBy("dataset", "position").agg(
+        *[F.sum(c).alias(c) for c in ("total", "bool_forms", "int", "float", "datetime", "string",
+                                      "unique_count", "cells", "wholes")],
+        F.size(F.array_distinct(F.flatten(F.collect_set("forms")))).alias("forms"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
+        F.bool_and("all_finite").alias("all_finite"), F.count("number").alias("numbers"),
         F.coalesce(F.bool_or(F.col("number") != F.floor("number")), F.lit(False)).alias("fractional"),
     )
     total = F.col("total")
@@ -199,7 +166,24 @@ def vote(cells: DataFrame) -> DataFrame:
         .when((share("int", "float") >= DOMINANT) & (others == 0), numeric_type)
         .otherwise("mixed")
     )
-    return counts.withColumn("dtype", dtype)
+    # 1, 2, 3, ... in any order: every cell a different whole number from 1 to their number.
+    rows = F.max("cells").over(Window.partitionBy("dataset"))  # one row per column of a table
+    sequential = (
+        (F.col("wholes") == F.col("cells")) & (F.col("low") == 1)
+        & (F.col("high") == F.col("cells")) & (F.col("numbers") == F.col("cells"))
+        & (F.col("cells") >= F.least(F.lit(20), rows))
+    )
+    return counts.withColumns({
+        "dtype": dtype, "span": F.col("high") - F.col("low"),
+        "sequential": F.coalesce(sequential, F.lit(False)),
+    })
+
+
+def sequential_ids(tables: dict[str, DataFrame]) -> DataFrame:
+    """Columns that hold 1, 2, 3, ..., each once: ``(dataset, column, sequential)``."""
+    return named_columns(tables).join(vote(tables), ["dataset", "position"]).select(
+        "dataset", "column", "sequential"
+    )
 
 
 def kind_of() -> Column:
@@ -223,25 +207,24 @@ def kind_of() -> Column:
     )
 
 
-def profile_all(tables: dict[str, DataFrame], key: str = "row_id", seed: int = 0) -> DataFrame:
-    """One row per table and column:
-    ``(dataset, column, position, kind, dtype, unique_count, is_target)``.
-
-    The last column is the target. Columns without any cell are ``empty`` and categorical. All
-    tables are sampled, voted on and classified in one plan.
-    """
+def named_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per table and column; the last column is the target."""
     spark = next(iter(tables.values())).sparkSession
-    names = spark.createDataFrame(
+    return spark.createDataFrame(
         [(name, i, c, i == len(df.columns) - 1) for name, df in tables.items()
          for i, c in enumerate(df.columns)],
         "dataset string, position int, column string, is_target boolean",
     )
-    held = all_counts(tables, key)
-    votes = vote(column_sample(tables, key, seed, SAMPLE, held)).drop("position")
-    found = (
-        names.join(F.broadcast(votes), ["dataset", "column"], "left")
-        .join(F.broadcast(sequential_ids(tables, key, held)), ["dataset", "column"], "left")
-    )
+
+
+def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per table and column:
+    ``(dataset, column, position, kind, dtype, unique_count, is_target)``.
+
+    The last column is the target. Columns without any cell are ``empty`` and categorical. All
+    cells of all tables are read once, in one plan without any job of its own.
+    """
+    found = named_columns(tables).join(vote(tables), ["dataset", "position"], "left")
     empty = F.col("dtype").isNull()
     return found.select(
         "dataset", "column", "position",
@@ -251,9 +234,9 @@ def profile_all(tables: dict[str, DataFrame], key: str = "row_id", seed: int = 0
     )
 
 
-def profile(df: DataFrame, dataset: str, key: str = "row_id", seed: int = 0) -> DataFrame:
+def profile(df: DataFrame, dataset: str) -> DataFrame:
     """The profile of one table."""
-    return profile_all({dataset: df}, key, seed)
+    return profile_all({dataset: df})
 
 
 def nested_profile(profiles: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from tabprobe.functions.numbers import number_columns
 from tabprobe.plans.matching import match_all, required_phenomena, run_report
 from tabprobe.plans.templates import templates_frame
 from tabprobe.sources.instances import (
-    discover_instances, read_table, store_table, write_instance,
+    as_text, discover_instances, read_table, store_table, write_instance,
 )
 from tabprobe.sources.shared import cut
 
@@ -55,7 +55,7 @@ def build_instances(
     An injection is kept only if every question that asked for it has an answer. The loop is
     over the few injections of one table; each of its steps is a job over all rows.
     """
-    profiles = cut(profile(table, dataset, key))
+    profiles = cut(profile(table, dataset))
     matches = cut(match_all(
         templates_frame(spark), profiles, values_of({dataset: table}), seed, template_ids
     ))
@@ -79,7 +79,7 @@ def build_instances(
             answer = answer_safe(
                 template_id, result.table, match["slots"], {spec["injector"]: result.effects}, key
             )
-            value = answer.value if not isinstance(answer.value, list) else ", ".join(answer.value)
+            value = as_text(answer.value)
             answers.append((*name, template_id, value, answer.status, answer.reason))
             qa_pairs.append({
                 "template_id": template_id, "category": match["category"],

@@ -2,8 +2,8 @@ from collections import Counter
 
 import pytest
 
-from tabprobe.operators.profiling import profile, profile_all
 from tabprobe.operators import profiling
+from tabprobe.operators.profiling import column_sample, profile, profile_all
 
 ROWS = 60
 
@@ -43,9 +43,7 @@ def test_profile_of_small_table(small):
     assert [r["column"] for r in rows if r["is_target"]] == ["y"]
 
 
-def test_profile_does_not_depend_on_partitions_or_prefilter(small, monkeypatch):
-    monkeypatch.setattr(profiling, "_PREFILTER_ROWS", 10)
-    monkeypatch.setattr(profiling, "_FIRST_ROWS", 5)
+def test_profile_does_not_depend_on_partitions(small):
     assert found(profile(small.repartition(7), "small").collect()) == WANT
 
 
@@ -58,3 +56,28 @@ def test_several_tables_in_one_plan(small):
 def test_empty_column(spark):
     df = spark.createDataFrame([(1, None), (2, " ")], "row_id bigint, v string")
     assert found(profile(df, "e").collect())["v"] == ("categorical", "empty", 0)
+
+
+def test_every_cell_counts(spark):
+    rows = [(i, str(i) if i <= 100 else str(2 * i), "x" if i == 777 else str(i), str(i % 30),
+             str(1001 - i)) for i in range(1, 1001)]
+    df = spark.createDataFrame(rows, "row_id bigint, starts string, one string, few string, back string")
+    got = found(profile(df, "d").collect())
+    assert got["row_id"] == ("id_no", "int", 1000) and got["back"] == ("id_no", "int", 1000)
+    assert got["starts"] == ("regression", "int", 1000)
+    assert got["one"] == ("categorical", "int", 1000)
+    assert got["few"] == ("categorical", "int", 30)
+
+
+def test_a_catalog_of_many_tables_is_one_plan(small):
+    tables = {f"t{i}": small.select("row_id", "day", "price") for i in range(200)}
+    rows = profile_all(tables).collect()
+    assert len(rows) == 600
+    assert {(r["kind"], r["dtype"]) for r in rows if r["column"] == "price"} == {
+        ("regression", "float")}
+
+
+def test_sample_does_not_depend_on_the_prefilter(small, monkeypatch):
+    plain = {tuple(r) for r in column_sample({"s": small}, "row_id", 5).collect()}
+    monkeypatch.setattr(profiling, "_PREFILTER_ROWS", 10)
+    assert {tuple(r) for r in column_sample({"s": small.repartition(4)}, "row_id", 5).collect()} == plain
