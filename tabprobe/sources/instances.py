@@ -15,7 +15,7 @@ from tabprobe.operators.inject import Injection
 # ``effects`` and ``answer`` differ by injector and template; they are kept as JSON text.
 MANIFEST_SCHEMA = """
     dataset_name string, seed bigint, base_dataset string, target string, row_key string,
-    instance string, status string, reason string,
+    instance string, status string, reason string, bytes bigint,
     phenomenon struct<injector_type: string, params: string, effects: string>,
     templates_applied array<string>,
     qa_pairs array<struct<template_id: string, category: string, answer_format: string,
@@ -40,12 +40,21 @@ def _write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
     )
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a folder, as its file system has it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(place).getLength()
+
+
 def store_table(
     spark: SparkSession, root: str, dataset: str, seed: int, injection: Injection
 ) -> None:
     """Write the injected table once and go on from the written one."""
     name = instance_name(dataset, seed, injection.injector, injection.params)
     injection.table.write.mode("overwrite").parquet(f"{root}/tables/{name}")
+    if injection.groups is not None:  # may be as many as the table has values
+        injection.groups.write.mode("overwrite").parquet(f"{root}/groups/{name}")
     injection.table = read_table(spark, root, name)
 
 
@@ -66,6 +75,7 @@ def write_instance(
         "dataset_name": dataset, "seed": seed, "base_dataset": base, "target": target,
         "row_key": row_key, "instance": name,
         "status": injection.status, "reason": injection.reason,
+        "bytes": stored_bytes(spark, f"{root}/tables/{name}") if injection.status == "OK" else 0,
         "phenomenon": {
             "injector_type": injection.injector, "params": injection.params,
             "effects": injection.effects,
@@ -76,6 +86,11 @@ def write_instance(
     return name
 
 
+def read_groups(spark: SparkSession, root: str, instance: str) -> DataFrame:
+    """Every group of an instance with its mean and side, however many there are."""
+    return spark.read.parquet(f"{root}/groups/{instance}")
+
+
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/manifests", recursiveFileLookup=True)
 
@@ -103,13 +118,7 @@ def discover_instances(
     if suffixes:
         ends = [F.col("dataset_name").endswith(s) for s in suffixes]
         found = found.where(F.greatest(*ends, F.lit(False)))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
-        f"{root}/tables"
-    ).select(
-        F.regexp_extract("path", r"/tables/(.+)/[^/]+$", 1).alias("instance"), "length"
-    )
-    sizes = files.groupBy("instance").agg(F.sum("length").alias("bytes"))
-    return found.join(sizes, "instance").orderBy("bytes", "instance")
+    return found.orderBy("bytes", "instance")
 
 
 def refresh_answers(spark: SparkSession, root: str) -> DataFrame:
@@ -124,7 +133,7 @@ def refresh_answers(spark: SparkSession, root: str) -> DataFrame:
             answer = answer_safe(
                 qa["template_id"], table, qa["slot_assignments"], effects, m["row_key"]
             )
-            text = _as_text(answer.value)
+            text = as_text(answer.value)
             if answer.status != "SKIP":
                 entry["answer"] = text
             qa_pairs.append(entry)
@@ -152,8 +161,8 @@ def refresh_answers(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _as_text(value: str | list[str] | None) -> str | None:
-    return json.dumps(value) if isinstance(value, list) else value
+def as_text(value: str | list[str] | None) -> str | None:
+    return ", ".join(value) if isinstance(value, list) else value
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

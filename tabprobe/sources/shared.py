@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +10,10 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only for local runs that name none."""
+    """The folder the cluster names in spark.checkpoint.dir; an error where it names none."""
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="tabprobe-")
-        spark.conf.set(_SETTING, named)
+        raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
     return named
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tabprobe.functions.records import run_label
 from tabprobe.operators.profiling import flat_profile, nested_profile
+from tabprobe.operators.ranks import order_statistics
 
 # Cell texts that a table reader takes as missing.
 NA_TOKENS = [
@@ -32,15 +33,30 @@ RESULT_SCHEMA = """
 """
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """CSV with a header as text; a quote inside quotes is doubled.
+
+    Cells that hold line breaks have to be asked for, as such files cannot be split.
+    """
+    return spark.read.csv(
+        path, header=True, inferSchema=False, quote='"', escape='"', multiLine=line_breaks
+    )
+
+
+def load_table(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+    fmt: str | None = None, line_breaks: bool = False,
+) -> DataFrame:
     """A Parquet folder, or CSV with a header, with missing tokens as null.
 
-    Without a schema the CSV's types are found in one aggregate over its text: whole numbers,
+    Without ``fmt``, a name that ends in .csv (or .csv.gz) is CSV and any other Parquet. Without a
+    schema the CSV's types are found in one aggregate over its text: whole numbers,
     else numbers, else true/false, else text.
     """
-    if path.rstrip("/").endswith(".parquet"):
+    fmt = fmt or ("csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet")
+    if fmt == "parquet":
         return spark.read.parquet(path)
-    text = spark.read.csv(path, header=True, inferSchema=False)
+    text = read_csv(spark, path, line_breaks)
     cells = text.select(*[
         F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in text.columns
     ])
@@ -75,13 +91,13 @@ def infer_types(cells: DataFrame) -> dict[str, T.DataType]:
     return found
 
 
-def load_text_table(spark: SparkSession, path: str) -> DataFrame:
+def load_text_table(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """CSV with every cell as trimmed text."""
-    text = spark.read.csv(path, header=True, inferSchema=False)
+    text = read_csv(spark, path, line_breaks)
     return text.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in text.columns])
 
 
-def head_rows(df: DataFrame, n: int = 10_000, row_id: str | None = None) -> DataFrame:
+def head_rows(df: DataFrame, n: int, row_id: str | None = None) -> DataFrame:
     """The first n rows: by row id where there is one (repeatable), else any n rows read first."""
     return df.where(F.col(row_id) <= n) if row_id else df.limit(n)
 
@@ -89,23 +105,23 @@ def head_rows(df: DataFrame, n: int = 10_000, row_id: str | None = None) -> Data
 def size_variants(
     df: DataFrame, sizes: tuple[int, ...] = (100, 500, 1000), row_id: str = "row_id"
 ) -> DataFrame:
-    """Nested first-n copies of a table, tagged ``size``; a size beyond the table is left out.
+    """Nested copies of the first n rows of a table by row id, tagged ``size``.
 
-    One scan; a row is repeated once per size that holds it.
+    A size beyond the table is left out. Row ids are distinct and may have gaps: the last id of
+    each size is found as an order statistic.
     """
-    most = df.agg(F.max(row_id)).first()[0] or 0
-    low = df.agg(F.min(row_id)).first()[0] or 0
-    kept = [s for s in sorted(sizes) if s <= most - low + 1]
-    place = F.col(row_id) - F.lit(low) + 1
-    sizes_held = F.filter(F.array(*[F.lit(s) for s in kept]).cast("array<bigint>"),
-                          lambda s: place <= s)
+    wanted = df.sparkSession.createDataFrame([(s - 1,) for s in sorted(set(sizes))], "k long")
+    found = order_statistics(df, [], row_id, wanted)
+    last = {r["k"] + 1: r[row_id] for r in found.collect()}  # one row per size
+    held = [F.when(F.col(row_id) <= last[s], F.lit(s).cast("bigint")) for s in sorted(last)]
+    sizes_held = F.array_compact(F.array(*held)) if held else F.array().cast("array<bigint>")
     return df.withColumn("size", F.explode(sizes_held))
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", by: list[str] = ()) -> None:
     writer = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
     if fmt == "csv":
-        writer.csv(path, header=True)
+        writer.csv(path, header=True, quote='"', escape='"')
     else:
         writer.format(fmt).save(path)
 
@@ -116,15 +132,18 @@ def save_profile(profiles: DataFrame, path: str, rewrite: bool = False) -> None:
 
 
 def load_profile(spark: SparkSession, path: str) -> DataFrame:
-    return flat_profile(spark.read.schema(PROFILE_SCHEMA).json(path, multiLine=True))
+    return flat_profile(spark.read.schema(PROFILE_SCHEMA).json(path))
 
 
-def load_records(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Result files (JSON arrays or one record per line) as one table tagged with the run.
+def load_records(
+    spark: SparkSession, paths: list[str] | str, spread_arrays: bool = False
+) -> DataFrame:
+    """Result files as one table tagged with the run that each file names.
 
-    Each file names its run; files are read whole, one task each, so keep them in parts.
+    A line holds a record or a JSON array of records. An array spread over several lines has to be
+    asked for; such a file is read whole by one task, so store it as lines once.
     """
-    rows = spark.read.schema(RESULT_SCHEMA).json(paths, multiLine=True)
+    rows = spark.read.schema(RESULT_SCHEMA).json(paths, multiLine=spread_arrays)
     return rows.withColumn("run", run_label(F.col("_metadata.file_path")))
 
 

@@ -52,3 +52,27 @@ def test_rejected_instance_is_out_of_use(spark, tmp_path):
     assert I.discover_instances(spark, root).count() == 1
     I.write_instance(spark, root, "d", 1, done.reject("no longer holds"), [])
     assert I.discover_instances(spark, root).count() == 0
+
+
+def test_a_store_where_every_injection_was_rejected(spark, tmp_path):
+    root, df = str(tmp_path / "store"), study(spark)
+    done = inject(df, "dq_bad_row_indicator", {"outcome_col": "y"}, 1)
+    I.write_instance(spark, root, "d", 1, done.reject("never held"), [])
+    assert I.discover_instances(spark, root).count() == 0
+    assert summarise_instances(spark, root).count() == 0
+
+
+def test_every_group_is_stored(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    n = 8000
+    group = rng.integers(0, 1200, n)
+    late = rng.random(n) < np.where(group < 600, 0.8, 0.2)
+    df = spark.createDataFrame(pd.DataFrame({
+        "row_id": np.arange(1, n + 1), "g": [f"g{x}" for x in group],
+        "day": np.where(late, 9, 1), "y": np.where(group < 600, 1.0, 50.0) + rng.normal(0, 1, n)}))
+    done = inject(df, "rca_performance_improve", {
+        "outcome_col": "y", "group_col": "g", "time_col": "day", "specific_date": "5"}, 1)
+    assert done.status == "OK", done.reason
+    name = I.write_instance(spark, str(tmp_path), "d", 1, done, [])
+    assert I.read_groups(spark, str(tmp_path), name).count() == len(set(group))
+    assert I.discover_instances(spark, str(tmp_path)).first()["bytes"] > 0

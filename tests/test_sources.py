@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tabprobe.operators.profiling import profile
+from tabprobe.operators.profiling import profile, profile_all
 from tabprobe.sources import tables as T
 
 
@@ -40,6 +40,46 @@ def test_size_variants_and_head(spark):
     assert T.head_rows(df, 10).count() == 10
 
 
+def test_size_variants_with_gaps_in_the_ids(spark):
+    df = spark.range(50).selectExpr("10 * id + 10 as row_id")
+    counts = {r["size"]: r["count"] for r in
+              T.size_variants(df, (10, 20, 100)).groupBy("size").count().collect()}
+    assert counts == {10: 10, 20: 20}
+    assert T.size_variants(df, (100,)).count() == 0
+
+
+def test_quoted_cells(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('n,word,x\n1,"a ""b"", c",3\n2,"two\nlines",4\n')
+    rows = T.load_table(spark, str(path), line_breaks=True).orderBy("n").collect()
+    assert [tuple(r) for r in rows] == [(1, 'a "b", c', 3), (2, "two\nlines", 4)]
+    path.write_text('n,word,x\n1,"a ""b"", c",3\n')
+    assert tuple(T.load_table(spark, str(path)).first()) == (1, 'a "b", c', 3)
+    assert T.load_text_table(spark, str(path)).first()["word"] == 'a "b", c'
+    T.save_table(T.load_table(spark, str(path)), str(tmp_path / "back"), "csv")
+    assert tuple(T.load_table(spark, str(tmp_path / "back"), fmt="csv").first()) == (1, 'a "b", c', 3)
+
+
+def test_several_profiles_round_trip(spark, tmp_path):
+    df = spark.range(1, 61).select(F.col("id").alias("row_id"), (F.col("id") % 5).alias("y"))
+    rows = profile_all({"a": df, "b": df, "c": df}).drop("position")
+    T.save_profile(rows.coalesce(1), str(tmp_path / "p"))
+    assert T.load_profile(spark, str(tmp_path / "p")).count() == 6
+
+
+def test_records_on_lines(spark, tmp_path):
+    record = {"model": "m", "template_id": "a_v0", "model_answer": "x"}
+    lines = [json.dumps({**record, "model_answer": str(i)}) for i in range(10)]
+    (tmp_path / "eval_lines.json").write_text("\n".join(lines))
+    rows = T.load_records(spark, str(tmp_path / "eval_lines.json"))
+    assert {r["model_answer"] for r in rows.collect()} == {str(i) for i in range(10)}
+    T.split_results(rows, str(tmp_path / "s"))
+    back = T.load_records(spark, str(tmp_path / "s"))
+    assert back.count() == 10
+    (tmp_path / "eval_spread.json").write_text(json.dumps([record] * 4, indent=2))
+    assert T.load_records(spark, str(tmp_path / "eval_spread.json"), spread_arrays=True).count() == 4
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
 def test_save_table(spark, tmp_path, fmt):
     T.save_table(spark.range(5), str(tmp_path / "t"), fmt)
