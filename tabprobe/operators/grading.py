@@ -34,24 +34,78 @@ def parts(answer: Column) -> Column:
     )
 
 
+# Words that deny what stands after them in the same clause.
+DENIALS = ["no", "not", "never", "neither", "nor", "isn't", "isnt"]
+_CLAUSE_ENDS = r"[,;:.!?](?=\s|$)|\s(?:but|so|then)\s"
+_ITEM_ENDS = r"[,;\n]|\s(?:and|at|&)\s"
+
+
+def words(answer: Column) -> Column:
+    """Words of an answer: letters, digits and signs inside; numbers in one spelling."""
+    plain = F.regexp_replace(normalised(answer), r"[^\p{L}\p{N}_.\-]+", " ")
+    found = F.transform(F.split(plain, " "), lambda w: F.regexp_replace(w, r"[.\-]+$", ""))
+    return F.transform(
+        F.filter(found, lambda w: w != ""), lambda w: F.coalesce(w.try_cast("double").cast("string"), w)
+    )
+
+
+def place_of(said: Column, sought: Column) -> Column:
+    """Where in ``said`` (from 1) the words ``sought`` first stand one after the other, or 0."""
+    size = F.size(sought)
+    hits = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size(said), F.lit(1))),
+        lambda i: F.slice(said, i, size) == sought,
+    )
+    return F.when(size > 0, F.coalesce(F.get(hits, F.lit(0)), F.lit(0))).otherwise(0)
+
+
+def affirms(clause: Column, expected: Column) -> Column:
+    """The clause has the expected words and no denial before them.
+
+    YES and NO have to be its first or last word, as they also stand in other phrases.
+    """
+    said, sought = words(clause), words(expected)
+    at = place_of(said, sought)
+    before = F.slice(said, 1, F.greatest(at - 1, F.lit(0)))
+    denied = F.arrays_overlap(before, F.array(*[F.lit(d) for d in DENIALS]))
+    choice = sought.isin(F.array(F.lit("yes")), F.array(F.lit("no")))
+    return (at > 0) & ~denied & (~choice | (at == 1) | (at == F.size(said)))
+
+
 def _says(answer: Column, expected: Column) -> Column:
-    """The expected text stands in the answer as whole words."""
-    padded = F.concat(
-        F.lit(" "), F.regexp_replace(normalised(answer), r"[^\p{L}\p{N}_.\-]+", " "), F.lit(" ")
+    """The answer is the expected text, or a clause of it or the whole affirms that text."""
+    clauses = F.split(normalised(answer), _CLAUSE_ENDS)
+    return (
+        (words(answer) == words(expected)) | F.exists(clauses, lambda c: affirms(c, expected))
+        | ((F.size(words(expected)) > 1) & affirms(answer, expected))
     )
-    sought = F.regexp_replace(normalised(expected), r"[^\p{L}\p{N}_.\-]+", " ")
-    return padded.contains(F.concat(F.lit(" "), sought, F.lit(" ")))
+
+
+def items(answer: Column) -> Column:
+    """Parts of a list that commas, semicolons, line ends, "and" or "at" separate."""
+    pieces = F.split(F.regexp_replace(normalised(answer), _ITEM_ENDS, "\n"), "\n")
+    return F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def rule_grade(answer_format: Column, answer: Column, expected: Column) -> Column:
     """CORRECT, PARTIAL or INCORRECT by the rules of the answer format."""
     given, wanted = parts(answer), parts(expected)
-    shared = F.size(F.array_intersect(given, wanted))
-    same_set = (shared == F.size(F.array_distinct(wanted))) & (
-        F.size(F.array_distinct(given)) == F.size(F.array_distinct(wanted))
+    pieces = items(answer)
+    # Each wanted part in its own piece of the answer, with whatever words around it.
+    in_order = (F.size(pieces) == F.size(wanted)) & F.forall(
+        F.zip_with(pieces, wanted, affirms), lambda hit: hit
+    )
+    found = F.filter(wanted, lambda w: F.exists(pieces, lambda p: affirms(p, w)))
+    shared = F.size(F.array_union(F.array_intersect(given, wanted), found))
+    all_found = (shared == F.size(F.array_distinct(wanted))) & (
+        (F.size(F.array_distinct(given)) == F.size(F.array_distinct(wanted)))
+        | (F.size(F.array_distinct(pieces)) == F.size(F.array_distinct(wanted)))
+    )
+    listed = (
+        F.when((given == wanted) | in_order, "CORRECT").when(shared > 0, "PARTIAL")
+        .otherwise("INCORRECT")
     )
-    listed = F.when(given == wanted, "CORRECT").when(shared > 0, "PARTIAL").otherwise("INCORRECT")
-    paired = F.when(same_set, "CORRECT").when(shared > 0, "PARTIAL").otherwise("INCORRECT")
+    paired = F.when(all_found, "CORRECT").when(shared > 0, "PARTIAL").otherwise("INCORRECT")
     spoken = F.when(
         (normalised(answer) == normalised(expected)) | _says(answer, expected), "CORRECT"
     ).otherwise("INCORRECT")
