@@ -141,7 +141,7 @@ def derived_records(spark, sf_dir):
 
 @query(f"""
     with paths as (
-        select event_id, 's3://eval/' || {_list(RUNS)}[event_id % 5 + 1] || '/eval_'
+        select event_id, '/data/eval/' || {_list(RUNS)}[event_id % 5 + 1] || '/eval_'
                || ['results', 'python_semantic', 'raw_one', 'tools'][event_id % 4 + 1]
                || '.graded.json' as path from events),
     stems as (select *, lower(regexp_replace(split_part(path, '/', 5), '\\.[^.]*$', '')) as stem
@@ -155,7 +155,7 @@ def derived_records(spark, sf_dir):
     select coalesce(by_stem, by_path, stem) as run, count(*) as n from hits group by 1""")
 def runs_from_paths(spark, sf_dir):
     path = F.concat(
-        F.lit("s3://eval/"), _from_list(RUNS, F.col("event_id") % 5), F.lit("/eval_"),
+        F.lit("/data/eval/"), _from_list(RUNS, F.col("event_id") % 5), F.lit("/eval_"),
         _from_list(["results", "python_semantic", "raw_one", "tools"], F.col("event_id") % 4),
         F.lit(".graded.json"),
     )

@@ -204,11 +204,8 @@ def derangement(names: list[str], seed: int) -> dict[str, str]:
     """Each name mapped to another one, none to itself, each used once."""
     if len(names) < 2:
         return {}
-    for attempt in range(1000):
-        mixed = shuffled(names, seed, f"derange{attempt}")
-        if all(a != b for a, b in zip(names, mixed)):
-            return dict(zip(names, mixed))
-    return dict(zip(names, names[-1:] + names[:-1]))
+    mixed = shuffled(names, seed, "derange")
+    return dict(zip(mixed, mixed[1:] + mixed[:1]))  # one cycle through all names
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -247,8 +244,17 @@ def anonymize_columns(
 
 
 def insertion(columns: list[str], seed: int) -> tuple[str, int]:
-    """Name and position of a new indicator column: an unused neutral stem, before the last."""
-    free = [n for n in NEUTRAL_NAMES if n not in columns]
+    """Name and position of a new indicator column: an unused neutral stem, before the last.
+
+    Where all stems are taken they are numbered: ``region2_flag`` and so on.
+    """
+    turn = 1
+    while True:
+        stems = [n if turn == 1 else f"{n}{turn}" for n in NEUTRAL_NAMES]
+        free = [n for n in stems if n not in columns and f"{n}_flag" not in columns]
+        if free:
+            break
+        turn += 1
     name = shuffled(free, seed, "indicator")[0] + "_flag"
     return name, int(u_text(seed, "position", name) * max(1, len(columns)))
 

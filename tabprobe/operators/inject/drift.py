@@ -14,6 +14,7 @@ from tabprobe.operators.moments import median_bits, xor_bit
 from tabprobe.operators.ranks import order_statistics
 
 BROADCAST_GROUPS = 10_000
+#: Up to so many groups are also named in the effects; `groups` always has all of them.
 LISTED_GROUPS = 1_000
 
 

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.functions.draws import digest_text, shuffled
+from tabprobe.functions.draws import shuffled
 from tabprobe.functions.numbers import round_even, to_double, typical_decimals
 from tabprobe.operators.columns import numeric_features
 from tabprobe.operators.inject.base import Injection, or_one, replace_column
@@ -16,7 +16,8 @@ from tabprobe.operators.moments import cohens_d, correlations, median_bits, xor_
 MIN_UNIQUE = 5
 MIN_EFFECT = 0.5
 MAX_MAIN = 0.7
-CHECKED_PAIRS = 10
+#: Pairs compared by one aggregate.
+PAIRS_AT_ONCE = 100
 
 
 def interaction_dominant(df: DataFrame, params: dict, seed: int, key: str = "row_id") -> Injection:
@@ -38,19 +39,23 @@ def interaction_dominant(df: DataFrame, params: dict, seed: int, key: str = "row
     value = y + F.lit(amplitude) * (signal - F.lit(found["level"]))
     done.table = replace_column(df, outcome, round_even(value, found["places"]))
     done.effects = {"feat_a": first, "feat_b": second, "amplitude": amplitude}
-    # The injected pair against up to ten other pairs, in one aggregate.
-    others = list(combinations([n for n in names if n not in (first, second)], 2))
-    others = sorted(others, key=lambda p: digest_text(seed, "rival", "|".join(p)))[:CHECKED_PAIRS]
-    splits = {f"{a}|{b}": xor_bit(bits[a], bits[b]) for a, b in [(first, second), *others]}
-    sizes = {r["split"]: r["d"] for r in cohens_d(done.table, outcome, splits).collect()}
-    own = sizes[f"{first}|{second}"]
+    # The injected pair against every other pair, a hundred pairs to an aggregate.
+    own_pair = (first, second) if names.index(first) < names.index(second) else (second, first)
+    pairs = list(combinations(names, 2))
+    sizes = {}
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        some = pairs[at:at + PAIRS_AT_ONCE]
+        splits = {str(at + i): xor_bit(bits[a], bits[b]) for i, (a, b) in enumerate(some)}
+        for r in cohens_d(done.table, outcome, splits).collect():
+            sizes[pairs[int(r["split"])]] = r["d"]
+    own = sizes.pop(own_pair)
     if own < MIN_EFFECT:
         return done.reject(f"effect size {own:.4f} is too small")
     mains = correlations(done.table, outcome, [first, second]).collect()
     for row in mains:
         if row["r"] is not None and abs(row["r"]) > MAX_MAIN:
             return done.reject(f"feature {row['feature']} has a main effect of its own")
-    for pair in others:
-        if sizes["|".join(pair)] >= own:
+    for pair, size in sizes.items():
+        if size >= own:
             return done.reject(f"pair {pair[0]}, {pair[1]} interacts at least as strongly")
     return done

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,17 +107,11 @@ def _t_tail(t_squared: float, dof: float) -> float:
     return 1.0 - tail if swap else tail
 
 
-@F.pandas_udf(T.DoubleType())
-def f_tail(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    """Tail probability of F(1, dof); runs on the single row of a finished test."""
-    return pd.Series([
-        None if pd.isna(s) or pd.isna(d) or d <= 0 else _t_tail(float(s), float(d))
-        for s, d in zip(stat, dof)
-    ], dtype="float64")
-
-
 def levene(df: DataFrame, group: str, metric: str, a: object, b: object, **sizing) -> DataFrame:
-    """Median-centred Levene test of two groups: ``(n_a, n_b, f_stat, p_value)``."""
+    """Median-centred Levene test of two groups: ``(n_a, n_b, f_stat, p_value)``.
+
+    The sums come to the driver as one row, which works out the tail probability.
+    """
     side = F.when(equals_value(df, group, a), "a").when(equals_value(df, group, b), "b")
     tagged = df.select(side.alias("side"), to_double(df, metric).alias("x")).where(
         F.col("side").isNotNull() & F.col("x").isNotNull()
@@ -138,7 +131,13 @@ def levene(df: DataFrame, group: str, metric: str, a: object, b: object, **sizin
     within = n_a * F.col("v_a") + n_b * F.col("v_b")
     dof = (n_a + n_b - 2).cast("double")
     stat = F.try_divide(dof * between, within)
-    return sums.select("n_a", "n_b", stat.alias("f_stat"), f_tail(stat, dof).alias("p_value"))
+    row = sums.select("n_a", "n_b", stat.alias("f_stat"), dof.alias("dof")).first()
+    known = row["f_stat"] is not None and row["dof"] > 0
+    p_value = _t_tail(row["f_stat"], row["dof"]) if known else None
+    return df.sparkSession.createDataFrame(
+        [(row["n_a"], row["n_b"], row["f_stat"], p_value)],
+        "n_a bigint, n_b bigint, f_stat double, p_value double",
+    )
 
 
 def group_period_means(

@@ -128,16 +128,14 @@ def interactions_of(df: DataFrame, outcome: str, features: list[str], q: int = 5
     )
 
 
-def find_pair(interactions: DataFrame, first: str, second: str, listed: int = 20) -> DataFrame:
-    """The importance of a pair in either order, or the pairs there are (first twenty)."""
+def find_pair(interactions: DataFrame, first: str, second: str) -> DataFrame:
+    """The importance of a pair in either order, and all pairs there are, the strongest first."""
     pair = F.concat_ws(" & ", "feat_a", "feat_b")
     hit = (
         ((F.col("feat_a") == first) & (F.col("feat_b") == second))
         | ((F.col("feat_a") == second) & (F.col("feat_b") == first))
     )
-    shown = F.array_sort(F.collect_list(
-        F.when(F.col("rank") <= listed, F.struct("rank", pair.alias("pair")))
-    ))
+    shown = F.array_sort(F.collect_list(F.struct("rank", pair.alias("pair"))))
     return interactions.agg(
         F.max(F.when(hit, F.col("importance"))).alias("importance"),
         F.count("*").alias("pairs"), shown["pair"].alias("available"),

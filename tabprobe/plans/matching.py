@@ -215,9 +215,7 @@ def pick_values(needed: DataFrame, values: Values, seed: int) -> DataFrame:
         # A template has a handful of slots, so each task passes on a handful of rows per column.
         drawn = _distinct(values(random_pairs)).join(turns, key).select(
             *_PAIR, "column", "value", "most", draw.alias("draw")
-        ).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= 16).where(
-            F.col("turn") <= F.col("most")
-        )
+        ).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= F.col("most"))
         picks.append(
             randoms.join(drawn, [*_PAIR, "column", "turn"]).select(*_PAIR, "slot", "value")
         )
