@@ -9,7 +9,10 @@ only where a pair can still reach the bound that the two sizes set:
   with a single row.
 * Within a column the rows are first multiplied with one of them only. Rows that are linked need
   no further products between them, so a group of near copies costs as many products as it has
-  members and not their square. What is left in different components is then multiplied in full.
+  members and not their square.
+* Columns that still hold rows of different components are multiplied in blocks: rows that share
+  their first such column are put into the same blocks, a column is one entry for each block
+  that has it, and each pair of blocks adds up the overlaps of its rows in one matrix.
 * The overlap of a pair that passes the size bounds is accumulated over the whole rows, which lie
   as sorted arrays in the shared folder.
 """
@@ -39,6 +42,10 @@ from tabprobe.llm.tokens import (
 
 #: Rounds in which a column is multiplied with one row only.
 STAR_ROUNDS = 2
+#: Rows of a block, about.
+BLOCK_ROWS = 256
+#: Columns that a product of blocks takes at a time.
+COLUMNS = 4_096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = np.uint64(40)
 
@@ -230,40 +237,142 @@ def _entries(docs: DataFrame, nodes: list[tuple[int, int]], folder: str, words:
                   "entries")
 
 
+class Rows:
+    """Rows of the matrix by their places in the files."""
+
+    def __init__(self, folder: str):
+        self.folder, self.files = folder, {}
+
+    def of(self, place: int, n: int) -> np.ndarray:
+        number, at = int(place) >> 40, int(place) & ((1 << 40) - 1)
+        if number not in self.files:
+            if len(self.files) > 256:
+                self.files.clear()
+            self.files[number] = np.memmap(f"{self.folder}/rows/{number}", np.uint64, "r")
+        return self.files[number][at:at + int(n)]
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Columns that two rows share."""
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return int((a[at] == b).sum())
+
+
 def _linked(pairs: DataFrame, folder: str, percent: int) -> DataFrame:
     """Of pairs (a, b with sizes and places) those whose overlap reaches the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[int, np.ndarray] = {}
-
-        def row(place: int, n: int) -> np.ndarray:
-            number, at = place >> 40, place & ((1 << 40) - 1)
-            if number not in files:
-                if len(files) > 256:
-                    files.clear()
-                files[number] = np.memmap(f"{folder}/rows/{number}", np.uint64, "r")
-            return files[number][at:at + n]
-
+        rows = Rows(folder)
         for batch in batches:
             pdf = batch.to_pandas()
             good, last, a = [], None, None
-            for pa_, na, pb, nb in zip(pdf["place_a"], pdf["n_a"], pdf["place_b"], pdf["n_b"]):
-                if last != pa_:
-                    last, a = pa_, np.array(row(pa_, na))
-                b = row(pb, nb)
-                at = np.minimum(np.searchsorted(a, b), na - 1)
-                both = int((a[at] == b).sum())
+            for place_a, na, place_b, nb in zip(*(pdf[c] for c in (
+                    "place_a", "n_a", "place_b", "n_b"))):
+                if last != place_a:
+                    last, a = place_a, np.array(rows.of(place_a, na))
+                both = overlap(a, rows.of(place_b, nb))
                 good.append(100 * both >= percent * (na + nb - both))
             yield pa.RecordBatch.from_pandas(pdf[["a", "b"]][good], preserve_index=False)
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one shingle whose sizes allow a link, each once."""
-    a = left.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place")],
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Columns shared by each row of `a` and each of `b`: a matrix product over slices of columns."""
+    columns = np.unique(np.concatenate(a))
+    places = []
+    for rows in (a, b):
+        flat = np.concatenate(rows)
+        at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        there = columns[at] == flat
+        order = np.argsort(at[there], kind="stable")
+        places.append((at[there][order], row[there][order]))
+    total = np.zeros((len(a), len(b)), np.float32)  # whole numbers, exact up to 2^24
+    for low in range(0, len(columns), COLUMNS):
+        sides = []
+        for (at, row), n in zip(places, total.shape):
+            x, y = np.searchsorted(at, (low, low + COLUMNS))
+            side = np.zeros((n, COLUMNS), np.float32)
+            side[row[x:y], at[x:y] - low] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T
+    return total.astype(np.int64)
+
+
+def _blocks_of(entries: DataFrame) -> DataFrame:
+    """A block for each node: about BLOCK_ROWS nodes that share their first column, if possible."""
+    first = entries.groupBy("node").agg(F.min("shingle").alias("first"))
+    blocks = -(-first.count() // BLOCK_ROWS)
+    sizes = first.groupBy("first").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
+    many = F.xxhash64("first", F.pmod(F.xxhash64("node"), F.col("parts")))
+    few = F.pmod(F.xxhash64("first"), F.lit(max(blocks, 1)))
+    return first.join(sizes, "first").select(
+        F.col("node").alias("of"), F.when(F.col("parts") > 1, many).otherwise(few).alias("block"))
+
+
+def _blocked_links(entries: DataFrame, blocks: DataFrame, within: bool, folder: str,
+                   percent: int) -> DataFrame:
+    """Links between rows of different components that share a column of `entries`.
+
+    Either those within a block or those between blocks.
+    """
+    row = F.struct("node", "n", "place", "component")
+    tiles = entries.join(blocks, F.col("node") == F.col("of")).groupBy("shingle", "block").agg(
+        F.collect_list(row).alias("rows"), F.min("component").alias("low"),
+        F.max("component").alias("high"))
+
+    def side(name: str) -> DataFrame:
+        return tiles.select("shingle", *[
+            F.col(c).alias(f"{c}_{name}") for c in ("block", "low", "high")], *[
+            F.col(f"rows.{c}").alias(f"{c}_{name}") for c in ("node", "n", "place", "component")])
+
+    if within:
+        pairs = side("a").filter("low_a < high_a").withColumns({
+            f"{c}_b": F.col(f"{c}_a") for c in ("block", "node", "n", "place", "component")})
+    else:
+        pairs = side("a").join(side("b"), "shingle").filter(
+            (F.col("block_a") < F.col("block_b"))
+            & (F.least("low_a", "low_b") < F.greatest("high_a", "high_b")))
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        def rows_of(name: str) -> pd.DataFrame:
+            return pd.DataFrame({c: np.concatenate(pdf[f"{c}_{name}"].to_numpy())
+                                 for c in ("node", "n", "place", "component")}
+                                ).drop_duplicates("node").sort_values("node")
+
+        a, b = rows_of("a"), rows_of("b")
+        product = np.zeros((len(a), len(b)), np.int32)
+        for left, right in zip(pdf["node_a"], pdf["node_b"]):
+            product[np.ix_(np.searchsorted(a["node"], left),
+                           np.searchsorted(b["node"], right))] += 1
+        na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None]
+        rest = np.maximum(na - prefix_size(na, percent), nb - prefix_size(nb, percent))
+        # 100 o >= percent (na + nb - o), with what the first columns leave open added to o
+        able = ((product > 0) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                & ((100 + percent) * (product + rest) >= percent * (na + nb))
+                & (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None]))
+        if within:
+            able = np.triu(able, 1)
+        i, j = np.flatnonzero(able.any(axis=1)), np.flatnonzero(able.any(axis=0))
+        if not len(i):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        rows = Rows(folder)
+        both = overlaps([np.array(rows.of(a["place"].iat[x], na[x, 0])) for x in i],
+                        [np.array(rows.of(b["place"].iat[x], nb[0, x])) for x in j])
+        sizes = na[i] + nb[:, j]
+        good = able[np.ix_(i, j)] & (100 * both >= percent * (sizes - both))
+        x, y = np.nonzero(good)
+        return pd.DataFrame({"a": a["node"].to_numpy()[i[x]], "b": b["node"].to_numpy()[j[y]]})
+
+    return pairs.groupBy("block_a", "block_b").applyInPandas(multiply, "a long, b long")
+
+
+def _pairs(centre: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a shingle's centre and another row whose sizes allow a link, each once."""
+    a = centre.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place")],
                     F.col("component").alias("component_a"))
-    b = right.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place")],
+    b = entries.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place")],
                      F.col("component").alias("component_b"))
     bound = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return a.join(b, "shingle").filter(
@@ -295,7 +404,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 75,
         F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     entries = stored(entries.join(shared.select("shingle"), "shingle"), "shared-entries")
     links, found = None, None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + 2):
         if found is None:
             now = entries.withColumn("component", F.col("node"))
         else:
@@ -312,10 +421,13 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 75,
                              "node", "n", "place", "component")
             centre = now.groupBy("shingle").agg(F.min(first).alias("c")).select("shingle", "c.*")
             pairs = _pairs(centre, now, percent)
+            new = _linked(pairs.repartition(shards, "a").sortWithinPartitions("a"), folder,
+                          percent)
         else:
-            pairs = _pairs(now, now, percent).filter("a < b")
-        pairs = pairs.repartition(shards, "a").sortWithinPartitions("a")
-        new = stored(_linked(pairs, folder, percent), "links")
+            if turn == STAR_ROUNDS:
+                blocks = stored(_blocks_of(now), "blocks")
+            new = _blocked_links(now, blocks, turn == STAR_ROUNDS, folder, percent)
+        new = stored(new, "links")
         links = new if links is None else links.unionByName(new)
         found = components(links)
     labels = classes.join(found, "node", "left").select(
