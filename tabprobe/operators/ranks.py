@@ -12,6 +12,9 @@ window is used. Beyond that each group's value range is cut into buckets:
 
 Equal values are merged into one counted row first, so a value held by a third of the rows
 costs no more than any other.
+
+Group keys travel as one struct, which is never null, so a null key is a group like any other in
+every join; both ways give the same rows and the same bits.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ ROWS_PER_BUCKET = 200_000
 BUCKET_BITS = 16
 BROADCAST_GROUPS = 10_000
 _HASH_RANGE = 2**40
+GROUP = "_group"
 
 
 class GroupSizes(NamedTuple):
@@ -56,7 +60,10 @@ def feature_sizes(df: DataFrame, names: list[str]) -> GroupSizes:
 
 
 def bucket_of(value: Column, cuts: Column, bits: int = BUCKET_BITS) -> Column:
-    """Number of cut points below the value: binary search in fewer than 2**bits sorted cuts."""
+    """Number of cut points below the value, 2**bits - 1 at most, by binary search.
+
+    Should the hash have picked more cuts than that, the values above them share a bucket.
+    """
     steps = F.array(*[F.lit(2**bit) for bit in reversed(range(bits))])
     return F.aggregate(
         steps,
@@ -77,14 +84,14 @@ def _bucketed(
     most = 2**bits - 1
     wanted = rows.groupBy(*by).agg(F.count("*").alias("_rows")).withColumn(
         "_share",
-        F.least(F.lit(most) / F.col("_rows"), F.lit(1.0 / rows_per_bucket))
+        F.least(F.lit(most / 2) / F.col("_rows"), F.lit(1.0 / rows_per_bucket))
         * F.lit(float(_HASH_RANGE)),
     )
     cuts = (
         rows.join(sizes.share(wanted), by)
         .where(F.pmod(F.xxhash64(value), F.lit(_HASH_RANGE)) < F.col("_share"))
         .groupBy(*by)
-        .agg(F.slice(F.array_sort(F.collect_set(value)), 1, most).alias("_cuts"))
+        .agg(F.array_sort(F.collect_set(value)).alias("_cuts"))
     )
     bucketed = rows.join(sizes.share(cuts), by, "left").withColumn(
         "_bucket", F.coalesce(bucket_of(F.col(value), F.col("_cuts"), bits), F.lit(0))
@@ -114,21 +121,36 @@ def order_statistics(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Values at 0-based positions ``k`` of ``wanted(by..., k)`` in each group's sorted order."""
-    if not by:
-        whole = order_statistics(
-            rows.withColumn("_all", F.lit(0)), ["_all"], value, wanted.withColumn("_all", F.lit(0)),
-            sizes, small_group, rows_per_bucket,
-        )
-        return whole.drop("_all")
+    found = _order_statistics(
+        rows.select(group_key(by), F.col(value).alias("_value")), "_value",
+        wanted.select(group_key(by), "k"), sizes, small_group, rows_per_bucket,
+    )
+    return found.select(*group_columns(by), "k", F.col("_value").alias(value))
+
+
+def group_key(by: list[str]) -> Column:
+    """The columns ``by`` as one struct; without any, all rows are one group."""
+    return F.struct(*[F.col(f"`{c}`") for c in by] or [F.lit(0).alias("all")]).alias(GROUP)
+
+
+def group_columns(by: list[str]) -> list[Column]:
+    return [F.col(f"{GROUP}.`{c}`").alias(c) for c in by]
+
+
+def _order_statistics(
+    rows: DataFrame, value: str, wanted: DataFrame, sizes: GroupSizes | None,
+    small_group: int | None, rows_per_bucket: int,
+) -> DataFrame:
+    by = [GROUP]
     small_group = SMALL_GROUP if small_group is None else small_group
-    rows = rows.select(*by, F.col(value).alias("_value")).where(F.col("_value").isNotNull())
+    rows = rows.where(F.col("_value").isNotNull())
     sizes = sizes or group_sizes(rows, by, "_value")
     wanted = wanted.select(*by, "k").distinct()
     hit = (F.col("k") >= F.col("below")) & (F.col("k") < F.col("below") + F.col("n"))
     if sizes.small(small_group):
         counted = rows.groupBy(*by, "_value").agg(F.count("*").alias("n"))
         placed = _with_below(counted, by).join(sizes.share(wanted), by)
-        return placed.where(hit).select(*by, "k", F.col("_value").alias(value))
+        return placed.where(hit).select(*by, "k", value)
     bucketed, totals = _bucketed(rows, by, "_value", sizes, rows_per_bucket)
     targets = totals.join(sizes.share(wanted), by).where(
         (F.col("k") >= F.col("_ahead")) & (F.col("k") < F.col("_ahead") + F.col("_held"))
@@ -140,7 +162,7 @@ def order_statistics(
     placed = _with_below(counted, [*by, "_bucket"]).join(
         sizes.share(targets), [*by, "_bucket"]
     ).withColumn("below", F.col("below") + F.col("_ahead"))
-    return placed.where(hit).select(*by, "k", F.col("_value").alias(value))
+    return placed.where(hit).select(*by, "k", value)
 
 
 def quantiles(
@@ -153,21 +175,27 @@ def quantiles(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: ``(by..., quantiles array<double>)``."""
-    if not by:
-        whole = rows.withColumn("_all", F.lit(0))
-        return quantiles(
-            whole, ["_all"], value, probs, sizes, small_group, rows_per_bucket
-        ).drop("_all")
+    found = _quantiles(
+        rows.select(group_key(by), F.col(value).cast("double").alias("_value")), probs, sizes,
+        small_group, rows_per_bucket,
+    )
+    return found.select(*group_columns(by), "quantiles")
+
+
+def _quantiles(
+    rows: DataFrame, probs: list[float], sizes: GroupSizes | None, small_group: int | None,
+    rows_per_bucket: int,
+) -> DataFrame:
+    by = [GROUP]
     small_group = SMALL_GROUP if small_group is None else small_group
-    rows = rows.select(*by, F.col(value).cast("double").alias("_value"))
     sizes = sizes or group_sizes(rows, by, "_value")
     if sizes.small(small_group):
         return rows.groupBy(*by).agg(
             F.percentile("_value", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles")
         )
-    rows = rows.where(F.col("_value").isNotNull())
-    # (n - 1) * p is the fractional position of each quantile.
-    spots = rows.groupBy(*by).agg(F.count("*").alias("_rows")).select(
+    # (n - 1) * p is the fractional position of each quantile; a group may have no values at all.
+    groups = rows.groupBy(*by).agg(F.count("_value").alias("_rows"))
+    spots = groups.where(F.col("_rows") > 0).select(
         *by,
         F.posexplode(F.array(*[F.lit(float(p)) * (F.col("_rows") - 1) for p in probs])).alias(
             "_at", "_spot"
@@ -176,9 +204,7 @@ def quantiles(
     wanted = spots.select(
         *by, F.explode(F.array(F.floor("_spot"), F.ceil("_spot"))).alias("k")
     )
-    found = order_statistics(
-        rows, by, "_value", wanted, sizes, small_group, rows_per_bucket
-    )
+    found = _order_statistics(rows, "_value", wanted, sizes, small_group, rows_per_bucket)
     low = found.select(*by, F.col("k").alias("_lo"), F.col("_value").alias("_lo_value"))
     high = found.select(*by, F.col("k").alias("_hi"), F.col("_value").alias("_hi_value"))
     joined = (
@@ -186,12 +212,15 @@ def quantiles(
         .join(sizes.share(low), [*by, "_lo"])
         .join(sizes.share(high), [*by, "_hi"])
     )
-    step = F.col("_lo_value") + (F.col("_hi_value") - F.col("_lo_value")) * (
-        F.col("_spot") - F.col("_lo")
+    # As the built-in percentile weighs the two values.
+    step = F.when(F.col("_lo_value") == F.col("_hi_value"), F.col("_lo_value")).otherwise(
+        (F.col("_hi") - F.col("_spot")) * F.col("_lo_value")
+        + (F.col("_spot") - F.col("_lo")) * F.col("_hi_value")
     )
-    return joined.groupBy(*by).agg(
+    filled = joined.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_at"), step.alias("value")))).alias("_all")
     ).select(*by, F.col("_all.value").alias("quantiles"))
+    return groups.select(*by).join(sizes.share(filled), by, "left")
 
 
 def medians(rows: DataFrame, by: list[str], value: str, **sizing) -> DataFrame:
@@ -215,13 +244,11 @@ def value_ranks(
     ``mid_rank`` is the 1-based average rank of the tied rows. ``extra`` are aggregates of the
     rows behind each value.
     """
-    if not by:
-        whole = rows.withColumn("_all", F.lit(0))
-        return value_ranks(
-            whole, ["_all"], value, extra, sizes, small_group, rows_per_bucket
-        ).drop("_all")
+    names, by = by, [GROUP]
     small_group = SMALL_GROUP if small_group is None else small_group
-    rows = rows.where(F.col(value).isNotNull()).withColumn("_value", F.col(value))
+    rows = rows.where(F.col(value).isNotNull()).select(
+        "*", group_key(names), F.col(value).alias("_value")
+    )
     sizes = sizes or group_sizes(rows, by, "_value")
     if sizes.small(small_group):
         counted = rows.groupBy(*by, "_value").agg(F.count("*").alias("n"), *extra)
@@ -235,6 +262,6 @@ def value_ranks(
             .withColumn("below", F.col("below") + F.col("_ahead"))
             .drop("_bucket", "_ahead")
         )
-    return placed.withColumn(
-        "mid_rank", F.col("below") + (F.col("n") + 1) / F.lit(2.0)
-    ).withColumnRenamed("_value", value)
+    placed = placed.withColumn("mid_rank", F.col("below") + (F.col("n") + 1) / F.lit(2.0))
+    others = [c for c in placed.columns if c not in (GROUP, "_value")]
+    return placed.select(*group_columns(names), F.col("_value").alias(value), *others)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe.functions import records as R
-from tabprobe.operators.ranks import medians
+from tabprobe.operators.ranks import GROUP, group_key, medians
 
 METRICS = ["total_latency_s", "ttft_s", "input_tokens", "output_tokens", "total_tokens"]
 
@@ -97,7 +97,8 @@ def metric_medians(
     ).where(F.col("value").isNotNull())
     counts = long.groupBy(*by, "metric").agg(F.count("*").alias("n"))
     middle = medians(long, [*by, "metric"], "value", **sizing)
-    return counts.join(middle, [*by, "metric"]).select(
+    key = group_key([*by, "metric"])  # a null in it is a value like any other
+    return counts.withColumn(GROUP, key).join(middle.select(key, "median"), GROUP).select(
         *by, "metric", "n", F.round("median", 2).alias("median")
     )
 

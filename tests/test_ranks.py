@@ -55,6 +55,42 @@ def test_order_statistics_on_text(spark, sizing):
     assert got == {0: ordered[0], 1500: ordered[1500], 2999: ordered[2999]}
 
 
+@pytest.fixture(scope="module")
+def gaps(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 3 == 0 else "a", i % 2, float(v)) for i, v in
+            enumerate(rng.normal(0, 1, 3000).round(2))]
+    rows += [("empty", 0, None), ("empty", 0, None), (None, None, 1.5), ("nan", 1, float("nan"))]
+    return spark.createDataFrame(rows, "g string, h int, v double").repartition(4).cache()
+
+
+def bits(df):
+    return sorted((str(r.asDict()) for r in df.collect()))
+
+
+@pytest.mark.parametrize("sizing", SIZINGS[1:])
+def test_null_groups_and_bits_are_the_same_at_any_size(spark, gaps, sizing):
+    probs = [0.0, 0.1, 0.37, 0.5, 0.93, 1.0]
+    for by in (["g"], ["g", "h"], []):
+        small = bits(ranks.quantiles(gaps, by, "v", probs))
+        assert bits(ranks.quantiles(gaps, by, "v", probs, **sizing)) == small
+        small = bits(ranks.value_ranks(gaps, by, "v", [F.max("h").alias("top")]))
+        assert bits(ranks.value_ranks(gaps, by, "v", [F.max("h").alias("top")], **sizing)) == small
+    wanted = spark.createDataFrame([(None, 0), (None, 700), ("a", 5)], "g string, k bigint")
+    found = bits(ranks.order_statistics(gaps, ["g"], "v", wanted))
+    assert len(found) == 3
+    assert bits(ranks.order_statistics(gaps, ["g"], "v", wanted, **sizing)) == found
+
+
+def test_one_group_with_nine_tenths_of_the_rows_and_many_small_ones(spark):
+    df = spark.range(60_000).selectExpr(
+        "case when id % 10 > 0 then 'hot' else concat('g', id) end as g", "id * 7 % 1000 as v")
+    sizing = {"small_group": 0, "rows_per_bucket": 5_000}
+    large = ranks.medians(df, ["g"], "v", **sizing)
+    assert large.count() == 6_001
+    assert bits(large.where("g = 'hot'")) == bits(ranks.medians(df, ["g"], "v").where("g = 'hot'"))
+
+
 def test_all_null_group_is_null(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0)], "g string, v double")
     got = {r["g"]: r["median"] for r in ranks.medians(df, ["g"], "v").collect()}
