@@ -121,7 +121,72 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _shares(level: str, of: str, above: str, weight: str) -> str:
+    """Budgets of siblings: the least of a node's room and its weight times the common level."""
+    family = f"partition by {above} " if above else ""
+    keys = f"{above}, {level}" if above else level
+    given = f"any_value({of}.budget)" if above else "any_value(budget)"
+    source = f"leaves join {of} using ({above})" if above else f"leaves, {of}"
+    return f"""
+        {level}_nodes as (
+          select {keys}, sum(room) as room, {given} as given, {weight} as w
+          from {source} group by {keys}),
+        {level}_levels as (
+          select *, (given - coalesce(sum(room) over (
+                       {family}order by room / w, {level}
+                       rows between unbounded preceding and 1 preceding), 0))
+                    / sum(w) over ({family}order by room / w, {level}
+                       rows between current row and unbounded following) as x
+          from {level}_nodes),
+        {level}_shares as (
+          select {keys}, greatest(0, least(room, w * max(x) over ({family[:-1]}))) as budget
+          from {level}_levels)"""
+
+
+_MIX = ",".join([
+    _shares("domain", "whole", "", "case domain when 'web' then 5.0 when 'books' then 3.0 "
+            "when 'forums' then 2.0 else 1.0 end"),
+    _shares("language", "domain_shares", "domain",
+            "case domain || ' ' || language when 'web en' then 5.0 when 'books en' then 4.0 "
+            "when 'forums en' then 6.0 when 'web de' then 2.0 when 'books fr' then 2.0 "
+            "else 1.0 end"),
+    _shares("branch", "language_shares", "domain, language", "1.0"),
+])
+
 SQL = {
+    "op7_mixing": f"""
+        with d as (
+          select doc_id, len(list_filter(string_split_regex(coalesce(text, ''),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '')) as tokens,
+                 case when num = '' then 'none' when num::int < 8 then 'web'
+                      when num::int < 14 then 'books' else 'forums' end as domain,
+                 coalesce(lang, 'none') as language, coalesce(source, 'none') as branch
+          from (select *, coalesce(regexp_extract(source, '([0-9]+)$', 1), '') as num
+                from documents)),
+        leaves as (
+          select domain, language, branch, sum(tokens) as tokens, sum(tokens) * 2.0 as room
+          from d group by all),
+        whole as (select sum(tokens)::double as budget from leaves),
+        {_MIX},
+        plan as (
+          select *, least(budget // greatest(tokens, 1), 2) as times
+          from (select domain, language, branch, tokens,
+                       floor(branch_shares.budget + 1e-6)::bigint as budget
+                from leaves join branch_shares using (domain, language, branch))),
+        rests as (
+          select domain, language, branch, case when tokens > 0 then times else 1 end as times,
+                 case when tokens > 0 and times >= 2 then 0
+                      when tokens > 0 then budget - times * tokens else budget end as rest
+          from plan),
+        reached as (
+          select d.*, times, rest, sum(d.tokens) over (
+                   partition by domain, language, branch
+                   order by md5('17:' || times || ':' || doc_id)
+                   rows between unbounded preceding and current row) as so_far
+          from d join rests using (domain, language, branch))
+        select doc_id, domain, language, branch, tokens,
+               times + (rest > 0 and so_far <= rest)::int as copies
+        from reached""",
     "op2_ngram_jaccard": """
         with recursive w as materialized (
           select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
