@@ -51,9 +51,8 @@ def learned(sample: np.ndarray, neighbours: int, min_bits: int = 128, recall: fl
     n, dims = sample.shape
     centre = sample.mean(axis=0)
     x = sample - centre
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
     width = min(dims, min_bits)
-    base = axes.T[:, :width]
+    base = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :width]  # principal axes, the longest first
     y = x @ base
     rotations = []
     while sum(r.shape[1] for r in rotations) < min_bits:
@@ -108,7 +107,7 @@ def usable(vectors: DataFrame) -> DataFrame:
                 & F.exists("embedding", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, most_sample: int = 20_000,
+def nearest(vectors: DataFrame, is_query, k: int = 10, most_sample: int = 8_000,
             seed: int = 11) -> DataFrame:
     """The `k` nearest rows found for each row where `is_query` holds, among all other rows.
 
@@ -136,7 +135,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, most_sample: int = 20_000
     ids = bounded_sample(rows.select(F.col("vec_id").alias("doc_id")), most_sample, seed)
     sample = rows.join(F.broadcast(ids.distinct()), F.col("vec_id") == F.col("doc_id"),
                        "left_semi").orderBy("vec_id").limit(most_sample)
-    codes = learned(np.stack(sample.toPandas()["embedding"].to_numpy()), k, seed=seed)
+    vectors_of = sample.select("embedding").toArrow().column("embedding").combine_chunks()
+    codes = learned(vectors_of.flatten().to_numpy().reshape(-1, sizes.dims), k, seed=seed)
     row_blocks = max(1, -(-sizes["count"] // BLOCK_ROWS))
     query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
 
