@@ -19,7 +19,7 @@ SCHEMA = """
     slots array<struct<
         slot: string, type: string, source: string, source_column: string, position: string,
         kind_any_of: array<string>, dtype_any_of: array<string>,
-        unique_count_min: bigint, unique_count_max: bigint, default: string, min: string>>,
+        unique_count_min: bigint, unique_count_max: bigint, default: string, min: string, max: string>>,
     feature_pool struct<
         exclude_target: boolean, exclude_kinds: array<string>, exclude_dtypes: array<string>>,
     phenomena array<struct<injector: string, param_mapping: map<string,string>>>,
@@ -43,8 +43,10 @@ def value(slot: str, of: str, type_: str = "string", position: str = "random") -
     }
 
 
-def scalar(slot: str, type_: str, default: str, low: str | None = None) -> dict:
-    return {"slot": slot, "type": type_, "default": default, "min": low}
+def scalar(
+    slot: str, type_: str, default: str, low: str | None = None, high: str | None = None
+) -> dict:
+    return {"slot": slot, "type": type_, "default": default, "min": low, "max": high}
 
 
 def features(least: int) -> dict:
@@ -156,7 +158,7 @@ def _bad_rows(version: int, injector: str) -> dict:
 def _ranking(version: int, question: str, kinds: list[str]) -> dict:
     return _template(
         f"fi_top_features_v{version}", IMPORTANCE, "feature_ranked_list", question,
-        [target("OUTCOME_COL", kinds), scalar("K", "int", "5", "1")],
+        [target("OUTCOME_COL", kinds), scalar("K", "int", "5", "1", "10")],
         "fi_top_features", {"target_col": "{OUTCOME_COL}"}, [features(5)], BARE_POOL,
     )
 
