@@ -363,9 +363,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, shards: int | None = None
                 kinds[n[back.ravel()] == 1] = ANCHOR
                 marks = np.flatnonzero(kinds == MARK)
                 empty = pa.array([b""] * len(marks), pa.binary())
-                if len(marks):
+                if len(marks):  # these meet with nothing, so their key is any
                     m = marks
-                    yield _batch(found.hash[use][m].view(np.int64), kinds[m], empty, empty,
+                    spread = mixed(high[row[m]].view(np.uint64)
+                                   + start[m].astype(np.uint64)).view(np.int64)
+                    yield _batch(spread, kinds[m], empty, empty,
                                  high[row[m]], low[row[m]], (start + shift)[m], (stop + shift)[m])
                 f = first
                 for k in range(0, len(f), 20_000):
