@@ -117,6 +117,19 @@ def test_without_repeats_of_few_letters(documents, texts, length):
     assert got == want
 
 
+def test_hot_anchors_are_compared_string_by_string(documents, prose, monkeypatch):
+    from tabprobe.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT", 4)
+    rows = [r for r in prose if r[0] != 109]
+    for length in (400, 40):
+        want = Counter((i, *w) for (i, _), w in zip(
+            rows, without([(t or "").encode() for _, t in rows], length)))
+        got = Counter((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans))
+                      for r in without_repeats(documents(rows), length).collect())
+        assert got == want
+
+
 def test_parts_of_a_long_text_agree(documents, monkeypatch):
     from tabprobe.llm import substring_dedup
 
