@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.functions.numbers import to_double
+from tabprobe.functions.numbers import number_columns, to_double
 from tabprobe.operators.columns import id_like, numeric_features
 from tabprobe.operators.moments import (
     auroc, cohens_d, correlations, group_gap, levene, median_bits, top_k, trend_verdict, xor_bit,
@@ -57,6 +57,25 @@ def bad_row_column(df: DataFrame, slots: dict, effects: dict, key: str) -> str:
     return found["indicator_col"]
 
 
+def indicator_by_data(df: DataFrame, outcome: str) -> str | None:
+    """The 0/1 column that sets the outcome apart most (by Cohen's d), or None without one.
+
+    What an analyst finds who is not told which column was put in; ties go to the first column.
+    """
+    names = [n for n in number_columns(df) if n != outcome]
+    if not names:
+        return None
+    zero_or_one = df.agg(*[
+        (F.bool_and(to_double(df, n).isin(0.0, 1.0)) & (F.min(to_double(df, n)) == 0.0)
+         & (F.max(to_double(df, n)) == 1.0)).alias(f"c{i}") for i, n in enumerate(names)
+    ]).first()
+    flags = [n for i, n in enumerate(names) if zero_or_one[i]]
+    if not flags:
+        return None
+    sizes = cohens_d(df, outcome, {n: to_double(df, n).cast("int") for n in flags})
+    return sizes.orderBy(F.desc("d"), "position").first()["split"]
+
+
 def riskier_group(df: DataFrame, slots: dict, effects: dict, key: str) -> str:
     """The group with the larger variance, given close means and a significant Levene test."""
     group, metric = slots["GROUP_COL"], slots["RISK_METRIC_COL"]

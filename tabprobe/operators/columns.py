@@ -73,10 +73,15 @@ def numeric_features(
 def has_inversion(df: DataFrame, names: list[str], row_id: str) -> dict[str, bool]:
     """Whether each column ever falls along the row order.
 
-    Rows are compared inside blocks of the row id; blocks are compared by their first and last
-    value, so no window spans the table.
+    Rows are compared inside ranges of the row id; ranges are compared by their first and last
+    value, so no window spans the table. There is one range for a million rows, however far apart
+    the ids lie.
     """
-    block = F.floor(F.col(row_id) / _ROW_BLOCK)
+    ids = F.col(row_id).cast("double")
+    span = df.agg(F.count("*").alias("n"), F.min(ids).alias("low"), F.max(ids).alias("high")).first()
+    ranges = max(1, -(-span["n"] // _ROW_BLOCK))
+    width = max(((span["high"] or 0.0) - (span["low"] or 0.0) + 1.0) / ranges, 1.0)
+    block = F.floor((ids - F.lit(span["low"] or 0.0)) / F.lit(width))
     rows = df.select(F.col(row_id).alias("_row"), block.alias("_block"), *[
         to_double(df, n).alias(f"v{i}") for i, n in enumerate(names)
     ])
@@ -95,7 +100,7 @@ def has_inversion(df: DataFrame, names: list[str], row_id: str) -> dict[str, boo
         ).alias(f"b{i}")
         for i in range(len(names))
     ])
-    along = Window.orderBy("_block")  # one row per million table rows
+    along = Window.orderBy("_block")  # one row per range
     found = blocks.select(*[
         (F.col(f"b{i}.falls") | F.coalesce(
             F.col(f"b{i}.first") < F.lag(f"b{i}.last").over(along), F.lit(False)

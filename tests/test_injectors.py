@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabprobe.operators import moments as M
-from tabprobe.operators.answers import answer_safe
-from tabprobe.operators.columns import derangement, ensure_row_id, id_like
+from tabprobe.operators.answers import answer_safe, indicator_by_data
+from tabprobe.operators.columns import (
+    NEUTRAL_NAMES, derangement, ensure_row_id, has_inversion, id_like, insertion,
+)
 from tabprobe.operators.inject import INJECTORS, inject, inject_chain, inject_each
 from tabprobe.operators.sampling import sample_exact
 
@@ -187,6 +189,30 @@ def test_unknown_template_is_skipped(frame):
     assert answer_safe("nothing_v9", frame[1], {}, {}).status == "SKIP"
 
 
+def test_bad_row_indicator_is_found_in_the_data(frame):
+    _, df = frame
+    outcome = "y" if "y" in df.columns else df.columns[-1]
+    done = inject(df, "dq_bad_row_indicator", {"outcome_col": outcome}, 3)
+    if done.status == "OK":
+        assert indicator_by_data(done.table, outcome) == done.effects["indicator_col"]
+    assert indicator_by_data(df.select(outcome), outcome) is None
+
+
+def test_inversions_with_ids_far_apart(spark):
+    df = spark.range(400).selectExpr("id * 1000003 * 1000003 as row_id", "id as up", "-id as down",
+                                     "case when id = 399 then 0 else id end as last")
+    assert has_inversion(df.repartition(6), ["up", "down", "last"], "row_id") == {
+        "up": False, "down": True, "last": True}
+
+
+def test_names_run_out():
+    taken = [f"{n}_flag" for n in NEUTRAL_NAMES]
+    name, _ = insertion(taken, 1)
+    assert name not in taken and name.endswith("2_flag")
+    name, _ = insertion(NEUTRAL_NAMES, 1)
+    assert name.endswith("2_flag")
+
+
 def test_derangement_has_no_fixed_point():
     for n in range(2, 9):
         names = [f"c{i}" for i in range(n)]
