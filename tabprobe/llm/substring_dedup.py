@@ -7,6 +7,10 @@ follows them, externally by Spark, and neighbours' common prefixes are taken. Th
 suffixes that begin 1, 2, 3 ... bytes before the anchors is induced from that: one stable pass
 over the preceding bytes for each step, in which common prefixes are carried as range minima. A
 suffix whose common prefix with a neighbour reaches `length` begins a repeated string.
+
+An anchor may belong to any number of documents. From HOT occurrences on its strings are compared
+one by one instead, by their hashes: of equal ones a task sends one, and different ones go to
+different tasks, so no group that meets in a task is larger than HOT.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ from tabprobe.llm.tokens import (
 PART_BYTES = 2_000_000
 #: Sorted suffixes induced together, and from how many on their bytes lie in a file.
 TOGETHER, IN_MEMORY = 60_000, 400_000
+#: Occurrences of an anchor from which on its strings are compared one by one.
+HOT = 5_000
 
 _OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 _PLACE = np.uint64((1 << 24) - 1)
-ANCHOR, WHOLE, MARK = 0, 1, 2
+ANCHOR, WHOLE, MARK, STRING = 0, 1, 2, 3
 RECORDS = ("key long, kind int, right binary, left binary, high long, low long, lo long, hi long")
 
 
@@ -92,6 +98,13 @@ class Anchors:
         self.row, self.shift = rows[part], froms[part] - begin[part]
         self.hash = hashes[self.at]
 
+    def strings(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, begin and hash of each string of the given anchors."""
+        n = self.stop[which] - self.start[which] - length + 1
+        own = np.repeat(which, n)
+        at = np.repeat(self.start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return own, at, mixed((self._sums[at + length] - self._sums[at]) * self._downs[at])
+
     def spans(self) -> np.ndarray:
         """Hashes of all bytes of each anchor's strings."""
         return mixed((self._sums[self.stop] - self._sums[self.start]) * self._downs[self.start])
@@ -144,23 +157,27 @@ def _only(offsets: np.ndarray, data: np.ndarray, rows: list[int]):
 
 
 class Repeated:
-    """Whether the half behind an anchor occurs more than once (or shares 32 bits with one)."""
+    """How often the half behind an anchor occurs (with those that share 32 bits): 0 for once,
+    1 for more often, 2 from HOT on."""
 
     def __init__(self, folder: str, shards: int):
         self.shards = shards
         paths = [f"{folder}/halves/{s}.npy" for s in range(shards)]
         self.keys = [mapped(p) if os.path.exists(p) else np.zeros(0, np.uint32) for p in paths]
+        self.hot = [np.array(mapped(p.replace(".npy", ".hot.npy"))) if os.path.exists(p)
+                    else np.zeros(0, np.uint32) for p in paths]
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         own, back = np.unique(hashes, return_inverse=True)
         shard, place = _place(own, self.shards)
-        out = np.zeros(len(own), bool)
+        out = np.zeros(len(own), np.int8)
         cut = np.searchsorted(shard, np.arange(self.shards + 1))
         for s, keys in enumerate(self.keys):
             a, b = cut[s], cut[s + 1]
             if b > a and len(keys):
                 at = np.minimum(np.searchsorted(keys, place[a:b]), len(keys) - 1)
                 out[a:b] = keys[at] == place[a:b]
+                out[a:b] += np.isin(place[a:b], self.hot[s])
         return out[back]
 
 
@@ -245,7 +262,8 @@ def _induce(rows: pa.Table, length: int) -> pa.Table:
                  & (highs[1:] == highs[:-1]) & (left[1:] == left[:-1]).all(axis=1))
     twice = equal | np.r_[equal[1:], False]
     same_text = np.zeros(n, bool)
-    same_text[1:] = ((kind[1:] == WHOLE) & (kind[:-1] == WHOLE) & (key[1:] == key[:-1]))
+    same_text[1:] = ((kind[1:] == kind[:-1]) & np.isin(kind[1:], (WHOLE, STRING))
+                     & (key[1:] == key[:-1]))
     twice |= same_text | np.r_[same_text[1:], False]
     one = np.flatnonzero(anchors & ~equal)
     found = induced(lcp[one], left[one], highs[one], length)
@@ -324,7 +342,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, shards: int | None = None
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
         places = np.sort(np.concatenate([unpacked(b, np.uint32) for b in rows["places"]]))
-        again = np.unique(places[1:][places[1:] == places[:-1]])
+        again, n = np.unique(places[1:][places[1:] == places[:-1]], return_counts=True)
+        write_array(f"{folder}/halves/{shard}.hot.npy", again[n + 1 >= HOT])
         write_array(f"{folder}/halves/{shard}.npy", again)
         return pd.DataFrame({"shard": [shard], "repeated": [len(again)]})
 
@@ -351,7 +370,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, shards: int | None = None
                              low[some], np.zeros(len(some), np.int64), size[some])
             for parts in parts_of(offsets, length):
                 found = Anchors(data, offsets, parts, length)
-                use = np.flatnonzero(again(found.hash))
+                often = again(found.hash)
+                hot = np.flatnonzero(often == 2)
+                if len(hot):
+                    yield _strings(found, hot, length, high, low)
+                use = np.flatnonzero(often == 1)
                 if not len(use):
                     continue
                 at, start, stop = found.at[use], found.start[use], found.stop[use]
@@ -411,6 +434,29 @@ def repeated_spans(docs: DataFrame, length: int = 400, shards: int | None = None
     return folder
 
 
+def _strings(found: Anchors, hot: np.ndarray, length: int, high: np.ndarray,
+             low: np.ndarray) -> pa.RecordBatch:
+    """Each string of hot anchors; of equal ones here the first, and all of them as repeated."""
+    own, at, hashes = found.strings(hot, length)
+    _, first, back, n = np.unique(hashes, return_index=True, return_inverse=True,
+                                  return_counts=True)
+    again = np.flatnonzero(n[back] > 1)
+    # Neighbouring repeated strings are one stretch.
+    new = np.r_[True, (own[again][1:] != own[again][:-1]) | (np.diff(at[again]) != 1)][:len(again)]
+    begin = again[new]
+    end = again[np.r_[np.flatnonzero(new)[1:] - 1, len(again) - 1]] if len(again) else again
+    take = np.concatenate([first, begin])
+    row, shift = found.row[own[take]], found.shift[own[take]]
+    lo = at[take] + shift
+    hi = np.concatenate([at[first], at[end]]) + shift + length
+    kind = np.repeat([STRING, MARK], [len(first), len(begin)])
+    key = hashes[take]
+    marks = kind == MARK  # these meet with nothing, so their key is any
+    key[marks] = mixed(high[row[marks]].view(np.uint64) + lo[marks].astype(np.uint64))
+    none = pa.array([b""] * len(take), pa.binary())
+    return _batch(key.view(np.int64), kind, none, none, high[row], low[row], lo, hi)
+
+
 def _batch(key, kind, right, left, high, low, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(key), pa.array(kind.astype(np.int32)), right, left, pa.array(high),
