@@ -100,11 +100,11 @@ def train(labelled: DataFrame, docs: DataFrame, most_docs: int = 8_000, longest:
     tables = {}
     for length in range(longest + 1):
         top = wide.filter(F.col("length") == length).orderBy(F.desc("total"), "key")
-        rows = top.limit(most_entries).toPandas()
-        keys = rows["key"].to_numpy(np.int64).view(np.uint64)
-        n = rows[[f"n{i}" for i in range(len(langs))]].to_numpy(float)
+        rows = top.limit(most_entries).toArrow()
+        keys = rows.column("key").to_numpy().view(np.uint64)
+        n = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1)
         order = np.argsort(keys)
-        logs = np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * max(len(rows), 1)))
+        logs = np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * max(len(n), 1)))
         tables[length] = (keys[order], logs[order])
     return LanguageModel(langs, tables)
 
