@@ -206,7 +206,7 @@ def train(docs: DataFrame, shards: int | None = None) -> BigramModel:
     share = min(1.0, SPLITTER_DOCS / max(rows, 1))
     sample = (texts.sample(share, seed=5).mapInArrow(sampled_keys, "key long")
               .orderBy(F.xxhash64("key", F.monotonically_increasing_id())).limit(SPLITTER_KEYS)
-              .toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+              .toArrow().column("key").to_numpy().view(np.uint64))
     sample = np.unique(sample)
     cut = np.linspace(0, len(sample), shards + 1).astype(int)[1:-1]
     splitters = np.unique(sample[cut]) if len(sample) else sample
