@@ -35,9 +35,9 @@ from tabprobe.llm.tokens import (
 )
 
 #: Bytes handled at once; a longer text is handled in overlapping parts.
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
 #: Sorted suffixes induced together, and from how many on their bytes lie in a file.
-TOGETHER, IN_MEMORY = 60_000, 400_000
+TOGETHER, IN_MEMORY = 30_000, 400_000
 #: Occurrences of an anchor from which on its strings are compared one by one.
 HOT = 5_000
 
