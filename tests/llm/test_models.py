@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -125,6 +126,37 @@ def test_disguises_are_read(documents, judge, word, span):
     assert toxic.score > clean.score
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_toxicity_is_learned_from_few_labels(spark, sf_dir, size):
+    from tabprobe.llm.queries import op3_toxicity
+
+    folder = os.path.join(os.path.dirname(sf_dir.rstrip("/")), size)
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in op3_toxicity(spark, folder).collect()
+            if r.held_out and truth.get(r.doc_id) is not None]
+    toxic = [r for r in rows if truth[r.doc_id]]
+    assert 2 * sum(r.predicted for r in toxic) > len(toxic)
+    assert sum(r.predicted > truth[r.doc_id] for r in rows) <= 0.05 * len(rows)
+
+
+def test_rare_insults_are_learned(spark, documents):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeiourstnlmdp") for _ in range(rng.randint(2, 7)))
+             for _ in range(2000)]
+    rare = ["wretch", "bozzler", "jerkwit", "hagfish", "vilekin", "gitface"]
+    rows = []
+    for i in range(900):
+        own = [rng.choice(words) for _ in range(rng.randint(8, 40))]
+        if i % 3 == 0:
+            own[3] = rare[i // 3 % 50 % 6] if i // 3 % 50 < 6 else INSULTS[i % 4]
+        rows.append((i, " ".join(own)))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows],
+                                   "doc_id long, toxic int")
+    model = toxicity.train(labels, documents(rows))
+    texts = [(i, f"torn aside {word} rastin moulder") for i, word in enumerate(rare)]
+    assert all(r.predicted for r in toxicity.score(documents(texts), model).collect())
+
+
 def test_odd_texts_get_the_lowest_score(documents, judge):
     rows = toxicity.score(documents([(1, None), (2, ""), (3, "9" * 10_000), (4, "$$$ ### 🙂"),
                                      (5, "a" * 50_000), (None, "tor"), (5, "")]), judge).collect()
