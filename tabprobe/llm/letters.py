@@ -38,7 +38,12 @@ class Words:
         np.cumsum(values * ups[:-1], out=self._sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self._sums[ends] - self._sums[starts]) * self._downs[starts])
+        return mixed(self.raw(starts, ends))
+
+    def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sums before mixing: that of two spans end to end is the first's plus the second's times
+        the power of the first's length."""
+        return (self._sums[ends] - self._sums[starts]) * self._downs[starts]
 
 
 def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

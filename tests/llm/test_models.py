@@ -126,6 +126,27 @@ def test_disguises_are_read(documents, judge, word, span):
     assert toxic.score > clean.score
 
 
+@pytest.mark.parametrize("word,span", [
+    ("idiot", "id-iot"), ("stupid", "stu.pid"), ("pathetic", "pa-the-tic"), ("moron", "morron"),
+    ("stupid", "stuupid"), ("idiot", "1d107"), ("idiot", "idi07,"), ("idiot", "idi07!"),
+    ("idiot", "i d i o t!"), ("moron", "mo ron"), ("pathetic", "pat het ic"),
+])
+def test_slight_disguises_are_read(documents, judge, word, span):
+    text = f"torn aside {span} rastin moulder"
+    assert word in toxicity.Restorer(judge.characters)([text])[0].split()
+    clean, toxic = toxicity.score(
+        documents([(1, "torn aside rastin moulder"), (2, text)], 1).orderBy("doc_id"),
+        judge).collect()
+    assert toxic.score > clean.score
+
+
+def test_short_spaced_words_end_in_punctuation_or_not():
+    for text in ("you s c u m!", "you s, c, u, m.", "you s c u m", "s c u m! you"):
+        assert any("".join(x.strip(",").split()).replace(",", "") == "scum"
+                   for x in toxicity.disguised([text])[0])
+    assert toxicity.disguised(["plain words, no more.", "", "12,5 99 $"]) == [[], [], []]
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_toxicity_is_learned_from_few_labels(spark, sf_dir, size):
     from tabprobe.llm.queries import op3_toxicity
