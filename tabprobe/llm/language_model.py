@@ -1,8 +1,10 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and mapped into memory.
+"""An interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and mapped into
+memory.
 
 Words are hashed to 64 bits; a word's place in the sorted hash array is its id. A bigram is the id
 of its first word times 2^32 plus that of its second, so bigrams of a context lie together in the
-sorted array. Tasks count in arrays, sum up before they shuffle, and each shard of the model is
+sorted array. A trigram is the place of its first bigram and the id of its last word, packed
+alike. Tasks count in arrays, sum up before they shuffle, and each shard of the model is
 merged and written by one task. Scoring maps the arrays and searches them.
 """
 
@@ -33,7 +35,7 @@ HELD_ENTRIES = 3_000_000
 SPLITTER_DOCS, SPLITTER_KEYS = 2_000, 200_000
 
 BLOBS = "shard int, keys binary, counts binary"
-_SHIFT = np.uint64(32)
+_SHIFT, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -110,6 +112,93 @@ class WordTable:
         return out[back]
 
 
+class PairTable:
+    """Places of bigrams: shard files of sorted keys, one after the other."""
+
+    def __init__(self, folder: str, splitters: np.ndarray, sizes: tuple[int, ...]):
+        self.splitters = splitters
+        self.parts = [mapped(f"{folder}/bigrams/{s}.npy") if n else np.zeros(0, np.uint64)
+                      for s, n in enumerate(sizes)]
+        self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        wanted, back = np.unique(keys, return_inverse=True)
+        out = np.full(len(wanted), -1, np.int64)
+        cut = [0, *np.searchsorted(wanted, self.splitters), len(wanted)]
+        for s, (a, b) in enumerate(zip(cut, cut[1:])):
+            own, part = wanted[a:b], self.parts[s]
+            if len(own) and len(part):
+                at = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                out[a:b] = np.where(part[at] == own, at + self.base[s], -1)
+        return out[back]
+
+    def last_words(self, places: np.ndarray) -> np.ndarray:
+        """Id of the second word at sorted places."""
+        out = np.zeros(len(places), np.uint64)
+        cut = np.searchsorted(places, self.base)
+        for s, (a, b) in enumerate(zip(cut, cut[1:])):
+            if b > a:
+                out[a:b] = self.parts[s][places[a:b] - self.base[s]] & _LOW
+        return out
+
+
+def write_counts(path: str, n: np.ndarray) -> None:
+    """Counts in a byte each; those beyond it lie in a file of their own."""
+    large = np.flatnonzero(n >= 255)
+    write_array(f"{path}.count.npy", np.minimum(n, 255).astype(np.uint8))
+    write_array(f"{path}.large.npy", np.stack([large, n[large]]))
+
+
+class Counts:
+    """Mapped shards of sorted keys with their counts."""
+
+    def __init__(self, keys: str, counts: str, splitters: np.ndarray, sizes: tuple[int, ...]):
+        self.splitters = splitters
+        self.keys, self.counts, self.large = (
+            [mapped(f"{path}/{s}{end}.npy") if n else None for s, n in enumerate(sizes)]
+            for path, end in ((keys, ""), (counts, ".count"), (counts, ".large")))
+
+    def values(self, s: int, at: np.ndarray) -> np.ndarray:
+        """Counts at places of a shard."""
+        n, large = self.counts[s][at].astype(np.int64), np.asarray(self.large[s])
+        if len(large[0]):
+            spot = np.minimum(np.searchsorted(large[0], at), len(large[0]) - 1)
+            n = np.where((n == 255) & (large[0][spot] == at), large[1][spot], n)
+        return n
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted keys."""
+        out = np.zeros(len(keys), np.int64)
+        cut = [0, *np.searchsorted(keys, self.splitters), len(keys)]
+        for s, (a, b) in enumerate(zip(cut, cut[1:])):
+            if b > a and self.keys[s] is not None:
+                own = self.keys[s]
+                at = np.minimum(np.searchsorted(own, keys[a:b]), len(own) - 1)
+                out[a:b] = np.where(own[at] == keys[a:b], self.values(s, at), 0)
+        return out
+
+    def following(self, heads: np.ndarray) -> np.ndarray:
+        """Sum of the counts behind each of sorted heads, and how many are 1, 2 and more."""
+        out = np.zeros((len(heads), 4), np.int64)
+        low = heads.astype(np.uint64) << _SHIFT
+        high = (heads + 1).astype(np.uint64) << _SHIFT
+        for s, keys in enumerate(self.keys):
+            if keys is None:
+                continue
+            a, b = (int(np.searchsorted(x, y, side="right"))
+                    for x, y in ((high, keys[0]), (low, keys[-1])))
+            if b <= a:
+                continue
+            first = np.searchsorted(keys, low[a:b])
+            size = np.searchsorted(keys, high[a:b]) - first
+            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            n, row = self.values(s, at), np.repeat(np.arange(a, b), size)
+            for k, v in enumerate((n, n == 1, n == 2, n >= 3)):
+                out[:, k] += np.bincount(row, weights=v, minlength=len(heads)).astype(np.int64)
+        return out
+
+
 def contexts(places: np.ndarray, n: np.ndarray, begin: int) -> np.ndarray:
     """Place of the token before each one; `begin` at the start of a text."""
     before = np.empty_like(places)
@@ -127,8 +216,10 @@ class BigramModel:
     splitters: np.ndarray       # first bigram of each shard but the first
     bigrams: tuple[int, ...]    # bigrams in each shard
     train_tokens: int
-    discounts: tuple[tuple[float, float, float], tuple[float, float, float]]
+    discounts: tuple[tuple[float, float, float], ...]  # one entry for each order
     of_count: tuple[int, int, int]  # words with 1, 2 and more continuations
+    trigrams: tuple[int, ...] = ()  # trigrams in each shard; none for order 2
+    trigram_splitters: np.ndarray | None = None
 
     @property
     def words(self) -> int:
@@ -157,10 +248,11 @@ def count_of_counts(counts: np.ndarray) -> list[int]:
     return [int(x) for x in n[1:5]]
 
 
-def train(docs: DataFrame, shards: int | None = None) -> BigramModel:
+def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramModel:
     """Counts all texts of `docs` (null: empty) and writes the model to the shared folder.
 
-    Two passes: words, then bigrams. A task holds at most HELD_ENTRIES different entries and a
+    A pass for words, one for bigrams and, if `order` is 3, one for trigrams; bigrams then count by
+    the words they follow, but those at the beginning of texts by how often they occur. A task holds at most HELD_ENTRIES different entries and a
     merging task one shard; frequent words are summed up before the shuffle, and bigram shards are
     key ranges between sampled splitters, so a frequent context is spread over several. Only
     totals and the bounded sample of keys come to the driver.
@@ -196,20 +288,23 @@ def train(docs: DataFrame, shards: int | None = None) -> BigramModel:
         places = table.places(tokens)
         return (contexts(places, n, begin).astype(np.uint64) << _SHIFT) | places.astype(np.uint64)
 
-    def sampled_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held(folder, lambda: WordTable(folder, sizes))
-        for batch in batches:
-            for _, _, tokens, n in tokens_of(batch):
-                yield frame({"key": keys_of(table, tokens, n).view(np.int64)})
+    share = min(1.0, SPLITTER_DOCS / max(docs.count(), 1))
+
+    def splitters_of(keys_in) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = held(folder, lambda: WordTable(folder, sizes))
+            for batch in batches:
+                for _, _, tokens, n in tokens_of(batch):
+                    yield frame({"key": keys_in(table, tokens, n).view(np.int64)})
 
-    rows = docs.count()
-    share = min(1.0, SPLITTER_DOCS / max(rows, 1))
-    sample = (texts.sample(share, seed=5).mapInArrow(sampled_keys, "key long")
-              .orderBy(F.xxhash64("key", F.monotonically_increasing_id())).limit(SPLITTER_KEYS)
-              .toArrow().column("key").to_numpy().view(np.uint64))
-    sample = np.unique(sample)
-    cut = np.linspace(0, len(sample), shards + 1).astype(int)[1:-1]
-    splitters = np.unique(sample[cut]) if len(sample) else sample
+        sample = (texts.sample(share, seed=5).mapInArrow(run, "key long")
+                  .orderBy(F.xxhash64("key", F.monotonically_increasing_id()))
+                  .limit(SPLITTER_KEYS).toArrow().column("key").to_numpy().view(np.uint64))
+        sample = np.unique(sample)
+        cut = np.linspace(0, len(sample), shards + 1).astype(int)[1:-1]
+        return np.unique(sample[cut]) if len(sample) else sample
+
+    splitters = splitters_of(keys_of)
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held(folder, lambda: WordTable(folder, sizes))
@@ -229,18 +324,19 @@ def train(docs: DataFrame, shards: int | None = None) -> BigramModel:
                  "numbers": planes(np.ascontiguousarray(values[a:b].astype(np.uint64)).ravel())}
                 for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
+    def by_context(keys: np.ndarray, n: np.ndarray) -> list[dict]:
+        context = (keys >> _SHIFT).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][:len(keys)])
+        per = np.stack([np.add.reduceat(x, first) for x in (n, n == 1, n == 2, n >= 3)], axis=1)
+        return by_words("context", context[first], per)
+
     def merge_bigrams(rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = merged(rows)
         shard = int(rows["shard"].iloc[0])
         write_array(f"{folder}/bigrams/{shard}.npy", keys)
-        large = np.flatnonzero(n >= 255)
-        write_array(f"{folder}/bigrams/{shard}.count.npy", np.minimum(n, 255).astype(np.uint8))
-        write_array(f"{folder}/bigrams/{shard}.large.npy", np.stack([large, n[large]]))
-        context = (keys >> _SHIFT).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][:len(keys)])
-        per = np.stack([np.add.reduceat(x, first) for x in (n, n == 1, n == 2, n >= 3)], axis=1)
-        ends, of_end = summed(keys & np.uint64(0xFFFFFFFF), np.ones(len(keys), np.int64))
-        out = by_words("context", context[first], per)
+        write_counts(f"{folder}/bigrams/{shard}", n)
+        ends, of_end = summed(keys & _LOW, np.ones(len(keys), np.int64))
+        out = by_context(keys, n)
         out += by_words("ending", ends.astype(np.int64), of_end[:, None])
         out.append({"part": -1, "kind": f"{shard}:{len(keys)}", "places": b"",
                     "numbers": planes(np.array(count_of_counts(n), np.uint64))})
@@ -275,11 +371,99 @@ def train(docs: DataFrame, shards: int | None = None) -> BigramModel:
     in_shard = dict(x.split(":") for x in of_bigrams.sizes.split(",")) if of_bigrams else {}
     bigrams = tuple(int(in_shard.get(str(s), 0)) for s in range(len(splitters) + 1))
     of_words = np.sum([r.counts for r in ended if r.part >= 0] or [[0] * 5], axis=0)
+    of_count = (int(of_words[0]), int(of_words[1]), int(of_words[4]))
+    lowest = discounts_of(of_words)
+    if order == 2 or not of_bigrams:
+        return BigramModel(
+            folder, sizes, splitters, bigrams, total,
+            (lowest, discounts_of(np.array(of_bigrams.counts if of_bigrams else [0] * 4))),
+            of_count)
+    if sum(bigrams) >= 1 << 32:
+        raise ValueError("more than 2^32 different bigrams")
+
+    def pair_table() -> PairTable:
+        return held(("pairs", folder), lambda: PairTable(folder, splitters, bigrams))
+
+    def triples_of(table: WordTable, tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+        keys = keys_of(table, tokens, n)
+        head = contexts(pair_table().places(keys), n, -1)
+        good = head >= 0
+        return (head[good].astype(np.uint64) << _SHIFT) | (keys[good] & _LOW)
+
+    triple_splitters = splitters_of(triples_of)
+
+    def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held(folder, lambda: WordTable(folder, sizes))
+        counter = Counter(lambda keys: np.searchsorted(triple_splitters, keys, side="right"))
+        for batch in batches:
+            for _, _, tokens, n in tokens_of(batch):
+                yield from counter.add(triples_of(table, tokens, n))
+        yield counter.sent()
+
+    def merge_trigrams(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, n = merged(rows)
+        shard = int(rows["shard"].iloc[0])
+        write_array(f"{folder}/trigrams/{shard}.npy", keys)
+        write_counts(f"{folder}/trigrams/{shard}", n)
+        table = pair_table()
+        middle = table.last_words((keys >> _SHIFT).astype(np.int64))
+        ends = table.places((middle << _SHIFT) | (keys & _LOW)).astype(np.uint64)
+        ends, of_end = summed(ends, np.ones(len(ends), np.int64))
+        cut = np.searchsorted(ends, table.base.astype(np.uint64))
+        out = [{"part": s, "kind": "ending", "places": packed(ends[a:b]),
+                "numbers": planes(of_end[a:b].astype(np.uint64))}
+               for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        out.append({"part": -1, "kind": f"{shard}:{len(keys)}", "places": b"",
+                    "numbers": planes(np.array(count_of_counts(n), np.uint64))})
+        return pd.DataFrame(out)
+
+    def merge_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        part = int(rows["part"].iloc[0])
+        if part < 0:  # totals go on as they are, one shard below the others
+            return rows.assign(part=-2)
+        table = pair_table()
+        keys = np.asarray(table.parts[part])
+        followed = np.zeros(len(keys), np.int64)
+        for kind, places, numbers in zip(rows["kind"], rows["places"], rows["numbers"]):
+            if kind == "ending":
+                at = unpacked(places).astype(np.int64) - table.base[part]
+                followed[at] += unplaned(numbers, np.uint64).astype(np.int64)
+        at = np.flatnonzero((keys >> _SHIFT) == np.uint64(begin))
+        raw = Counts(f"{folder}/bigrams", f"{folder}/bigrams", splitters, bigrams)
+        followed[at] = raw.values(part, at)
+        write_counts(f"{folder}/pairs/{part}", followed)
+        out = by_context(keys, followed)
+        out.append({"part": -1, "kind": "", "places": b"",
+                    "numbers": planes(np.array(count_of_counts(followed), np.uint64))})
+        return pd.DataFrame(out)
+
+    def merge_heads(rows: pd.DataFrame) -> pd.DataFrame:
+        part = int(rows["part"].iloc[0])
+        if part < 0:
+            n = np.sum([unplaned(b, np.uint64) for b in rows["numbers"]], axis=0, dtype=np.int64)
+            return pd.DataFrame({"part": [part], "counts": [n.tolist()],
+                                 "sizes": [",".join(sorted(rows["kind"]))]})
+        per = np.zeros((int(sizes[part]) + 1, 4), np.int64)
+        for places, numbers in zip(rows["places"], rows["numbers"]):
+            at = unpacked(places).astype(np.int64) - base[part]
+            per[at] += unplaned(numbers, np.uint64).astype(np.int64).reshape(-1, 4)
+        write_array(f"{folder}/heads/{part}.npy", per)
+        return pd.DataFrame({"part": [part], "counts": [[0] * 4], "sizes": [""]})
+
+    blobs = "part int, kind string, places binary, numbers binary"
+    every = spark.createDataFrame([(s, "none", b"", b"") for s, n in enumerate(bigrams) if n], blobs)
+    ended = {r.part: r for r in (
+        texts.mapInArrow(count_trigrams, BLOBS).groupBy("shard")
+        .applyInPandas(merge_trigrams, blobs).unionByName(every).groupBy("part")
+        .applyInPandas(merge_pairs, blobs).groupBy("part")
+        .applyInPandas(merge_heads, "part int, counts array<long>, sizes string").collect())}
+    in_shard = dict(x.split(":") for x in ended[-2].sizes.split(",")) if -2 in ended else {}
+    trigrams = tuple(int(in_shard.get(str(s), 0)) for s in range(len(triple_splitters) + 1))
     return BigramModel(
         folder, sizes, splitters, bigrams, total,
-        (discounts_of(of_words),
-         discounts_of(np.array(of_bigrams.counts if of_bigrams else [0] * 4))),
-        (int(of_words[0]), int(of_words[1]), int(of_words[4])))
+        (lowest, discounts_of(np.array(ended[-1].counts)),
+         discounts_of(np.array(ended[-2].counts if -2 in ended else [0] * 4))),
+        of_count, trigrams, triple_splitters)
 
 
 class Scorer:
@@ -295,13 +479,15 @@ class Scorer:
             return [mapped(p) if os.path.exists(p) else None for p in paths]
 
         self.counts, self.endings = parts("words/{}.count"), parts("endings/{}")
-        self.contexts = parts("contexts/{}")
-        self.keys = [mapped(f"{folder}/bigrams/{s}.npy") if n else None
-                     for s, n in enumerate(model.bigrams)]
-        self.key_counts = [mapped(f"{folder}/bigrams/{s}.count.npy") if n else None
-                           for s, n in enumerate(model.bigrams)]
-        self.large = [np.array(mapped(f"{folder}/bigrams/{s}.large.npy")) if n else None
-                      for s, n in enumerate(model.bigrams)]
+        whole = model.trigram_splitters is None
+        self.contexts = parts("contexts/{}" if whole else "heads/{}")
+        self.bigrams = Counts(f"{folder}/bigrams", f"{folder}/{'bigrams' if whole else 'pairs'}",
+                              model.splitters, model.bigrams)
+        self.pairs = self.trigrams = None
+        if not whole:
+            self.pairs = PairTable(folder, model.splitters, model.bigrams)
+            self.trigrams = Counts(f"{folder}/trigrams", f"{folder}/trigrams",
+                                   model.trigram_splitters, model.trigrams)
         self.distinct = sum(model.bigrams)
 
     def at(self, parts: list[np.ndarray], places: np.ndarray, width: int = 1) -> np.ndarray:
@@ -315,23 +501,6 @@ class Scorer:
                 out[a:b] = parts[s][places[a:b] - base[s]].reshape(b - a, width)
         return out
 
-    def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted keys."""
-        out = np.zeros(len(keys), np.int64)
-        cut = [0, *np.searchsorted(keys, self.model.splitters), len(keys)]
-        for s, (a, b) in enumerate(zip(cut, cut[1:])):
-            if b > a and self.keys[s] is not None:
-                own, at = self.keys[s], np.searchsorted(self.keys[s], keys[a:b])
-                at = np.minimum(at, len(own) - 1)
-                n = np.where(own[at] == keys[a:b], self.key_counts[s][at], 0).astype(np.int64)
-                if len(self.large[s][0]):
-                    spot = np.minimum(np.searchsorted(self.large[s][0], at),
-                                      len(self.large[s][0]) - 1)
-                    n = np.where((n == 255) & (self.large[s][0][spot] == at),
-                                 self.large[s][1][spot], n)
-                out[a:b] = n
-        return out
-
     def log10(self, tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per token: log10 probability, its training count, log10 of the smoothed frequency."""
         model, vocabulary = self.model, self.model.words + 1
@@ -352,13 +521,28 @@ class Scorer:
         keys = np.where(known, (before << 32) | places, 0).astype(np.uint64)
         pairs, to_pair = np.unique(keys[known], return_inverse=True)
         seen = np.zeros(len(places), np.int64)
-        seen[known] = self.bigram_counts(pairs)[to_pair]
+        seen[known] = self.bigrams.of(pairs)[to_pair]
         heads, to_head = np.unique(before, return_inverse=True)
         per = self.at(self.contexts, heads, 4)
         d = model.discounts[1]
         size = np.maximum(per[:, 0], 1)
         rest = np.where(per[:, 0] > 0, per[:, 1:] @ np.asarray(d) / size, 1.0)
         chance = discounted(seen, d) / size[to_head] + rest[to_head] * lower[back]
+        if self.trigrams is not None:
+            pair = np.full(len(places), -1, np.int64)
+            pair[known] = self.pairs.places(pairs)[to_pair]
+            head = contexts(pair, n, -1)
+            has = head >= 0
+            heads, to_head = np.unique(head[has], return_inverse=True)
+            per, d = self.trigrams.following(heads), model.discounts[2]
+            size = np.maximum(per[:, 0], 1)
+            rest = np.where(per[:, 0] > 0, per[:, 1:] @ np.asarray(d) / size, 1.0)
+            seen, both = np.zeros(len(places), np.int64), has & (places >= 0)
+            triples, to_triple = np.unique(
+                ((head[both] << 32) | places[both]).astype(np.uint64), return_inverse=True)
+            seen[both] = self.trigrams.of(triples)[to_triple]
+            chance[has] = (discounted(seen[has], d) / size[to_head]
+                           + rest[to_head] * chance[has])
         return np.log10(chance), count[back], base[back]
 
 

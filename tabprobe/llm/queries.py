@@ -95,9 +95,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probability of every document under a bigram model of four folds of five."""
+    """Probability of every document under a trigram model of four folds of five."""
     docs = table(spark, sf_dir, "documents")
-    model = language_model.train(docs.filter(fold_of("doc_id", 5) != 1))
+    model = language_model.train(docs.filter(fold_of("doc_id", 5) != 1), order=3)
     found = language_model.scored(docs, model)
     return found.withColumn("held_out", fold_of("doc_id", 5) == 1).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

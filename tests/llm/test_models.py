@@ -283,6 +283,56 @@ def test_scores_of_the_language_model(documents, prose, shards):
         assert math.isclose(whole, 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("shards", [1, 5])
+def test_scores_of_order_three(documents, prose, shards):
+    """The same model with dictionaries: bigrams count by the words before them."""
+    rows = [r for r in prose if r[0] != 109] + [(200 + i, "the cat sat " * 40) for i in range(20)]
+    train = [t for i, t in rows if i is not None and i % 5]
+    docs = documents(rows)
+    model = language_model.train(docs.filter("doc_id % 5 <> 0"), shards, order=3)
+    got = defaultdict(list)
+    for r in language_model.scored(docs, model).collect():
+        got[r.doc_id].append(r.score)
+
+    def tokens_of(text):
+        return ["BEGIN", *(text or "").encode().lower().split(), "END"]
+
+    raw, triples = Counter(), Counter()
+    for t in map(tokens_of, train):
+        raw.update(zip(t, t[1:]))
+        triples.update(zip(t, t[1:], t[2:]))
+    pairs = Counter(x[1:] for x in triples)
+    pairs.update({p: n for p, n in raw.items() if p[0] == "BEGIN"})
+    endings = Counter(w for _, w in raw)
+    levels = []
+    for table in (Counter({(w,): n for w, n in endings.items()}), pairs, triples):
+        of, heads = Counter(table.values()), defaultdict(list)
+        for key, n in table.items():
+            heads[key[:-1]].append(n)
+        levels.append((table, heads, discounts_of(np.array([of[k] for k in (1, 2, 3, 4)]))))
+
+    def chance(context, w):
+        low = 1 / (len(endings) + 1)
+        for k, (table, heads, d) in enumerate(levels):
+            if k > len(context):
+                break
+            own = context[len(context) - k:]
+            if heads[own]:
+                n = table[(*own, w)]
+                low = (max(n - (0.0, *d)[min(n, 3)], 0)
+                       + sum(d[min(x, 3) - 1] for x in heads[own]) * low) / sum(heads[own])
+        return low
+
+    for i, t in rows:
+        own = tokens_of(t)
+        want = sum(math.log10(chance(tuple(own[max(0, j - 2):j]), own[j]))
+                   for j in range(1, len(own)))
+        assert any(math.isclose(x, want, rel_tol=1e-9) for x in got[i])
+    for context in [("BEGIN",), (b"the", b"cat"), *random.Random(2).sample(sorted(
+            x[:2] for x in triples if "BEGIN" not in x and "END" not in x), 5)]:
+        assert math.isclose(sum(chance(context, w) for w in [*endings, "never"]), 1, rel_tol=1e-9)
+
+
 def test_frequent_pairs_are_counted_beyond_a_byte(documents):
     rows = [(i, "the cat " * 40) for i in range(20)]
     model = language_model.train(documents(rows), 3)
