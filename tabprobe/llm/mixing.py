@@ -58,9 +58,13 @@ def budgets(leaves: DataFrame, total: float, weights: Mapping[tuple[str, ...], f
     Of siblings with weights w and room c (their tokens times `epochs`) that share a budget b, each
     gets min(c, w x), with the x for which this sums up to b. Sorted by c / w it is the largest
     (b - room of those before) / (weight of the others). Weights must not be negative; siblings
-    of weight 0 get nothing.
+    of weight 0 get nothing, and what lies below them is no room of the nodes above.
     """
-    nodes = leaves.withColumn("room", F.col("tokens").cast("double") * epochs)
+    takes = F.lit(True)
+    for depth in range(1, len(LEVELS) + 1):
+        takes = takes & (_weight(weights, depth) > 0)
+    nodes = leaves.withColumn("room", F.when(takes, F.col("tokens").cast("double") * epochs)
+                              .otherwise(0.0))
     nodes = nodes.withColumn("budget", F.lit(float(total)))
     for depth in range(1, len(LEVELS) + 1):
         path, above = list(LEVELS[:depth]), list(LEVELS[:depth - 1])

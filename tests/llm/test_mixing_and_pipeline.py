@@ -153,3 +153,14 @@ def test_an_empty_corpus(spark, documents, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0
         docs = out
+
+
+def test_children_of_weight_zero_are_no_room(spark):
+    from tabprobe.llm.mixing import budgets
+
+    leaves = spark.createDataFrame(
+        [("web", "en", "a", 900), ("web", "de", "b", 100), ("books", "en", "c", 1000),
+         ("books", "fr", "d", 400)], "domain string, language string, branch string, tokens long")
+    weights = {("web",): 5.0, ("books",): 1.0, ("web", "en"): 0.0, ("books", "fr", "d"): 0.0}
+    got = {r.branch: r.budget for r in budgets(leaves, 1000, weights, 2).collect()}
+    assert got == {"a": 0, "b": 200, "c": 800, "d": 0}
