@@ -292,7 +292,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
 
     def splitters_of(keys_in) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = held(folder, lambda: WordTable(folder, sizes))
+            table = held("words", folder, lambda: WordTable(folder, sizes))
             for batch in batches:
                 for _, _, tokens, n in tokens_of(batch):
                     yield frame({"key": keys_in(table, tokens, n).view(np.int64)})
@@ -307,7 +307,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
     splitters = splitters_of(keys_of)
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held(folder, lambda: WordTable(folder, sizes))
+        table = held("words", folder, lambda: WordTable(folder, sizes))
         counter = Counter(lambda keys: np.searchsorted(splitters, keys, side="right"))
         for batch in batches:
             for _, _, tokens, n in tokens_of(batch):
@@ -382,7 +382,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
         raise ValueError("more than 2^32 different bigrams")
 
     def pair_table() -> PairTable:
-        return held(("pairs", folder), lambda: PairTable(folder, splitters, bigrams))
+        return held("pairs", folder, lambda: PairTable(folder, splitters, bigrams))
 
     def triples_of(table: WordTable, tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
         keys = keys_of(table, tokens, n)
@@ -393,7 +393,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
     triple_splitters = splitters_of(triples_of)
 
     def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held(folder, lambda: WordTable(folder, sizes))
+        table = held("words", folder, lambda: WordTable(folder, sizes))
         counter = Counter(lambda keys: np.searchsorted(triple_splitters, keys, side="right"))
         for batch in batches:
             for _, _, tokens, n in tokens_of(batch):
@@ -556,7 +556,7 @@ def scored(docs: DataFrame, model: BigramModel) -> DataFrame:
     plain = texts_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(("scorer", model.folder), lambda: Scorer(model))
+        scorer = held("scorer", model.folder, lambda: Scorer(model))
         for batch in batches:
             for first, last, tokens, n in tokens_of(batch):
                 logs, counts, base = scorer.log10(tokens, n)

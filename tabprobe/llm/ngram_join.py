@@ -173,7 +173,7 @@ def _entries(docs: DataFrame, nodes: list[tuple[int, int]], folder: str, words:
     texts = texts_of(docs).filter("doc_id is not null")
 
     def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = held((folder, "nodes"), lambda: Nodes(folder, nodes))
+        known = held("nodes", folder, lambda: Nodes(folder, nodes))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         return batch.filter(pa.array(known.has(ids)))
 
@@ -206,7 +206,7 @@ def _entries(docs: DataFrame, nodes: list[tuple[int, int]], folder: str, words:
         merge, "shard int, columns long").agg(F.sum("columns")).collect()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = held((folder, "columns"), lambda: Frequencies(folder, shards))
+        levels = held("columns", folder, lambda: Frequencies(folder, shards))
         number = TaskContext.get().partitionId()
         os.makedirs(f"{folder}/rows", exist_ok=True)
         part = f"{folder}/rows/{number}.{uuid.uuid4().hex}.part"

@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
         ], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held(("encoder", tokenizer), lambda: Encoder(tokenizer))
+        encoder = held("encoder", tokenizer, lambda: Encoder(tokenizer))
         packer = Packer(limits, TaskContext.get().partitionId() << 32)
         doc_type = None
         for batch in batches:

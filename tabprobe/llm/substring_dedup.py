@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, shards: int | None = None
         merge, "shard int, repeated long").agg(F.sum("repeated")).collect()
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again = held((folder, "halves"), lambda: Repeated(folder, shards))
+        again = held("halves", folder, lambda: Repeated(folder, shards))
         for batch in batches:
             data, offsets, seen = _distinct(batch)
             rows = [row for row, _ in seen.values()]
@@ -482,7 +482,7 @@ def without_repeats(docs: DataFrame, length: int = 400, shards: int | None = Non
     folder = repeated_spans(docs, length, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretches = held((folder, "stretches"), lambda: Stretches(folder, shards))
+        stretches = held("stretches", folder, lambda: Stretches(folder, shards))
         for batch in batches:
             data, offsets = bytes_of(batch.column("text"))
             for first in range(0, len(batch), 500):

@@ -100,11 +100,12 @@ def segments(texts: list[str], special: list[str]) -> tuple[list[str], np.ndarra
 _held: dict = {}
 
 
-def held(key, make):
-    """One object per Python worker and key."""
-    if key not in _held:
-        _held[key] = make()
-    return _held[key]
+def held(kind: str, key, make):
+    """One object per Python worker and kind: that of the last key, an earlier one is let go."""
+    if kind not in _held or _held[kind][0] != key:
+        _held.pop(kind, None)
+        _held[kind] = (key, make())
+    return _held[kind][1]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
@@ -117,8 +118,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = held(("merges", tokenizer), lambda: Merges(tokenizer))
-        known = held(("counts", tokenizer), lambda: PieceTable(merges.counts))
+        merges = held("merges", tokenizer, lambda: Merges(tokenizer))
+        known = held("counts", tokenizer, lambda: PieceTable(merges.counts))
         for batch in batches:
             _, offsets = bytes_of(batch.column("text"))
             total = np.zeros(batch.num_rows, np.int64)
