@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.llm.common import stored, texts_of
-from tabprobe.llm.letters import Words, bounded_sample, found_in, frame, text_chunks
+from tabprobe.llm.letters import Words, found_in, frame, text_chunks
 
 UNKNOWN = "und"
-#: Added to each count.
+#: Added to each count of the language with the most; its share is added in the others.
 SMOOTHING = 0.1
 
 
@@ -59,16 +60,22 @@ class LanguageModel:
             total[:, k] += np.bincount(rows, weights=logs[:, k], minlength=len(total))
 
 
-def train(labelled: DataFrame, docs: DataFrame, most_docs: int = 8_000, longest: int = 5,
-          most_entries: int = 200_000, seed: int = 1) -> LanguageModel | None:
+def train(labelled: DataFrame, docs: DataFrame, most_docs: int = 2_000, longest: int = 5,
+          most_entries: int = 50_000, seed: int = 1) -> LanguageModel | None:
     """Counts words and n-grams per language; None if there is no labelled text.
 
     `labelled`: doc_id and lang (not null) of the rows to learn from; `docs` has their texts.
-    Fits on a bounded sample: the `most_docs` rows with the smallest keyed hash of doc_id. The
-    table of each length keeps the `most_entries` most frequent entries (ties: smaller hash), so
-    its size is bounded as well.
+    Fits on a bounded sample: of every language the `most_docs` rows with the smallest keyed hash
+    of doc_id, so that a rare language is learned from all its rows. The table of each length
+    keeps the `most_entries` most frequent entries of every language (ties: smaller hash), so its
+    size is bounded as well. An entry that a language lacks is as unlikely in it as in any other.
+    A language whose sampled texts hold no letters is not learned; None if that leaves none.
     """
-    ids = bounded_sample(labelled.select("doc_id", "lang"), most_docs, seed).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    ids = (labelled.select("doc_id", "lang").distinct()
+           .withColumn("place", F.row_number().over(order))
+           .filter(F.col("place") <= most_docs).drop("place"))
+    ids = stored(ids, "lang-sample")
     sample = texts_of(docs).filter("text <> ''").join(F.broadcast(ids), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +92,8 @@ def train(labelled: DataFrame, docs: DataFrame, most_docs: int = 8_000, longest:
                     keys, of = words.hashes(words.starts, words.ends), words.of
                 for lang in sorted(set(langs)):
                     own, n = np.unique(keys[langs[of] == lang], return_counts=True)
+                    if not len(own):  # no word of this length in the texts of the language
+                        continue
                     yield frame({"length": np.full(len(own), length, np.int32),
                                  "key": own.view(np.int64),
                                  "lang": np.full(len(own), lang, object), "n": n.astype(np.int64)})
@@ -95,18 +104,26 @@ def train(labelled: DataFrame, docs: DataFrame, most_docs: int = 8_000, longest:
         return None
     of_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}")
                for i, x in enumerate(langs)]
-    wide = stored(
-        counts.groupBy("length", "key").agg(F.sum("n").alias("total"), *of_lang), "lang-counts")
+    wide = stored(counts.groupBy("length", "key").agg(*of_lang), "lang-counts")
+    words = wide.filter("length = 0").agg(
+        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(len(langs))]).first()
+    learned = [i for i in range(len(langs)) if words[i]]
+    if not learned:
+        return None
     tables = {}
     for length in range(longest + 1):
-        top = wide.filter(F.col("length") == length).orderBy(F.desc("total"), "key")
-        rows = top.limit(most_entries).toArrow()
+        own = wide.filter(F.col("length") == length)
+        top = reduce(DataFrame.union, [
+            own.filter(F.col(f"n{i}") > 0).orderBy(F.desc(f"n{i}"), "key").limit(most_entries)
+            for i in learned])
+        rows = top.dropDuplicates(["key"]).toArrow()
         keys = rows.column("key").to_numpy().view(np.uint64)
-        n = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1)
-        order = np.argsort(keys)
-        logs = np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * max(len(n), 1)))
+        n = np.stack([rows.column(f"n{i}").to_numpy() for i in learned], axis=1)
+        order, total = np.argsort(keys), n.sum(axis=0)
+        least = SMOOTHING / max(total.max(), 1)
+        logs = np.log((n / np.maximum(total, 1) + least) / (1 + least * max(len(n), 1)))
         tables[length] = (keys[order], logs[order])
-    return LanguageModel(langs, tables)
+    return LanguageModel([langs[i] for i in learned], tables)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

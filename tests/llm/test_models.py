@@ -71,6 +71,61 @@ def test_backoff_follows_its_definition(documents, languages):
         assert np.allclose(got, odds / odds.sum())
 
 
+def test_short_words_and_labels_without_letters(documents):
+    rows = [(1, "guten Morgen zusammen", "de"), (2, "ok no", "en"), (3, "12345 !?", "xx"),
+            (4, "guten ok"), (5, "no"), (6, "Morgens")]
+    docs = documents(rows)
+    model = language_id.train(docs.filter("lang is not null"), docs)
+    assert model.langs == ["de", "en"]
+    of = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert of[1] == of[6] == "de" and of[2] == of[5] == "en" and of[3] == "und"
+    only = docs.filter("doc_id = 3")
+    assert language_id.train(only, only) is None
+
+
+def test_a_rare_language_is_learned_beside_a_frequent_one(documents):
+    rng = random.Random(8)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+                        for _ in range(12))
+
+    rows = [(i, text("abcdefgh"), "often") for i in range(3_000)]
+    rows += [(i, text("mnopqrst"), "seldom") for i in range(3_000, 3_006)]
+    rows += [(i, text("mnopqrst")) for i in range(4_000, 4_020)]
+    docs = documents(rows)
+    model = language_id.train(docs.filter("lang is not null"), docs, most_docs=200,
+                              most_entries=3_000)
+    found = language_id.identify(docs.filter("doc_id >= 4000"), model).collect()
+    assert {r.lang_pred for r in found} == {"seldom"}
+
+
+def test_counts_of_the_language_model(documents, languages):
+    rows = languages[:60]
+    docs = documents([*rows, (500, "same same", "xx"), (501, "same same", "xx"), (502, None, "yy")])
+    model = language_id.train(docs.filter("lang is not null"), docs, longest=2)
+    counts = {n: defaultdict(Counter) for n in range(3)}
+    for _, text, lang, *_ in [*rows, (0, "same same", "xx"), (0, "same same", "xx")]:
+        for word in regex.findall(r"\p{L}+", text.lower()):
+            counts[0][word][lang] += 1
+            for n in (1, 2):
+                for i in range(len(word) - n + 1):
+                    counts[n][word[i:i + n]][lang] += 1
+    for n, (keys, logs) in model.tables.items():
+        total = Counter()
+        for of in counts[n].values():
+            total.update(of)
+        least = language_id.SMOOTHING / max(total.values())
+        assert len(keys) == len(counts[n])
+        for gram, of in counts[n].items():
+            hashed = Words([gram]).hashes(np.array([0]), np.array([len(gram)]))[0]
+            place = int(np.searchsorted(keys, hashed))
+            assert keys[place] == hashed
+            for k, lang in enumerate(model.langs):
+                share = (of[lang] / total[lang] + least) / (1 + least * len(keys))
+                assert logs[place, k] == pytest.approx(math.log(share), abs=1e-12)
+
+
 def test_no_labels(documents, languages):
     docs = documents(languages)
     assert language_id.train(docs.filter("false"), docs) is None
