@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from tabprobe.llm import language_id, language_model, toxicity
 from tabprobe.llm.common import fold_of, table
 from tabprobe.llm.exact_dedup import exact_duplicates
+from tabprobe.llm.hard_negatives import hard_negatives
 from tabprobe.llm.mixing import mixed
 from tabprobe.llm.ngram_join import similar_groups
 from tabprobe.llm.packing import pack
+from tabprobe.llm.sharding import sharded
 from tabprobe.llm.substring_dedup import without_repeats
 from tabprobe.llm.token_counts import token_counts
 from tabprobe.llm.vector_search import nearest
+from tabprobe.llm.whitening import whitened
 
 
 def tokenizer(name: str) -> str:
@@ -108,6 +111,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector, a row per component."""
+    found = whitened(table(spark, sf_dir, "embeddings"), components=32)
+    return found.select(
+        "vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error",
+        F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "one"),
+    ).select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation",
+             "one.whitened", "one.explained", "identity_error")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, in shards of numbers at most one apart."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    return sharded(docs, shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that are nearly as close to each fiftieth vector as its own label's."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -119,8 +150,12 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_model": op9_language_model,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_sharding": op12_sharding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+
 def _shares(level: str, of: str, above: str, weight: str) -> str:
     """Budgets of siblings: the least of a node's room and its weight times the common level."""
     family = f"partition by {above} " if above else ""
@@ -218,4 +253,26 @@ SQL = {
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
         from n window w as (partition by t)""",
+    "op13_hard_negatives": """
+        with v as (
+          select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                 list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x
+          from embeddings
+          where label is not null and embedding is not null
+            and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+        p as materialized (
+          select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+                 list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))::bigint as s
+          from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+        positives as (
+          select anchor_id, other_id as positive_id, s as positive_score
+          from p where same
+          qualify row_number() over (partition by anchor_id order by s desc, other_id) <= 5)
+        select anchor_id, positive_id,
+               row_number() over (partition by anchor_id, positive_id
+                                  order by s desc, other_id)::int as rank,
+               other_id as negative_id, positive_score, s as negative_score
+        from positives join p using (anchor_id)
+        where not same and 50 * positive_score <= 100 * s and 100 * s <= 95 * positive_score
+        qualify rank <= 3""",
 }
