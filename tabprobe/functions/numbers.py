@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_NUMBER_PATTERN = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+NUMBER_PATTERN = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 
 
 def is_number(dtype: T.DataType) -> bool:
@@ -29,7 +29,7 @@ def to_double(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.StringType):
         text = F.trim(F.col(name))
         # The pattern spares the failing casts, which are slow, on columns of words.
-        return F.when(text.rlike(_NUMBER_PATTERN), text.try_cast("double"))
+        return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
     return F.lit(None).cast("double")
 
 

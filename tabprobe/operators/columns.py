@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from string import ascii_lowercase
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,44 +75,76 @@ def numeric_features(
     return [n for n in names if reaches[n]]
 
 
-def has_inversion(df: DataFrame, names: list[str], row_id: str) -> dict[str, bool]:
-    """Whether each column ever falls along the row order.
+def falls_along(
+    rows: DataFrame, group: str, order: list[str], values: list[str], count: int
+) -> DataFrame:
+    """Per group: whether each of some double columns ever falls from one row to the next.
 
-    Rows are compared inside ranges of the row id; ranges are compared by their first and last
-    value, so no window spans the table. There is one range for a million rows, however far apart
-    the ids lie.
+    Rows are dealt into ranges of (group, order) whose bounds Spark samples from the rows, about
+    ``count / _ROW_BLOCK`` of them, so that ids that lie far apart or close together make ranges
+    of like size. A range is read in order once and leaves its first and last row and whether the
+    values fell in between, per group; neighbouring ranges are then compared by those edges.
+    A row without a value is no step: neither the one to it nor the one from it falls.
     """
-    ids = F.col(row_id).cast("double")
-    span = df.agg(F.count("*").alias("n"), F.min(ids).alias("low"), F.max(ids).alias("high")).first()
-    ranges = max(1, -(-span["n"] // _ROW_BLOCK))
-    width = max(((span["high"] or 0.0) - (span["low"] or 0.0) + 1.0) / ranges, 1.0)
-    block = F.floor((ids - F.lit(span["low"] or 0.0)) / F.lit(width))
-    rows = df.select(F.col(row_id).alias("_row"), block.alias("_block"), *[
-        to_double(df, n).alias(f"v{i}") for i, n in enumerate(names)
-    ])
-    inside = Window.partitionBy("_block").orderBy("_row")
-    falls = rows.select("_row", "_block", *[
-        F.struct(F.col(f"v{i}"), F.lag(f"v{i}").over(inside).alias("before")).alias(f"v{i}")
-        for i in range(len(names))
+    ranges = max(-(-count // _ROW_BLOCK),
+                 int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(ranges, group, *order).sortWithinPartitions(group, *order)
+    dtype = rows.schema[group].dataType.simpleString()
+    ends = [f"{end}{i}" for i in range(len(values)) for end in ("fell", "first", "last")]
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
+        held: tuple | None = None  # group, fell, first, last
+
+        def sent(state: tuple) -> pa.RecordBatch:
+            own, fell, first, last = state
+            cells = [v for i in range(len(values)) for v in (
+                pa.array([bool(fell[i])]), pa.array([first[i]], pa.float64(), from_pandas=True),
+                pa.array([last[i]], pa.float64(), from_pandas=True))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([own], kind), pa.array([here], pa.int32()), *cells],
+                names=[group, "range", *ends])
+
+        for batch in batches:
+            kind = batch.schema.field(group).type
+            x = np.stack([batch.column(v).to_numpy(zero_copy_only=False) for v in values]).astype(float)
+            own = batch.column(group)
+            starts = [0, *(np.flatnonzero(pc.not_equal(own[1:], own[:-1]).to_numpy(
+                zero_copy_only=False)) + 1).tolist()] if len(own) else []
+            for start, end in zip(starts, [*starts[1:], len(own)]):
+                part, name = x[:, start:end], own[start].as_py()
+                fell = (part[:, 1:] < part[:, :-1]).any(axis=1)
+                if held is not None and held[0] == name:
+                    fell |= held[1] | (part[:, 0] < held[3])
+                    held = (name, fell, held[2], part[:, -1])
+                    continue
+                if held is not None:
+                    yield sent(held)
+                held = (name, fell, part[:, 0], part[:, -1])
+        if held is not None:
+            yield sent(held)
+
+    kinds = ", ".join(f"fell{i} boolean, first{i} double, last{i} double"
+                      for i in range(len(values)))
+    found = dealt.select(group, *values).mapInArrow(edges, f"`{group}` {dtype}, range int, {kinds}")
+    along = Window.partitionBy(group).orderBy("range")  # one row per range
+    return found.select(group, *[
+        (F.col(f"fell{i}") | F.coalesce(
+            F.col(f"first{i}") < F.lag(f"last{i}").over(along), F.lit(False))).alias(f"fell{i}")
+        for i in range(len(values))
+    ]).groupBy(group).agg(*[
+        F.bool_or(f"fell{i}").alias(v) for i, v in enumerate(values)
     ])
-    blocks = falls.groupBy("_block").agg(*[
-        F.struct(
-            F.coalesce(F.bool_or(F.col(f"v{i}.v{i}") < F.col(f"v{i}.before")), F.lit(False)).alias(
-                "falls"
-            ),
-            F.min_by(F.col(f"v{i}.v{i}"), "_row").alias("first"),
-            F.max_by(F.col(f"v{i}.v{i}"), "_row").alias("last"),
-        ).alias(f"b{i}")
-        for i in range(len(names))
+
+
+def has_inversion(df: DataFrame, names: list[str], row_id: str) -> dict[str, bool]:
+    """Whether each column ever falls along the row order."""
+    rows = df.select(F.lit(0).alias("all"), F.col(f"`{row_id}`").alias("row"), *[
+        to_double(df, n).alias(f"v{i}") for i, n in enumerate(names)
     ])
-    along = Window.orderBy("_block")  # one row per range
-    found = blocks.select(*[
-        (F.col(f"b{i}.falls") | F.coalesce(
-            F.col(f"b{i}.first") < F.lag(f"b{i}.last").over(along), F.lit(False)
-        )).alias(f"b{i}")
-        for i in range(len(names))
-    ]).agg(*[F.bool_or(f"b{i}").alias(f"b{i}") for i in range(len(names))]).first()
-    return {n: bool(found[i]) for i, n in enumerate(names)}
+    found = falls_along(
+        rows, "all", ["row"], [f"v{i}" for i in range(len(names))], df.count()).first()
+    return {n: bool(found and found[f"v{i}"]) for i, n in enumerate(names)}
 
 
 def id_like(df: DataFrame, names: list[str], row_id: str) -> set[str]:

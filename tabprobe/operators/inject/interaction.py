@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +9,13 @@ from tabprobe.functions.draws import shuffled
 from tabprobe.functions.numbers import round_even, to_double, typical_decimals
 from tabprobe.operators.columns import numeric_features
 from tabprobe.operators.inject.base import Injection, or_one, replace_column
-from tabprobe.operators.moments import cohens_d, correlations, median_bits, xor_bit
+from tabprobe.operators.moments import correlations, median_bits, xor_bit
+from tabprobe.operators.pairs import xor_effects
+from tabprobe.sources.shared import cut
 
 MIN_UNIQUE = 5
 MIN_EFFECT = 0.5
 MAX_MAIN = 0.7
-#: Pairs compared by one aggregate.
-PAIRS_AT_ONCE = 100
 
 
 def interaction_dominant(df: DataFrame, params: dict, seed: int, key: str = "row_id") -> Injection:
@@ -33,29 +31,26 @@ def interaction_dominant(df: DataFrame, params: dict, seed: int, key: str = "row
     y = to_double(df, outcome)
     found = df.agg(
         F.stddev_samp(y).alias("std"), F.avg(signal).alias("level"),
-        typical_decimals(y).alias("places"),
+        F.avg(y).alias("mean"), typical_decimals(y).alias("places"),
     ).first()
     amplitude = strength * or_one(found["std"])
     value = y + F.lit(amplitude) * (signal - F.lit(found["level"]))
     done.table = replace_column(df, outcome, round_even(value, found["places"]))
     done.effects = {"feat_a": first, "feat_b": second, "amplitude": amplitude}
-    # The injected pair against every other pair, a hundred pairs to an aggregate.
-    own_pair = (first, second) if names.index(first) < names.index(second) else (second, first)
-    pairs = list(combinations(names, 2))
-    sizes = {}
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[at:at + PAIRS_AT_ONCE]
-        splits = {str(at + i): xor_bit(bits[a], bits[b]) for i, (a, b) in enumerate(some)}
-        for r in cohens_d(done.table, outcome, splits).collect():
-            sizes[pairs[int(r["split"])]] = r["d"]
-    own = sizes.pop(own_pair)
+    # The injected pair against every other pair, all of them in one scan.
+    effects = cut(xor_effects(
+        done.table, to_double(done.table, outcome), [bits[n] for n in names], found["mean"] or 0.0))
+    a, b = sorted((names.index(first), names.index(second)))
+    is_own = (F.col("a") == a) & (F.col("b") == b)
+    own = effects.agg(F.max(F.when(is_own, F.col("d")))).first()[0] or 0.0
     if own < MIN_EFFECT:
         return done.reject(f"effect size {own:.4f} is too small")
     mains = correlations(done.table, outcome, [first, second]).collect()
     for row in mains:
         if row["r"] is not None and abs(row["r"]) > MAX_MAIN:
             return done.reject(f"feature {row['feature']} has a main effect of its own")
-    for pair, size in sizes.items():
-        if size >= own:
-            return done.reject(f"pair {pair[0]}, {pair[1]} interacts at least as strongly")
+    rival = effects.where(~is_own & (F.col("d") >= own)).orderBy("a", "b").first()
+    if rival:
+        return done.reject(
+            f"pair {names[rival['a']]}, {names[rival['b']]} interacts at least as strongly")
     return done

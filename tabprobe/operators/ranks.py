@@ -4,8 +4,8 @@ A group here is one feature (or one model x run) and may hold any share of the r
 is counted first. Up to ``SMALL_GROUP`` values per group the built-in ``percentile`` or a plain
 window is used. Beyond that each group's value range is cut into buckets:
 
-* the cut points are the distinct values whose hash falls under buckets / rows, so they follow
-  the data, need one narrow pass, and are the same on every evaluation;
+* numbers are counted by the leading bits of their order-preserving 64-bit image, and full
+  buckets by more of them (radix selection); texts are cut at sampled values;
 * bucket counts are a small table whose running sum tells how many values lie below a bucket;
 * quantiles then read only the few buckets that hold the wanted positions, and ranks sort
   inside (group, bucket).
@@ -23,6 +23,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabprobe.sources.shared import cut
 
 SMALL_GROUP = 1_000_000
 ROWS_PER_BUCKET = 200_000
@@ -74,11 +77,14 @@ def bucket_of(value: Column, cuts: Column, bits: int = BUCKET_BITS) -> Column:
     )
 
 
-def _bucketed(
+def _between_cuts(
     rows: DataFrame, by: list[str], value: str, sizes: GroupSizes, rows_per_bucket: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows with their bucket, and per bucket the number of values below it."""
-    rows = rows.where(F.col(value).isNotNull())
+    """Buckets between cut points: distinct values whose hash falls under buckets / rows.
+
+    For texts, which have no image of fixed size. The cuts follow the data, need one narrow pass,
+    and are the same on every evaluation.
+    """
     # Twice the buckets asked for leave room for the chance in how many cuts the hash picks.
     bits = min(BUCKET_BITS, (2 * sizes.largest // rows_per_bucket + 15).bit_length())
     most = 2**bits - 1
@@ -96,11 +102,80 @@ def _bucketed(
     bucketed = rows.join(sizes.share(cuts), by, "left").withColumn(
         "_bucket", F.coalesce(bucket_of(F.col(value), F.col("_cuts"), bits), F.lit(0))
     ).drop("_cuts")
-    ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_held")).withColumn(
-        "_ahead", F.coalesce(F.sum("_held").over(ahead), F.lit(0))
+    return bucketed, bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_held"))
+
+
+def image(value: Column) -> Column:
+    """A double as the whole number that its 64 bits spell, so that both have the same order.
+
+    Exponent and mantissa are taken apart by arithmetic that is exact: the guess of a logarithm is
+    set right by comparing with the powers of two next to it, and dividing by one loses nothing.
+    """
+    x = value.cast("double")
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).try_cast("int")
+    one = F.lit(2.0)
+    exponent = F.greatest(
+        F.when(F.pow(one, guess) > size, guess - 1)
+        .when(F.pow(one, guess + 1) <= size, guess + 1).otherwise(guess),
+        F.lit(-1023))
+    least = F.lit(2.0 ** -1022)  # below it, numbers have no leading one
+    spelled = (
+        F.when(size == 0, F.lit(0).cast("bigint"))
+        .when(F.isnan(size), F.lit((2047 << 52) + 1))  # the largest of all, as Spark sorts
+        .when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < least, (size / least * 2.0 ** 52).cast("bigint"))
+        .otherwise(F.shiftleft((exponent + 1023).cast("bigint"), 52)
+                   + ((size / F.pow(one, exponent) - 1) * 2.0 ** 52).cast("bigint"))
     )
-    return bucketed, totals
+    return F.when(x < 0, -spelled).otherwise(spelled)
+
+
+#: Bits of the image below those that a bucket has in common, level by level.
+_LEVELS = (44, 28, 12, 0)
+
+
+def _by_radix(
+    rows: DataFrame, by: list[str], value: str, sizes: GroupSizes, rows_per_bucket: int
+) -> tuple[DataFrame, DataFrame]:
+    """Buckets of values that share the leading bits of their image.
+
+    All values are counted by sign, exponent and eight more bits; buckets that still hold too many
+    are counted by 16 bits more, and so on, so that a bucket is a range as narrow as its values
+    need. A bucket goes by the smallest image it may hold, which orders those of all levels.
+    """
+    rows = rows.withColumn("_image", image(F.col(value)))
+
+    def bucket(shift: int) -> Column:
+        return F.shiftleft(F.shiftright("_image", shift), shift)
+
+    rows = rows.withColumn("_bucket", bucket(_LEVELS[0]))
+    counts = cut(rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_held")))
+    for shift in _LEVELS[1:]:
+        full = counts.where(F.col("_held") > rows_per_bucket).select(*by, "_bucket")
+        many = full.count()
+        if not many:
+            break
+        marked = full.withColumn("_full", F.lit(True))
+        rows = rows.join(
+            F.broadcast(marked) if many <= BROADCAST_GROUPS else marked, [*by, "_bucket"], "left"
+        ).withColumn("_bucket", F.when(F.col("_full"), bucket(shift)).otherwise(F.col("_bucket")))
+        finer = rows.where(F.col("_full")).groupBy(*by, "_bucket").agg(F.count("*").alias("_held"))
+        counts = cut(counts.where(F.col("_held") <= rows_per_bucket).unionByName(finer))
+        rows = rows.drop("_full")
+    return rows.drop("_image"), counts
+
+
+def _bucketed(
+    rows: DataFrame, by: list[str], value: str, sizes: GroupSizes, rows_per_bucket: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their bucket, and per bucket how many values it holds and how many lie below it."""
+    rows = rows.where(F.col(value).isNotNull())
+    number = isinstance(rows.schema[value].dataType, T.NumericType)
+    split = _by_radix if number else _between_cuts
+    bucketed, counts = split(rows, by, value, sizes, rows_per_bucket)
+    ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return bucketed, counts.withColumn("_ahead", F.coalesce(F.sum("_held").over(ahead), F.lit(0)))
 
 
 def _with_below(counted: DataFrame, within: list[str]) -> DataFrame:

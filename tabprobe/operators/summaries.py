@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.numbers import is_number, to_double
 from tabprobe.operators.moments import column_stats, top_values
+from tabprobe.operators.pairs import pair_cells
 from tabprobe.operators.shapes import assign_bins, bin_of, quantile_edges
 
 _Z95 = 1.96
+#: Importances that agree to so many places are ranked alike.
+EVEN = 12
 
 
 def shape_function(
@@ -75,42 +78,45 @@ def importance(shapes: DataFrame) -> DataFrame:
 def interaction_surface(
     df: DataFrame, outcome: str, pairs: list[tuple[str, str]], q: int = 5, **sizing
 ) -> DataFrame:
-    """Per pair of binned features and cell: what the mean outcome adds to the two main effects."""
+    """Per pair of binned features and cell: what the mean outcome adds to the two main effects.
+
+    One scan sums up all pairs of the named features at once, see :mod:`tabprobe.operators.pairs`.
+    """
     names = list(dict.fromkeys(n for pair in pairs for n in pair))
-    edge_rows = {r["feature"]: r["edges"] for r in quantile_edges(df, names, q, **sizing).collect()}
-    pairs = [p for p in pairs if all(len(edge_rows.get(n) or ()) > 1 for n in p)]
-    y = to_double(df, outcome)
-    rows = df.select(y.alias("y"), *[
-        bin_of(to_double(df, n), F.array(*[F.lit(e) for e in edge_rows[n]]), q).alias(f"b{i}")
-        if len(edge_rows.get(n) or ()) > 1 else F.lit(None).cast("int").alias(f"b{i}")
-        for i, n in enumerate(names)
-    ], *[to_double(df, n).isNotNull().alias(f"s{i}") for i, n in enumerate(names)]).where(
-        F.col("y").isNotNull()
-    )
+    edges = {r["feature"]: r["edges"] for r in quantile_edges(df, names, q, **sizing).collect()}
+    names = [n for n in names if len(edges.get(n) or ()) > 1]
+    bins = [
+        F.when(to_double(df, n).isNotNull(),
+               bin_of(to_double(df, n), F.array(*[F.lit(e) for e in edges[n]]), q))
+        for n in names
+    ]
+    rows = df.select(
+        F.lit(0).alias("all"), F.array(*bins).cast("array<int>").alias("bins"),
+        to_double(df, outcome).alias("y"))
     at = {n: i for i, n in enumerate(names)}
-
-    def cell(pair: tuple[str, str]) -> Column:
-        a, b = at[pair[0]], at[pair[1]]
-        return F.when(F.col(f"s{a}") & F.col(f"s{b}"), F.struct(
-            F.lit(pair[0]).alias("feat_a"), F.lit(pair[1]).alias("feat_b"),
-            F.col(f"b{a}").alias("bin_a"), F.col(f"b{b}").alias("bin_b"),
-        ))
-
-    cells = rows.select("y", F.explode(F.array(*[cell(p) for p in pairs])).alias("c")).where(
-        F.col("c").isNotNull()
-    ).groupBy("c.feat_a", "c.feat_b", "c.bin_a", "c.bin_b").agg(
-        F.count("*").alias("n"), F.sum("y").alias("total")
-    )
-    # At most q x q cells per pair from here on.
-    pair = Window.partitionBy("feat_a", "feat_b")
-
-    def mean_over(window) -> Column:
+    wanted = df.sparkSession.createDataFrame(
+        [(min(at[a], at[b]), max(at[a], at[b]), a, b) for a, b in pairs if a in at and b in at],
+        "a int, b int, feat_a string, feat_b string")
+    cells = pair_cells(rows, "all", "bins", "y", q).join(wanted, ["a", "b"])
+    turned = F.col("feat_a") != F.get(
+        F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("a"))
+    return cell_effects(cells.withColumns({
+        "bin_a": F.when(turned, F.col("bin_b")).otherwise(F.col("bin_a")),
+        "bin_b": F.when(turned, F.col("bin_a")).otherwise(F.col("bin_b")),
+    }), ["feat_a", "feat_b"]).select("feat_a", "feat_b", "bin_a", "bin_b", "n", "extra")
+
+
+def cell_effects(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Cells (by..., bin_a, bin_b, n, total) with ``extra``: their mean less both main effects.
+
+    A pair has at most q x q cells.
+    """
+    def mean_over(*within: str) -> Column:
+        window = Window.partitionBy(*by, *within)
         return F.sum("total").over(window) / F.sum("n").over(window)
 
-    by_a = Window.partitionBy("feat_a", "feat_b", "bin_a")
-    by_b = Window.partitionBy("feat_a", "feat_b", "bin_b")
-    extra = F.col("total") / F.col("n") - mean_over(by_a) - mean_over(by_b) + mean_over(pair)
-    return cells.select("feat_a", "feat_b", "bin_a", "bin_b", "n", extra.alias("extra"))
+    extra = F.col("total") / F.col("n") - mean_over("bin_a") - mean_over("bin_b") + mean_over()
+    return cells.withColumn("extra", extra)
 
 
 def interaction_importance(surface: DataFrame) -> DataFrame:
@@ -118,7 +124,8 @@ def interaction_importance(surface: DataFrame) -> DataFrame:
     scored = surface.groupBy("feat_a", "feat_b").agg(
         (F.sum(F.abs("extra") * F.col("n")) / F.sum("n")).alias("importance")
     )
-    order = Window.orderBy(F.desc("importance"), "feat_a", "feat_b")  # one row per column pair
+    order = Window.orderBy(
+        F.desc(F.round("importance", EVEN)), "feat_a", "feat_b")  # one row per column pair
     return scored.withColumn("rank", F.row_number().over(order))
 
 
@@ -152,7 +159,13 @@ def feature_summary(
     scored = stats.join(F.broadcast(importance(shapes)), "feature", "left").withColumn(
         "importance", F.coalesce("importance", F.lit(0.0))
     )
-    order = Window.orderBy(F.desc("importance"), "position")  # one row per column
+    return ranked_lines(scored, [])
+
+
+def ranked_lines(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Scored columns with their rank in each table (or in the only one) and a line of text."""
+    window = Window.partitionBy(*by) if by else Window
+    order = window.orderBy(F.desc("importance"), "position")  # one row per column
     described = F.concat_ws(
         ", ",
         F.when(F.col("min_value").isNotNull(),

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.operators.answers import answer_safe
 from tabprobe.operators.columns import drop_ids
-from tabprobe.operators.inject import inject_each
+from tabprobe.operators.inject import Injection, inject_each
 from tabprobe.operators.profiling import profile
+from tabprobe.operators.set_summaries import summaries_of
 from tabprobe.operators.summaries import (
     feature_summary, importance, interactions_of, overview, shape_function,
 )
@@ -19,7 +21,8 @@ from tabprobe.functions.numbers import number_columns
 from tabprobe.plans.matching import match_all, required_phenomena, run_report
 from tabprobe.plans.templates import templates_frame
 from tabprobe.sources.instances import (
-    as_text, discover_instances, read_table, store_table, write_instance,
+    FOLDERS, MANIFEST_SCHEMA, answers_of, commit_instances, discover_instances, exists, manifest_row,
+    new_version, read_tables, store_table, version_key,
 )
 from tabprobe.sources.shared import cut
 
@@ -65,38 +68,47 @@ def build_instances(
     ids = sorted(r["column"] for r in facts if r["kind"] == "id_no")
     target = next(r["column"] for r in facts if r["is_target"])
 
-    def build(spec) -> tuple[tuple, list[tuple]]:
-        name = (dataset, spec["injector"], spec["params_key"])
+    version = new_version()
+
+    def injected(spec) -> tuple[Injection, int]:
         result = inject_each(table, [(spec["injector"], spec["params"])], seed, key, ids)[0]
         if spec["injector"] == "fi_top_features":
             result.table = drop_ids(result.table, ids)
-        stored = result.status == "OK"
-        if stored:
-            store_table(spark, root, dataset, seed, result)
-        qa_pairs, answers = [], []
-        for template_id in spec["templates"] if result.status == "OK" else []:
-            match = by_id[template_id]
-            answer = answer_safe(
-                template_id, result.table, match["slots"], {spec["injector"]: result.effects}, key
-            )
-            value = as_text(answer.value)
-            answers.append((*name, template_id, value, answer.status, answer.reason))
-            qa_pairs.append({
-                "template_id": template_id, "category": match["category"],
-                "answer_format": match["answer_format"], "question": match["question"],
-                "slot_assignments": match["slots"], "answer": value,
-            })
-        unanswered = [qa["template_id"] for qa in qa_pairs if qa["answer"] is None]
-        if unanswered:
-            result.reject("no answer: " + ", ".join(unanswered))
-        write_instance(spark, root, dataset, seed, result, qa_pairs, dataset, target, key, stored)
-        return (*name, result.status, result.reason), answers
+        size = store_table(spark, root, dataset, seed, result, version) if (
+            result.status == "OK") else 0
+        return result, size
 
     # Independent jobs of one table, a few at a time.
     with ThreadPoolExecutor(PARALLEL) as pool:
-        done = list(pool.map(build, specs))
-    effects = [effect for effect, _ in done]
-    answers = [row for _, rows in done for row in rows]
+        results = list(pool.map(injected, specs))
+    rows = []
+    for spec, (result, size) in zip(specs, results):
+        asked = [by_id[t] for t in spec["templates"]] if result.status == "OK" else []
+        qa_pairs = [{
+            "template_id": m["template_id"], "category": m["category"],
+            "answer_format": m["answer_format"], "question": m["question"],
+            "slot_assignments": m["slots"], "answer": None,
+        } for m in asked]
+        rows.append(manifest_row(
+            dataset, seed, result, qa_pairs, dataset, target, key, version, size))
+    # All questions of all injections together; nothing of this run can be read by others yet.
+    drafts = spark.createDataFrame([r for r in rows if r["qa_pairs"]], MANIFEST_SCHEMA)
+    answered = {(r["instance"], r["template_id"]): r
+                for r in answers_of(spark, root, drafts).collect()} if specs else {}
+    effects, answers = [], []
+    for spec, row in zip(specs, rows):
+        name = (dataset, spec["injector"], spec["params_key"])
+        for qa in row["qa_pairs"]:
+            found = answered[row["instance"], qa["template_id"]]
+            qa["answer"] = found["answer"]
+            answers.append((
+                *name, qa["template_id"], found["answer"], found["status"], found["reason"]))
+        open_ones = [qa["template_id"] for qa in row["qa_pairs"] if qa["answer"] is None]
+        if open_ones:
+            row.update(status="REJECTED", reason="no answer: " + ", ".join(open_ones),
+                       version=None, bytes=0, columns=[], qa_pairs=[])
+        effects.append((*name, row["status"], row["reason"]))
+    commit_instances(spark, root, rows)
     return run_report(
         matches, spark.createDataFrame(effects, _EFFECTS), spark.createDataFrame(answers, _ANSWERS)
     )
@@ -115,34 +127,68 @@ def summarise_table(df: DataFrame, outcome: str) -> dict[str, DataFrame]:
     return parts
 
 
+#: Parts of a summary, each a table of all instances of a run.
+PARTS = ("overview", "shapes", "importance", "features", "interactions")
+_DONE = "instance string, version string, status string, run string"
+
+
 def summarise_instances(
     spark: SparkSession, root: str, force: bool = False, suffixes: list[str] | None = None
 ) -> DataFrame:
-    """Summaries of every stored instance that has none yet: one status row per instance."""
-    def summarise(m) -> tuple[str, str]:
-        folder = f"{root}/summaries/{m['instance']}"
-        if not force and _finished(spark, folder):
-            return m["instance"], "skipped"
-        table = read_table(spark, root, m["instance"])
-        if m["target"] not in table.columns:
-            return m["instance"], "failed"
-        parts = summarise_table(table, m["target"])
-        overview_last = [*[n for n in parts if n != "overview"], "overview"]
-        for part in overview_last:  # the overview is written last and marks the summary finished
-            parts[part].write.mode("overwrite").parquet(f"{folder}/{part}")
-        return m["instance"], "generated"
-
-    instances = discover_instances(spark, root, suffixes=suffixes).collect()
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        rows = list(pool.map(summarise, instances))
-    return spark.createDataFrame(rows, "instance string, status string")
-
+    """Summaries of every stored instance that has none yet: one status row per instance.
 
-def _finished(spark: SparkSession, folder: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(f"{folder}/overview")
-    except AnalysisException:
-        return False
-    return True
+    An instance is finished when its summary was made of the version that now counts, so a table
+    that was built anew is summarised anew. All that are not are summarised together: each part is
+    one aggregate over all their tables and one table of the run. The list of what the run has
+    finished is written last and makes it count; a run that dies is made up for by the next.
+    """
+    instances = cut(discover_instances(spark, root, suffixes=suffixes))
+    done = read_done(spark, root).where(F.col("status") == "generated")
+    known = ["instance", "version"]
+    todo = instances if force else instances.join(done.select(*known), known, "left_anti")
+    has_target = F.exists("columns", lambda c: c["name"] == F.col("target"))
+    todo = cut(todo.withColumn("status", F.when(has_target, "generated").otherwise("failed")))
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"  # later runs sort behind
+    usable = todo.where(F.col("status") == "generated")
+    if usable.count():
+        folders = [f.split()[0] for f in FOLDERS.split(", ")]
+        keyed = usable.withColumn("key", version_key(*folders, "version"))
+        parts = summaries_of(read_tables(spark, root, usable), keyed.select(
+            F.col("key").alias("instance"), "target", "columns"))
+        names = keyed.select(F.col("key"), F.col("instance").alias("name"))
+        for part in PARTS:
+            table = parts[part].join(names, F.col("instance") == F.col("key"))
+            table.drop("instance", "key").withColumnRenamed("name", "instance").hint(
+                "rebalance", "instance").write.parquet(f"{root}/summaries/{part}/run={run}")
+    todo.select("instance", "version", "status").write.parquet(f"{root}/summaries/done/run={run}")
+    return instances.select("instance").join(
+        todo.select("instance", "status"), "instance", "left").select(
+        "instance", F.coalesce("status", F.lit("skipped")).alias("status"))
+
+
+def read_done(spark: SparkSession, root: str) -> DataFrame:
+    """The last run that summarised each instance, and the version it did."""
+    path = f"{root}/summaries/done"
+    if not exists(spark, path):
+        return spark.createDataFrame([], _DONE)
+    last = F.max_by(F.struct("version", "status"), "run").alias("last")
+    return spark.read.schema(_DONE).parquet(path).groupBy("instance").agg(
+        last, F.max("run").alias("run")).select("instance", "last.*", "run")
+
+
+def read_summaries(spark: SparkSession, root: str, part: str) -> DataFrame:
+    """One part of the summaries of all instances, as their last runs left it."""
+    done = read_done(spark, root).where(F.col("status") == "generated").select("instance", "run")
+    return spark.read.parquet(f"{root}/summaries/{part}").join(
+        done, ["instance", "run"], "left_semi").drop("run")
+
+
+def read_summary(spark: SparkSession, root: str, part: str, instance: str) -> DataFrame:
+    """One part of the summary of one instance, as :func:`summarise_table` gives it."""
+    return read_summaries(spark, root, part).where(F.col("instance") == instance).drop("instance")
+
+
+def summary_counts(statuses: DataFrame) -> DataFrame:
+    """How many instances were summarised, left out as finished, and not usable."""
+    return statuses.agg(*[
+        F.count_if(F.col("status") == s).alias(s) for s in ("generated", "skipped", "failed")])

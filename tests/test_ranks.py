@@ -91,6 +91,39 @@ def test_one_group_with_nine_tenths_of_the_rows_and_many_small_ones(spark):
     assert bits(large.where("g = 'hot'")) == bits(ranks.medians(df, ["g"], "v").where("g = 'hot'"))
 
 
+def test_images_are_the_bits_of_the_numbers(spark):
+    rng = np.random.default_rng(1)
+    values = np.concatenate([
+        rng.integers(0, 1 << 63, 3000, dtype=np.int64).view(np.float64), 2.0 ** np.arange(-1074, 1024),
+        np.nextafter(2.0 ** np.arange(-1070, 1024), 0), np.nextafter(2.0 ** np.arange(-1070, 1024), 9e307),
+        [0.0, np.inf, 5e-324, 1.7976931348623157e308]])
+    values = values[~np.isnan(values)]
+    values = np.concatenate([values, -values, [np.nan]])
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).select(
+        "v", ranks.image(F.col("v")).alias("image")).toPandas()
+    want = np.abs(df["v"].to_numpy()).view(np.int64)
+    want = np.where(df["v"] < 0, -want, want)
+    given = df["v"].notna().to_numpy()
+    assert (df["image"].to_numpy()[given] == want[given]).all()
+    assert df["image"].to_numpy()[~given].min() > want[given].max()
+
+
+def test_values_far_from_each_other_and_close_together(spark):
+    rng = np.random.default_rng(2)
+    close = 1e15 + rng.integers(0, 4000, 5000) / 8.0
+    values = np.concatenate([close, [-1e300, 0.0, 3e-310, 1e300], np.full(700, 1e15)])
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    sizing = {"small_group": 0, "rows_per_bucket": 60}
+    probs = [0.0, 0.01, 0.2, 0.5, 0.77, 1.0]
+    assert bits(ranks.quantiles(df, [], "v", probs, **sizing)) == bits(
+        ranks.quantiles(df, [], "v", probs))
+    assert bits(ranks.value_ranks(df, [], "v", **sizing)) == bits(ranks.value_ranks(df, [], "v"))
+    bucketed, counts = ranks._bucketed(
+        df.withColumn("_group", F.lit(0)), ["_group"], "v", ranks.GroupSizes(len(values), 1), 60)
+    assert bucketed.count() == len(values)
+    assert counts.agg(F.max("_held")).first()[0] <= 760  # only equal values stay together
+
+
 def test_all_null_group_is_null(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0)], "g string, v double")
     got = {r["g"]: r["median"] for r in ranks.medians(df, ["g"], "v").collect()}
