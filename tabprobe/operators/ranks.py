@@ -4,11 +4,12 @@ A group here is one feature (or one model x run) and may hold any share of the r
 is counted first. Up to ``SMALL_GROUP`` values per group the built-in ``percentile`` or a plain
 window is used. Beyond that each group's value range is cut into buckets:
 
-* numbers are counted by the leading bits of their order-preserving 64-bit image, and full
-  buckets by more of them (radix selection); texts are cut at sampled values;
+* quantiles of numbers come from brackets around the wanted positions: a mergeable sketch with a
+  bounded rank error gives them, one more pass counts what lies between and keeps what lies inside;
+* for ranks, the range of the numbers is cut into parts, and parts that are full are cut again
+  between their own ends; texts are cut at values that a hash chooses;
 * bucket counts are a small table whose running sum tells how many values lie below a bucket;
-* quantiles then read only the few buckets that hold the wanted positions, and ranks sort
-  inside (group, bucket).
+  ranks sort inside (group, bucket).
 
 Equal values are merged into one counted row first, so a value held by a third of the rows
 costs no more than any other.
@@ -105,65 +106,103 @@ def _between_cuts(
     return bucketed, bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_held"))
 
 
-def image(value: Column) -> Column:
-    """A double as the whole number that its 64 bits spell, so that both have the same order.
+_LARGEST = 1.7976931348623157e308
 
-    Exponent and mantissa are taken apart by arithmetic that is exact: the guess of a logarithm is
-    set right by comparing with the powers of two next to it, and dividing by one loses nothing.
-    """
-    x = value.cast("double")
-    size = F.abs(x)
-    guess = F.floor(F.log2(size)).try_cast("int")
-    one = F.lit(2.0)
-    exponent = F.greatest(
-        F.when(F.pow(one, guess) > size, guess - 1)
-        .when(F.pow(one, guess + 1) <= size, guess + 1).otherwise(guess),
-        F.lit(-1023))
-    least = F.lit(2.0 ** -1022)  # below it, numbers have no leading one
-    spelled = (
-        F.when(size == 0, F.lit(0).cast("bigint"))
-        .when(F.isnan(size), F.lit((2047 << 52) + 1))  # the largest of all, as Spark sorts
-        .when(size == float("inf"), F.lit(2047 << 52))
-        .when(size < least, (size / least * 2.0 ** 52).cast("bigint"))
-        .otherwise(F.shiftleft((exponent + 1023).cast("bigint"), 52)
-                   + ((size / F.pow(one, exponent) - 1) * 2.0 ** 52).cast("bigint"))
-    )
-    return F.when(x < 0, -spelled).otherwise(spelled)
 
+def _shares(x: Column, low: Column, high: Column, parts: Column) -> Column:
+    """Which of `parts` equal parts of the way from low to high a value lies in, from 0.
+
+    Every step rounds in the same direction for larger values, so no value gets a smaller part
+    than a smaller one.
+    """
+    def tame(c: Column) -> Column:
+        return F.greatest(F.least(c.cast("double"), F.lit(_LARGEST)), F.lit(-_LARGEST)) / 4
 
-#: Bits of the image below those that a bucket has in common, level by level.
-_LEVELS = (44, 28, 12, 0)
+    way = F.try_divide(tame(x) - tame(low), tame(high) - tame(low))
+    return F.least(F.floor(F.coalesce(way, F.lit(0.0)) * parts), parts - 1).cast("bigint")
 
 
-def _by_radix(
+def _by_range(
     rows: DataFrame, by: list[str], value: str, sizes: GroupSizes, rows_per_bucket: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Buckets of values that share the leading bits of their image.
+    """Buckets that are parts of the range of the values, and parts of those where they are full.
 
-    All values are counted by sign, exponent and eight more bits; buckets that still hold too many
-    are counted by 16 bits more, and so on, so that a bucket is a range as narrow as its values
-    need. A bucket goes by the smallest image it may hold, which orders those of all levels.
+    A bucket that holds too many values, not all of them equal, is cut again between its own
+    smallest and largest value, so that values that crowd together far from others are told apart.
+    A bucket goes by the path of its parts, which has the order of the values.
     """
-    rows = rows.withColumn("_image", image(F.col(value)))
+    rows = rows.withColumn("_bucket", F.array().cast("array<bigint>"))
+    counts = None
+    while True:
+        keys = [*by, "_bucket"]
+        found = cut((rows if counts is None else rows.where("_full")).groupBy(*keys).agg(
+            F.count("*").alias("_held"), F.min(value).alias("_low"), F.max(value).alias("_high")))
+        full = (F.col("_held") > rows_per_bucket) & (F.col("_low") < F.col("_high"))
+        done = found.where(~full).select(*keys, "_held")
+        counts = done if counts is None else counts.unionByName(done)
+        parts = F.least(F.lit(4 / rows_per_bucket) * F.col("_held") + 2, F.lit(65_536.0))
+        more = cut(found.where(full).select(
+            *keys, "_low", "_high", parts.cast("bigint").alias("_parts"), F.lit(True).alias("_full")))
+        many = more.count()
+        rows = rows.drop("_full")
+        if not many:
+            return rows, counts
+        inner = F.array_append("_bucket", _shares(
+            F.col(value), F.col("_low"), F.col("_high"), F.col("_parts")))
+        rows = rows.join(F.broadcast(more) if many <= BROADCAST_GROUPS else more, keys, "left"
+                         ).withColumn("_bucket", F.when(F.col("_full"), inner).otherwise(
+                             F.col("_bucket"))).drop("_low", "_high", "_parts")
 
-    def bucket(shift: int) -> Column:
-        return F.shiftleft(F.shiftright("_image", shift), shift)
 
-    rows = rows.withColumn("_bucket", bucket(_LEVELS[0]))
-    counts = cut(rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_held")))
-    for shift in _LEVELS[1:]:
-        full = counts.where(F.col("_held") > rows_per_bucket).select(*by, "_bucket")
-        many = full.count()
-        if not many:
-            break
-        marked = full.withColumn("_full", F.lit(True))
-        rows = rows.join(
-            F.broadcast(marked) if many <= BROADCAST_GROUPS else marked, [*by, "_bucket"], "left"
-        ).withColumn("_bucket", F.when(F.col("_full"), bucket(shift)).otherwise(F.col("_bucket")))
-        finer = rows.where(F.col("_full")).groupBy(*by, "_bucket").agg(F.count("*").alias("_held"))
-        counts = cut(counts.where(F.col("_held") <= rows_per_bucket).unionByName(finer))
-        rows = rows.drop("_full")
-    return rows.drop("_image"), counts
+def _selected(
+    rows: DataFrame, by: list[str], value: str, wanted: DataFrame, sizes: GroupSizes,
+    rows_per_bucket: int,
+) -> DataFrame | None:
+    """The values at positions ``k`` of ``wanted``, or None if a bracket missed one.
+
+    A mergeable quantile sketch of each group, whose rank error is bounded, gives a bracket of
+    values around each wanted position. One more pass counts the values between the brackets and
+    keeps those inside, which are few; each position is found by counting.
+    """
+    steps = int(min(max(sizes.largest / rows_per_bucket * 4, 16), 4_096))
+    grid = F.percentile_approx(
+        value, F.array(*[F.lit(i / steps) for i in range(steps + 1)]), F.lit(steps * 8))
+    sketch = cut(rows.groupBy(*by).agg(grid.alias("_grid"), F.count("*").alias("_rows")))
+    at = F.col("k") * F.lit(float(steps)) / F.greatest(F.col("_rows") - 1, F.lit(1))
+    near = wanted.join(sketch, by).select(
+        *by, F.struct(
+            F.get("_grid", F.greatest(F.floor(at) - 1, F.lit(0)).cast("int")).alias("low"),
+            F.get("_grid", F.least(F.ceil(at) + 1, F.lit(steps)).cast("int")).alias("high"),
+        ).alias("pair"))
+    # A value's place among the bounds: twice the bounds below it, one more where it is a bound.
+    bounds = F.array_sort(F.array_distinct(F.concat("_pairs.low", "_pairs.high")))
+    brackets = cut(near.groupBy(*by).agg(F.collect_set("pair").alias("_pairs")).select(
+        *by, bounds.alias("_bounds"), "_pairs").select(
+        *by, "_bounds", F.flatten(F.transform("_bounds", lambda b: F.array(
+            F.exists("_pairs", lambda p: (p["low"] < b) & (b <= p["high"])),
+            F.exists("_pairs", lambda p: (p["low"] <= b) & (b <= p["high"]))))).alias("_inside")))
+    most = brackets.agg(F.max(F.size("_bounds"))).first()[0] or 0
+    x = F.col(value)
+    place = sum((F.when(F.get("_bounds", F.lit(i)) < x, 2)
+                 .when(F.get("_bounds", F.lit(i)) == x, 1).otherwise(0) for i in range(most)), F.lit(0))
+    placed = rows.join(sizes.share(brackets), by).withColumn("_bucket", place)
+    kept = placed.withColumn("_kept", F.when(F.get("_inside", F.col("_bucket")), x))
+    counted = kept.groupBy(*by, "_bucket", "_kept").agg(F.count("*").alias("n"))
+    counted = cut(counted)
+    ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counted.groupBy(*by, "_bucket").agg(F.sum("n").alias("_held")).withColumn(
+        "_ahead", F.coalesce(F.sum("_held").over(ahead), F.lit(0))).drop("_held")
+    within = Window.partitionBy(*by, "_bucket").orderBy("_kept").rowsBetween(
+        Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(within), F.lit(0))
+    inside = counted.where(F.col("_kept").isNotNull()).withColumn("below", below).join(
+        totals, [*by, "_bucket"]).withColumn("below", F.col("below") + F.col("_ahead"))
+    hit = (F.col("k") >= F.col("below")) & (F.col("k") < F.col("below") + F.col("n"))
+    found = cut(inside.join(sizes.share(wanted), by).where(hit).select(
+        *by, "k", F.col("_kept").alias(value)))
+    asked = wanted.join(sketch.select(*by, "_rows"), by).where(
+        (F.col("k") >= 0) & (F.col("k") < F.col("_rows")))
+    return found if found.count() == asked.count() else None
 
 
 def _bucketed(
@@ -172,7 +211,7 @@ def _bucketed(
     """Rows with their bucket, and per bucket how many values it holds and how many lie below it."""
     rows = rows.where(F.col(value).isNotNull())
     number = isinstance(rows.schema[value].dataType, T.NumericType)
-    split = _by_radix if number else _between_cuts
+    split = _by_range if number else _between_cuts
     bucketed, counts = split(rows, by, value, sizes, rows_per_bucket)
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return bucketed, counts.withColumn("_ahead", F.coalesce(F.sum("_held").over(ahead), F.lit(0)))
@@ -226,6 +265,10 @@ def _order_statistics(
         counted = rows.groupBy(*by, "_value").agg(F.count("*").alias("n"))
         placed = _with_below(counted, by).join(sizes.share(wanted), by)
         return placed.where(hit).select(*by, "k", value)
+    if isinstance(rows.schema["_value"].dataType, T.NumericType):
+        found = _selected(rows, by, "_value", wanted, sizes, rows_per_bucket)
+        if found is not None:
+            return found
     bucketed, totals = _bucketed(rows, by, "_value", sizes, rows_per_bucket)
     targets = totals.join(sizes.share(wanted), by).where(
         (F.col("k") >= F.col("_ahead")) & (F.col("k") < F.col("_ahead") + F.col("_held"))
@@ -263,13 +306,16 @@ def _quantiles(
 ) -> DataFrame:
     by = [GROUP]
     small_group = SMALL_GROUP if small_group is None else small_group
-    sizes = sizes or group_sizes(rows, by, "_value")
+    groups = rows.groupBy(*by).agg(F.count("_value").alias("_rows"))
+    if sizes is None:
+        groups = cut(groups)
+        found = groups.agg(F.max("_rows").alias("largest"), F.count("*").alias("groups")).first()
+        sizes = GroupSizes(found["largest"] or 0, found["groups"])
     if sizes.small(small_group):
         return rows.groupBy(*by).agg(
             F.percentile("_value", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles")
         )
     # (n - 1) * p is the fractional position of each quantile; a group may have no values at all.
-    groups = rows.groupBy(*by).agg(F.count("_value").alias("_rows"))
     spots = groups.where(F.col("_rows") > 0).select(
         *by,
         F.posexplode(F.array(*[F.lit(float(p)) * (F.col("_rows") - 1) for p in probs])).alias(
