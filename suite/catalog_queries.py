@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from suite.base import as_bigint, orders_study, table
+from suite.base import as_bigint, orders_study, sql_n, sql_pick, sql_u, table
 from tabprobe.operators.profiling import column_sample, profile_all, sequential_ids
 from tabprobe.plans import matching as M
 from tabprobe.plans.build import build_instances, summarise_instances, values_of
 from tabprobe.plans.templates import TEMPLATES, templates_frame
-from tabprobe.sources.instances import discover_instances, refresh_answers
+from tabprobe.sources.instances import discover_instances, read_manifests, refresh_answers
 from tabprobe.sources.shared import cut, fresh_folder
 
 QUERIES, SQL = {}, {}
@@ -354,14 +354,66 @@ def needed_phenomena(spark, sf_dir):
     )
 
 
-@query()
-def built_instances(spark, sf_dir):
-    """Run report of matching, injecting, answering and storing the orders table."""
-    root = fresh_folder(spark, "instances")
-    return build_instances(spark, catalog_table(spark, sf_dir, "orders"), "orders", root, SEED)
+# Seeds of the injections below (of seed 42, the injector and its parameters) and what
+# their keyed draws give; pinned, so that no SQL asks the engine.
+_FLAG, _FLAG_RENAMED = "cluster_flag", "lxuku"
+_STUDY_NAMES = {"o_custkey": "o_orderstatus", "o_day": "o_month", "o_month": "o_orderpriority"}
+_ORDER_NAMES = {"o_custkey": "o_orderstatus", "o_month": "o_orderpriority"}
+_SEEDS = {"sf_nonmonotone_peak": 778653157, "ix_interaction_dominant": 377122331}
+
+
+def _top_sql(rows: str, names: dict[str, str]) -> str:
+    """Features by their correlation with the price, under the names they were given."""
+    listed = ", ".join(
+        f"('{new}', (select abs(corr({old}, o_totalprice)) from {rows}))"
+        for old, new in names.items())
+    return f"(select string_agg(f, ', ' order by r desc) from (values {listed}) t(f, r))"
+
+
+def _riskier_sql(rows: str, a: str, b: str, strength: float, seed: int) -> str:
+    """The month that varies more once both have new prices around the mean, else null."""
+    noise = sql_n("risk", "row_id", seed)
+    return f"""(
+        with facts as (
+            select avg(o_totalprice) as mu, stddev_samp(o_totalprice) as sd,
+                   case when {sql_u('coin', "''", seed)} < 0.5 then '{a}' else '{b}' end as risky
+            from {rows}),
+        risk as (
+            select o_month::varchar as grp, risky,
+                   mu + ({noise}) * sd * case when o_month::varchar = risky then {strength} else 0.5 end
+                       as y
+            from {rows}, facts where o_month::varchar in ('{a}', '{b}')),
+        spread as (
+            select risk.*, abs(y - m) as z
+            from risk join (select grp, median(y) as m from risk group by grp) using (grp)),
+        sides as (
+            select grp, any_value(risky) as risky, count(*) as n, avg(y) as mean, var_samp(y) as v,
+                   avg(z) as z, var_pop(z) as vz from spread group by grp),
+        test as (
+            select (sum(n) - 2) * sum(n * (z - all_z) * (z - all_z)) / sum(n * vz) as f,
+                   (max(mean) - min(mean)) / any_value(pooled) as gap,
+                   arg_max(grp, v) as answer, any_value(risky) as risky
+            from sides, (select avg(z) as all_z, stddev_samp(y) as pooled from spread))
+        select case when gap <= 0.5 and f > 4 and answer = risky then answer end from test)"""
+
+
+_REFRESHED_SQL = f"""
+    study as (
+        select o_orderkey + 1 as row_id, o_custkey, dayofyear(o_orderdate)::bigint as o_day,
+               month(o_orderdate)::bigint as o_month, o_totalprice
+        from orders)"""
 
 
-@query()
+@query(f"""
+    with {_REFRESHED_SQL}
+    select 'orders_study' as dataset, regexp_replace(template_id, '_v0$', '') as injector,
+           template_id, answer, case when answer is null then 'ERROR' else 'OK' end as status,
+           'generated' as summary, true as stored
+    from (values
+        ('fi_top_features_v0', {_top_sql('study', _STUDY_NAMES)}),
+        ('dq_bad_row_indicator_v0', '{_FLAG}'),
+        ('dq_riskier_group_v0', {_riskier_sql('study', '9', '3', 5.0, 1593088117)})
+    ) t(template_id, answer)""")
 def refreshed_answers(spark, sf_dir):
     """Three stored instances, their answers recomputed, and their summaries written."""
     root = fresh_folder(spark, "instances")
@@ -377,3 +429,97 @@ def refreshed_answers(spark, sf_dir):
     return answers.join(summaries, "instance", "left").join(sizes, "instance", "left").select(
         "dataset", "injector", "template_id", "answer", "status", "summary", "stored"
     )
+
+
+_INJECTED = ", ".join(
+    f"('{t['template_id']}', '{t['phenomena'][0]['injector']}')" for t in TEMPLATES)
+_PLACES = "median(greatest(1, length(split_part({}::varchar, '.', 2))))::int"
+_LEVEL = f"0.35 + 0.3 * ({sql_u('peak', chr(39) * 2, _SEEDS['sf_nonmonotone_peak'])})"
+_PEAK_ANSWER = f"""(
+    with pick as (
+        select f from {sql_pick(['o_custkey', 'o_month'], 'feature', _SEEDS['sf_nonmonotone_peak'])} p
+        where place = 1),
+    xs as (
+        select (case f when 'o_custkey' then o_custkey else o_month end)::double as x, f
+        from table_, pick),
+    ranked as (select x, f, row_number() over (order by x) - 1 as place_, count(*) over () as n from xs),
+    spot as (select any_value(f) as f, any_value(n - 1) * ({_LEVEL}) as spot from ranked),
+    ends as (
+        select any_value(spot.f) as f, any_value(spot) as spot, max(x) filter (place_ = floor(spot)) as lo,
+               max(x) filter (place_ = ceil(spot)) as hi
+        from ranked, spot)
+    select f || ', ' || round_even(
+               case when lo = hi then lo
+                    else (ceil(spot) - spot) * lo + (spot - floor(spot)) * hi end, 1)::double::varchar
+    from ends)"""
+_PAIR_NAMES = ["row_id", "o_custkey", "o_month"]
+_PAIR_ANSWER = f"""(
+    with pick as {sql_pick(_PAIR_NAMES, 'pair', _SEEDS['ix_interaction_dominant'])},
+    two as (select min(f) as a, max(f) as b from pick where place <= 2),
+    bits as (
+        select o_totalprice as y, xor(
+            case a {' '.join(f"when '{n}' then ({n} > (select median({n}) from table_))::int" for n in _PAIR_NAMES)} end,
+            case b {' '.join(f"when '{n}' then ({n} > (select median({n}) from table_))::int" for n in _PAIR_NAMES)} end)
+            as s, a, b
+        from table_, two),
+    crossed as (
+        select a, b, s, y + 1.5 * (select stddev_samp(y) from bits) * (s - (select avg(s) from bits))
+               as y from bits)
+    select case when avg(y) filter (s = 1) > avg(y) filter (s = 0)
+           then any_value(a) || ', ' || any_value(b) end from crossed)"""
+_VALLEY_ANSWER = """(
+    select case when (count(distinct o_custkey) >= 10)::int + (count(distinct o_month) >= 10)::int < 3
+           then null else 'three features' end from table_)"""
+_TREND_ANSWER = """(
+    with split as (
+        select value::date as d from assigned where dataset = 'orders' and slot = 'SPECIFIC_DATE'
+            and template_id = 'rca_performance_improve_v0'),
+    halves as (
+        select o_month, o_totalprice as y, case when o_date < d then 'A' when o_date >= d then 'B' end
+               as p from table_, split),
+    stats as (
+        select o_month, avg(y) filter (p = 'A') as ma, avg(y) filter (p = 'B') as mb
+        from halves group by o_month),
+    level_ as (
+        select p, case when p = 'B' then y + coalesce(ma - mb, 0) else y end as y
+        from halves join stats using (o_month))
+    select case when avg(y) filter (p = 'A') > avg(y) filter (p = 'B') then 'IMPROVED' end
+    from level_)"""
+_RETRAIN_ANSWER = """(
+    select 'YES, ' || any_value(value) from assigned where dataset = 'orders'
+        and slot = 'SPECIFIC_ROW_ID' and template_id = 'rca_retrain_point_v0')"""
+
+
+@query(f"""
+    with {MATCH_SQL},
+    table_ as (
+        select o_orderkey + 1 as row_id, o_custkey, month(o_orderdate)::bigint as o_month,
+               cast(o_orderdate as date) as o_date, o_totalprice
+        from orders),
+    injectors as (select * from (values {_INJECTED}) i(template_id, injector)),
+    answers as (select * from (values
+        ('fi_top_features_v0', {_top_sql('table_', _ORDER_NAMES)}),
+        ('dq_bad_row_indicator_v0', '{_FLAG}'), ('dq_bad_row_indicator_v1', '{_FLAG_RENAMED}'),
+        ('dq_riskier_group_v0', {_riskier_sql('table_', '8', '11', 5.0, 1964003523)}),
+        ('dq_riskier_group_v1', {_riskier_sql('table_', '10', '5', 2.0, 2099528395)}),
+        ('dq_riskier_group_v2', {_riskier_sql('table_', '1', '2', 3.0, 528785321)}),
+        ('sf_nonmonotone_peak_v0', {_PEAK_ANSWER}), ('ix_interaction_dominant_v0', {_PAIR_ANSWER}),
+        ('sf_monotone_classify_v0', {_VALLEY_ANSWER}), ('rca_performance_improve_v0', {_TREND_ANSWER}),
+        ('rca_performance_improve_v1', {_TREND_ANSWER}), ('rca_retrain_point_v0', {_RETRAIN_ANSWER})
+    ) a(template_id, answer))
+    select dataset, injector, template_id, case when not compatible then 'NO MATCH'
+               when answer is null then 'SKIP' else 'OK' end as status,
+           case when compatible then answer end as answer
+    from checked join injectors using (template_id) left join answers using (template_id)
+    where dataset = 'orders'""")
+def built_instances(spark, sf_dir):
+    """Status and answer of every template after matching, injecting, answering and storing the
+    orders table."""
+    root = fresh_folder(spark, "instances")
+    report = build_instances(
+        spark, catalog_table(spark, sf_dir, "orders"), "orders", root, SEED)
+    answers = read_manifests(spark, root).select(
+        "injector", F.explode("qa_pairs").alias("qa")).select(
+        "injector", "qa.template_id", "qa.answer")
+    return report.join(answers, ["injector", "template_id"], "left").select(
+        "dataset", "injector", "template_id", "status", "answer")

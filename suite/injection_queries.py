@@ -402,7 +402,8 @@ _D_SQL = """(abs(avg(y) filter (b = 1) - avg(y) filter (b = 0)) / sqrt(
     chosen as (select least((select f from fa), (select f from fb)) as x,
                       greatest((select f from fa), (select f from fb)) as z),
     own as (select d from sizes, chosen where least(a, c) = x and greatest(a, c) = z),
-    rivals as (select max(d) as d from sizes, chosen where a not in (x, z) and c not in (x, z)),
+    rivals as (select max(d) as d from sizes, chosen
+               where not (least(a, c) = x and greatest(a, c) = z)),
     mains as (select greatest({', '.join(
         f"case when '{n}' in (x, z) then (select abs(corr({n}, y)) from crossed) else 0 end"
         for n in _NUMERIC)}) as r from chosen)

@@ -222,14 +222,49 @@ def _places_in_files(df: DataFrame) -> DataFrame | None:
     return None if whole is False else tagged
 
 
+#: Files or blocks of files that are sent to every task at most.
+_BLOCKS_SENT = 100_000
+
+
+def _blocks_of_files(df: DataFrame) -> DataFrame | None:
+    """Rows with their file, the place where their block of it begins, and their place in a task."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    try:
+        return df.select(
+            "*", F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.spark_partition_id().alias("_part"), inside.alias("_at"))
+    except AnalysisException:
+        return None
+
+
 def number_rows(df: DataFrame) -> DataFrame:
     """Put ``row_id`` 1..n first.
 
-    Whole Parquet files are numbered by file and place in the file, which is the same on every
-    read. Any other table is checkpointed first, which fixes its partitions, and
-    numbered by partition and place in the partition. No window or sort over rows is needed.
+    Whole Parquet files are numbered by file and place in the file. Text files (CSV, JSON) are
+    numbered by file, block and place in the block: rows are counted by block in one pass, and the
+    sums of the blocks before each give its first number. Both are the same on every read, however
+    files are cut into blocks, and no second copy of the table is made. Should a later read cut
+    the files in another way than the pass that counted (executors came or went in between), it
+    ends with an error and not with other numbers; call this again then. Any other table is
+    checkpointed first, which fixes its partitions, and numbered by partition and place in the
+    partition. No window or sort over rows is needed.
     """
+    names = [F.col(f"`{c}`") for c in df.columns]
     tagged = _places_in_files(df)
+    if tagged is None and (blocks := _blocks_of_files(df)) is not None:
+        key = ["_file", "_start", "_part"]
+        along = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+        counts = cut(blocks.groupBy(*key).agg(
+            F.count("*").alias("_held"), F.min("_at").alias("_first")
+        ).withColumn("_ahead", F.coalesce(F.sum("_held").over(along), F.lit(0))))  # row per block
+        sent = F.broadcast(counts) if counts.count() <= _BLOCKS_SENT else counts
+        place = F.col("_at") - F.col("_first")
+        fits = F.coalesce((place >= 0) & (place < F.col("_held")), F.lit(False))
+        number = F.when(fits, F.col("_ahead") + place + 1).otherwise(
+            F.raise_error(F.lit("files are cut into other blocks than when rows were counted"))
+            .cast("bigint"))
+        return blocks.join(sent, key, "left").select(number.alias("row_id"), *names)
     if tagged is None:
         inside = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
         tagged = cut(df).select("*", F.spark_partition_id().alias("_part"), inside.alias("_at"))
@@ -238,7 +273,7 @@ def number_rows(df: DataFrame) -> DataFrame:
         "_part", F.coalesce(F.sum("_held").over(ahead), F.lit(0)).alias("_ahead")
     )  # one row per file or partition; the join is left to the optimizer, which sees its size
     return tagged.join(parts, "_part").select(
-        (F.col("_ahead") + F.col("_at") + 1).alias("row_id"), *[F.col(f"`{c}`") for c in df.columns]
+        (F.col("_ahead") + F.col("_at") + 1).alias("row_id"), *names
     )
 
 

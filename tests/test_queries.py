@@ -12,7 +12,6 @@ import pytest
 import __spark_entry__ as registered
 
 QUERIES, SQL = registered.queries(), registered.oracle_sql()
-SLOW_WITHOUT_SQL = {"built_instances", "refreshed_answers"}  # run in test_instances
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +55,7 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
         assert all(close(x, y) for x, y in zip(a, b)), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW_WITHOUT_SQL))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 

@@ -114,3 +114,50 @@ def test_records_are_tagged_and_split(spark, tmp_path):
     counts = {r["template_id"]: r["records"] for r in T.split_results(rows, str(tmp_path / "s")).collect()}
     assert counts == {"a_v0": 2, "b_v0": 1}
     assert spark.read.json(str(tmp_path / "s")).groupBy("template_id").count().count() == 2
+
+
+def test_rows_of_text_files_are_numbered_by_block(spark, tmp_path, monkeypatch):
+    from tabprobe.operators import columns as C
+
+    for f in range(3):
+        with open(tmp_path / f"{f}.csv", "w") as out:
+            out.write("a,b\n")
+            out.writelines(f"k{f * 1000 + i},x{i % 7}\n" for i in range(1000))
+    (tmp_path / "9.csv").write_text("a,b\n")
+
+    def never(df):
+        assert "b" not in df.columns, "the table was copied"
+        return real(df)
+
+    real = C.cut
+    monkeypatch.setattr(C, "cut", never)
+    found = []
+    for size in ("3000", "900", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            table = C.ensure_row_id(T.load_table(spark, str(tmp_path), "a string, b string", "csv"))
+            found.append(sorted((r["row_id"], r["a"], r["b"]) for r in table.collect()))
+            assert sorted((r["row_id"], r["a"], r["b"]) for r in table.collect()) == found[-1]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(i + 1, f"k{i}", f"x{i % 1000 % 7}") for i in range(3000)]
+    assert all(rows == want for rows in found)
+
+
+def test_ids_far_apart_make_ranges_of_like_size(spark):
+    from tabprobe.operators import columns as C
+
+    ids = [*range(20_000), 10**15, -(10**12)]
+    df = spark.createDataFrame([(i, float(i), float(i % 5), None) for i in ids],
+                               "row_id long, up double, wave double, none double")
+    df = df.repartition(7)
+    assert C.has_inversion(df, ["up", "wave", "none"], "row_id") == {
+        "up": False, "wave": True, "none": False}
+    last = df.withColumn("up", F.when(F.col("row_id") == 10**15, -1.0).otherwise(F.col("up")))
+    assert C.has_inversion(last, ["up"], "row_id") == {"up": True}
+    dealt = df.repartitionByRange(8, "row_id").groupBy(F.spark_partition_id()).count()
+    sizes = sorted(r["count"] for r in dealt.collect())
+    assert sizes[-1] <= 4 * sizes[len(sizes) // 2]
+    rows = df.select(F.lit("g").alias("g"), "row_id", "up", "wave")
+    found = C.falls_along(rows, "g", ["row_id"], ["up", "wave"], 30_000_000).first()
+    assert (found["up"], found["wave"]) == (False, True)
