@@ -143,6 +143,11 @@ class PairTable:
         return out
 
 
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each where they fit."""
+    return n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)
+
+
 def write_counts(path: str, n: np.ndarray) -> None:
     """Counts in a byte each; those beyond it lie in a file of their own."""
     large = np.flatnonzero(n >= 255)
@@ -178,24 +183,50 @@ class Counts:
                 out[a:b] = np.where(own[at] == keys[a:b], self.values(s, at), 0)
         return out
 
-    def following(self, heads: np.ndarray) -> np.ndarray:
-        """Sum of the counts behind each of sorted heads, and how many are 1, 2 and more."""
+
+def write_followers(path: str, per: np.ndarray) -> None:
+    """How many continuations of each context occur once, twice and more often, in a byte each.
+
+    Four bits, two and two; contexts beyond that lie in a file of their own.
+    """
+    small = (per[:, 0] < 16) & (per[:, 1] < 4) & (per[:, 2] < 4)
+    code = per[:, 0] + 16 * per[:, 1] + 64 * per[:, 2]
+    large = np.flatnonzero(~small | (code == 255))
+    code[large] = 255
+    write_array(f"{path}.follow.npy", code.astype(np.uint8))
+    write_array(f"{path}.follow.large.npy", np.column_stack([large, per[large]]).astype(np.uint32))
+
+
+class Followers:
+    """Per context of two words: the sum of the counts behind it, and how many are 1, 2 and more.
+
+    Contexts are places of bigrams. The sum is the bigram's own count, as every occurrence is
+    followed by a token; the numbers were counted once, when the trigrams were merged. A lookup
+    reads a few bytes per context, however many continuations it has.
+    """
+
+    def __init__(self, folder: str, pairs: PairTable, raw: Counts):
+        self.base, self.raw = pairs.base, raw
+        self.codes, self.large = (
+            [mapped(f"{folder}/pairs/{s}.follow{end}.npy") if len(part) else None
+             for s, part in enumerate(pairs.parts)] for end in ("", ".large"))
+
+    def of(self, heads: np.ndarray) -> np.ndarray:
+        """Rows of sum, n1, n2, n3+ for sorted places."""
         out = np.zeros((len(heads), 4), np.int64)
-        low = heads.astype(np.uint64) << _SHIFT
-        high = (heads + 1).astype(np.uint64) << _SHIFT
-        for s, keys in enumerate(self.keys):
-            if keys is None:
-                continue
-            a, b = (int(np.searchsorted(x, y, side="right"))
-                    for x, y in ((high, keys[0]), (low, keys[-1])))
+        cut = np.searchsorted(heads, self.base)
+        for s, (a, b) in enumerate(zip(cut, cut[1:])):
             if b <= a:
                 continue
-            first = np.searchsorted(keys, low[a:b])
-            size = np.searchsorted(keys, high[a:b]) - first
-            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            n, row = self.values(s, at), np.repeat(np.arange(a, b), size)
-            for k, v in enumerate((n, n == 1, n == 2, n >= 3)):
-                out[:, k] += np.bincount(row, weights=v, minlength=len(heads)).astype(np.int64)
+            at = heads[a:b] - self.base[s]
+            code = np.asarray(self.codes[s][at]).astype(np.int64)
+            out[a:b] = np.stack(
+                [self.raw.values(s, at), code & 15, code >> 4 & 3, code >> 6], axis=1)
+            rows = a + np.flatnonzero(code == 255)
+            if len(rows):
+                large = self.large[s]
+                spot = np.searchsorted(large[:, 0], heads[rows] - self.base[s])
+                out[rows, 1:] = large[spot, 1:]
         return out
 
 
@@ -273,7 +304,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
         keys, n = merged(rows)
         shard = int(rows["shard"].iloc[0])
         write_array(f"{folder}/words/{shard}.npy", keys)
-        write_array(f"{folder}/words/{shard}.count.npy", n)
+        write_array(f"{folder}/words/{shard}.count.npy", narrow(n))
         return pd.DataFrame({"shard": [shard], "size": [len(keys)], "total": [int(n.sum())]})
 
     found = (texts.mapInArrow(count_words, BLOBS).groupBy("shard")
@@ -336,7 +367,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
         write_array(f"{folder}/bigrams/{shard}.npy", keys)
         write_counts(f"{folder}/bigrams/{shard}", n)
         ends, of_end = summed(keys & _LOW, np.ones(len(keys), np.int64))
-        out = by_context(keys, n)
+        out = by_context(keys, n) if order == 2 else []  # order 3 needs those of continuations
         out += by_words("ending", ends.astype(np.int64), of_end[:, None])
         out.append({"part": -1, "kind": f"{shard}:{len(keys)}", "places": b"",
                     "numbers": planes(np.array(count_of_counts(n), np.uint64))})
@@ -357,8 +388,9 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
                 per[at] += values.reshape(-1, 4)
             else:
                 endings[at] += values
-        write_array(f"{folder}/contexts/{part}.npy", per)
-        write_array(f"{folder}/endings/{part}.npy", endings.astype(np.int64))
+        if order == 2:
+            write_array(f"{folder}/contexts/{part}.npy", narrow(per))
+        write_array(f"{folder}/endings/{part}.npy", narrow(endings))
         n = [*count_of_counts(endings), int((endings >= 3).sum())]
         return pd.DataFrame({"part": [part], "counts": [n], "sizes": [""]})
 
@@ -406,13 +438,19 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
         write_array(f"{folder}/trigrams/{shard}.npy", keys)
         write_counts(f"{folder}/trigrams/{shard}", n)
         table = pair_table()
+        head = (keys >> _SHIFT).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, head[1:] != head[:-1]][:len(head)])
+        per = np.stack([np.add.reduceat(x, first) for x in (n == 1, n == 2, n >= 3)], axis=1)
         middle = table.last_words((keys >> _SHIFT).astype(np.int64))
         ends = table.places((middle << _SHIFT) | (keys & _LOW)).astype(np.uint64)
         ends, of_end = summed(ends, np.ones(len(ends), np.int64))
-        cut = np.searchsorted(ends, table.base.astype(np.uint64))
-        out = [{"part": s, "kind": "ending", "places": packed(ends[a:b]),
-                "numbers": planes(of_end[a:b].astype(np.uint64))}
-               for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        out = []
+        for kind, places, numbers in (("ending", ends, of_end[:, None]),
+                                      ("follow", head[first].astype(np.uint64), per)):
+            cut = np.searchsorted(places, table.base.astype(np.uint64))
+            out += [{"part": s, "kind": kind, "places": packed(places[a:b]),
+                     "numbers": planes(np.ascontiguousarray(numbers[a:b].astype(np.uint64)).ravel())}
+                    for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
         out.append({"part": -1, "kind": f"{shard}:{len(keys)}", "places": b"",
                     "numbers": planes(np.array(count_of_counts(n), np.uint64))})
         return pd.DataFrame(out)
@@ -424,10 +462,16 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
         table = pair_table()
         keys = np.asarray(table.parts[part])
         followed = np.zeros(len(keys), np.int64)
+        behind = np.zeros((len(keys), 3), np.int64)
         for kind, places, numbers in zip(rows["kind"], rows["places"], rows["numbers"]):
-            if kind == "ending":
+            if kind in ("ending", "follow"):
                 at = unpacked(places).astype(np.int64) - table.base[part]
-                followed[at] += unplaned(numbers, np.uint64).astype(np.int64)
+                values = unplaned(numbers, np.uint64).astype(np.int64)
+                if kind == "ending":
+                    followed[at] += values
+                else:
+                    behind[at] += values.reshape(-1, 3)
+        write_followers(f"{folder}/pairs/{part}", behind)
         at = np.flatnonzero((keys >> _SHIFT) == np.uint64(begin))
         raw = Counts(f"{folder}/bigrams", f"{folder}/bigrams", splitters, bigrams)
         followed[at] = raw.values(part, at)
@@ -447,7 +491,7 @@ def train(docs: DataFrame, shards: int | None = None, order: int = 2) -> BigramM
         for places, numbers in zip(rows["places"], rows["numbers"]):
             at = unpacked(places).astype(np.int64) - base[part]
             per[at] += unplaned(numbers, np.uint64).astype(np.int64).reshape(-1, 4)
-        write_array(f"{folder}/heads/{part}.npy", per)
+        write_array(f"{folder}/heads/{part}.npy", narrow(per))
         return pd.DataFrame({"part": [part], "counts": [[0] * 4], "sizes": [""]})
 
     blobs = "part int, kind string, places binary, numbers binary"
@@ -488,6 +532,8 @@ class Scorer:
             self.pairs = PairTable(folder, model.splitters, model.bigrams)
             self.trigrams = Counts(f"{folder}/trigrams", f"{folder}/trigrams",
                                    model.trigram_splitters, model.trigrams)
+            raw = Counts(f"{folder}/bigrams", f"{folder}/bigrams", model.splitters, model.bigrams)
+            self.followers = Followers(folder, self.pairs, raw)
         self.distinct = sum(model.bigrams)
 
     def at(self, parts: list[np.ndarray], places: np.ndarray, width: int = 1) -> np.ndarray:
@@ -534,7 +580,7 @@ class Scorer:
             head = contexts(pair, n, -1)
             has = head >= 0
             heads, to_head = np.unique(head[has], return_inverse=True)
-            per, d = self.trigrams.following(heads), model.discounts[2]
+            per, d = self.followers.of(heads), model.discounts[2]
             size = np.maximum(per[:, 0], 1)
             rest = np.where(per[:, 0] > 0, per[:, 1:] @ np.asarray(d) / size, 1.0)
             seen, both = np.zeros(len(places), np.int64), has & (places >= 0)

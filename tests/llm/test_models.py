@@ -342,6 +342,7 @@ def test_scores_of_the_language_model(documents, prose, shards):
 def test_scores_of_order_three(documents, prose, shards):
     """The same model with dictionaries: bigrams count by the words before them."""
     rows = [r for r in prose if r[0] != 109] + [(200 + i, "the cat sat " * 40) for i in range(20)]
+    rows += [(301 + 5 * i, f"qq ww x{i // 2} qq ww y{i // 3} qq ww z{i}") for i in range(60)]
     train = [t for i, t in rows if i is not None and i % 5]
     docs = documents(rows)
     model = language_model.train(docs.filter("doc_id % 5 <> 0"), shards, order=3)
@@ -388,6 +389,41 @@ def test_scores_of_order_three(documents, prose, shards):
         assert math.isclose(sum(chance(context, w) for w in [*endings, "never"]), 1, rel_tol=1e-9)
 
 
+def test_continuations_are_looked_up_not_unfolded(documents):
+    """What scoring a text reads of a context does not grow with its continuations."""
+    docs = documents([(1 + 5 * i, f"aa bb c{i}") for i in range(3_000)])
+    model = language_model.train(docs, 4, order=3)
+    scorer = language_model.Scorer(model)
+    asked = []
+
+    class Watched:
+        def __init__(self, part):
+            self.part = part
+
+        def __getitem__(self, at):
+            asked.append(np.size(at))
+            return self.part[at]
+
+    scorer.followers.codes = [Watched(p) for p in scorer.followers.codes]
+    scorer.trigrams.counts = [Watched(p) for p in scorer.trigrams.counts]
+    from tabprobe.llm.language_model import tokens_of
+    batch = documents([(1, "aa bb c7 aa bb")]).toArrow().to_batches()[0]
+    for _, _, tokens, n in tokens_of(batch):
+        scorer.log10(tokens, n)
+    assert 0 < sum(asked) <= 2 * 6
+
+
+def test_a_worker_holds_the_files_of_one_run():
+    from tabprobe.llm import token_counts
+
+    before = dict(token_counts._held)
+    for run in range(3):
+        for kind in ("words", "pairs", "scorer"):
+            assert token_counts.held(kind, f"folder{run}", lambda: [run]) == [run]
+            assert token_counts.held(kind, f"folder{run}", lambda: ["other"]) == [run]
+    assert len(set(token_counts._held) - set(before)) <= 3
+
+
 def test_frequent_pairs_are_counted_beyond_a_byte(documents):
     rows = [(i, "the cat " * 40) for i in range(20)]
     model = language_model.train(documents(rows), 3)
