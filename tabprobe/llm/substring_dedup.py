@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,14 +181,15 @@ class Repeated:
         return out[back]
 
 
-def induced(lcp: np.ndarray, left: np.ndarray, highs: np.ndarray, length: int) -> np.ndarray:
+def induced(lcp: np.ndarray, left: np.ndarray, highs: np.ndarray, length: int,
+            folder: str | None = None) -> np.ndarray:
     """For each sorted anchor and each step before it, whether a repeated string begins there.
 
     lcp: common prefix with the anchor before it in sorted order, -1 where another group begins;
     left: bytes before each anchor, nearest first; highs: how many of them there are.
     """
     n, steps = left.shape
-    found = _array((n, steps + 1), bool)
+    found = _array((n, steps + 1), bool, folder)
     alive, common = np.arange(n), lcp.astype(np.int32)
     for step in range(steps + 1):
         if step:
@@ -217,15 +218,18 @@ def induced(lcp: np.ndarray, left: np.ndarray, highs: np.ndarray, length: int) -
     return found
 
 
-def _array(shape: tuple[int, ...], kind) -> np.ndarray:
-    """Zeros; in an unnamed temporary file if there are many."""
-    if shape[0] <= IN_MEMORY:
+def _array(shape: tuple[int, ...], kind, folder: str | None) -> np.ndarray:
+    """Zeros; if there are many, in a file of the shared folder that nothing else can name."""
+    if shape[0] <= IN_MEMORY or folder is None:
         return np.zeros(shape, kind)
-    with tempfile.TemporaryFile() as file:
-        return np.memmap(file, kind, "w+", shape=shape)
+    path = f"{folder}/scratch-{uuid.uuid4().hex}"
+    found = np.memmap(path, kind, "w+", shape=shape)
+    os.unlink(path)  # it goes with the last array that maps it, or with its task
+    return found
 
 
-def matrix(strings: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+def matrix(strings: pa.Array, width: int, backwards: bool,
+           folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings as rows of a matrix, filled up with 0, and their sizes."""
     strings = strings.combine_chunks() if isinstance(strings, pa.ChunkedArray) else strings
     data, offsets = bytes_of(strings)
@@ -234,12 +238,12 @@ def matrix(strings: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray,
     at = np.arange(len(data)) - np.repeat(offsets[:-1], size)
     if backwards:
         at = np.repeat(size, size) - 1 - at
-    out = _array((len(size), width), np.uint8)
+    out = _array((len(size), width), np.uint8, folder)
     out[row, at] = data
     return out, size
 
 
-def _induce(rows: pa.Table, length: int) -> pa.Table:
+def _induce(rows: pa.Table, length: int, folder: str | None = None) -> pa.Table:
     """Repeated stretches (high, low, lo, hi) of some whole groups of sorted anchors.
 
     Anchors with all the same bytes around them are one, and repeated throughout.
@@ -248,7 +252,7 @@ def _induce(rows: pa.Table, length: int) -> pa.Table:
     kind = rows.column("kind").to_numpy()
     lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
     anchors = kind == ANCHOR
-    right, size = matrix(rows.column("right"), length, False)
+    right, size = matrix(rows.column("right"), length, False, folder)
     n = len(key)
     whole = np.minimum(size[1:], size[:-1])
     differ = right[1:] != right[:-1]
@@ -256,7 +260,7 @@ def _induce(rows: pa.Table, length: int) -> pa.Table:
     common = np.minimum(common, whole)
     lcp = np.full(n, -1, np.int64)
     lcp[1:] = np.where((key[1:] == key[:-1]) & anchors[1:] & anchors[:-1], common, -1)
-    left, highs = matrix(rows.column("left"), length - length // 2, True)
+    left, highs = matrix(rows.column("left"), length - length // 2, True, folder)
     equal = np.zeros(n, bool)  # the same bytes as the one before
     equal[1:] = ((lcp[1:] >= 0) & (size[1:] == size[:-1]) & (common == size[1:])
                  & (highs[1:] == highs[:-1]) & (left[1:] == left[:-1]).all(axis=1))
@@ -266,7 +270,7 @@ def _induce(rows: pa.Table, length: int) -> pa.Table:
                      & (key[1:] == key[:-1]))
     twice |= same_text | np.r_[same_text[1:], False]
     one = np.flatnonzero(anchors & ~equal)
-    found = induced(lcp[one], left[one], highs[one], length)
+    found = induced(lcp[one], left[one], highs[one], length, folder)
     edge = np.zeros((len(one), found.shape[1] + 2), np.int8)
     edge[:, 1:-1] = found
     step = np.diff(edge, axis=1)
@@ -412,11 +416,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, shards: int | None = None
             key = rows.column("key").to_numpy()
             cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
             if cut:
-                yield from _shards(_induce(rows.slice(0, cut), length), shards)
+                yield from _shards(_induce(rows.slice(0, cut), length, folder), shards)
             waiting = rows.slice(cut).to_batches()
             n = len(rows) - cut
         if n:
-            yield from _shards(_induce(pa.Table.from_batches(waiting), length), shards)
+            yield from _shards(_induce(pa.Table.from_batches(waiting), length, folder), shards)
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
