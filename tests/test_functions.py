@@ -120,3 +120,22 @@ def test_grading_rules(spark, fmt, expected, answer, grade):
         "answer_format string, expected_answer string, model_answer string",
     )
     assert G.grade(df).first()["grade"] == grade
+
+
+@pytest.mark.parametrize("dof", [1, 2, 5, 30, 298, 14_998])
+@pytest.mark.parametrize("f_stat", [1e-6, 0.3, 1.0, 3.84, 12.5, 40.0])
+def test_tail_of_f_is_its_integral(f_stat, dof):
+    """P(F(1, dof) > f) to 1e-8, against Simpson's rule over the angle of Student's t."""
+    import math
+
+    import numpy as np
+
+    from tabprobe.operators.moments import _t_tail
+
+    angle = np.linspace(math.atan(math.sqrt(f_stat / dof)), math.pi / 2, 400_001)
+    density = np.cos(angle) ** (dof - 1)
+    weights = np.ones(len(angle))
+    weights[1:-1:2], weights[2:-1:2] = 4, 2
+    area = (weights * density).sum() * (angle[1] - angle[0]) / 3
+    scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
+    assert _t_tail(f_stat, dof) == pytest.approx(2 * scale * area, abs=1e-8)
