@@ -24,7 +24,8 @@ from tabprobe.llm.common import bytes_of, chunks, partitions_of, texts_of
 from tabprobe.llm.letters import frame
 from tabprobe.llm.token_counts import held
 from tabprobe.llm.tokens import (
-    mapped, mounted_folder, packed, planes, summed, unpacked, unplaned, word_hashes, write_array,
+    let_go, mapped, mounted_folder, packed, planes, summed, unpacked, unplaned, word_hashes,
+    write_array,
 )
 
 #: Hash of the end token; hashes of words are taken to be others.
@@ -109,6 +110,7 @@ class WordTable:
             if len(own) and len(part):
                 at = np.minimum(np.searchsorted(part, own), len(part) - 1)
                 out[cut[s]:cut[s + 1]] = np.where(part[at] == own, at + self.base[s], -1)
+                let_go(part)
         return out[back]
 
 
@@ -131,6 +133,7 @@ class PairTable:
             if len(own) and len(part):
                 at = np.minimum(np.searchsorted(part, own), len(part) - 1)
                 out[a:b] = np.where(part[at] == own, at + self.base[s], -1)
+                let_go(part)
         return out[back]
 
     def last_words(self, places: np.ndarray) -> np.ndarray:
@@ -140,6 +143,7 @@ class PairTable:
         for s, (a, b) in enumerate(zip(cut, cut[1:])):
             if b > a:
                 out[a:b] = self.parts[s][places[a:b] - self.base[s]] & _LOW
+                let_go(self.parts[s])
         return out
 
 
@@ -181,6 +185,8 @@ class Counts:
                 own = self.keys[s]
                 at = np.minimum(np.searchsorted(own, keys[a:b]), len(own) - 1)
                 out[a:b] = np.where(own[at] == keys[a:b], self.values(s, at), 0)
+                for part in (own, self.counts[s], self.large[s]):
+                    let_go(part)
         return out
 
 
@@ -227,6 +233,8 @@ class Followers:
                 large = self.large[s]
                 spot = np.searchsorted(large[:, 0], heads[rows] - self.base[s])
                 out[rows, 1:] = large[spot, 1:]
+            for part in (self.codes[s], self.large[s], self.raw.counts[s], self.raw.large[s]):
+                let_go(part)
         return out
 
 
@@ -545,6 +553,7 @@ class Scorer:
         for s, (a, b) in enumerate(zip(cut, cut[1:])):
             if b > a and parts[s] is not None:
                 out[a:b] = parts[s][places[a:b] - base[s]].reshape(b - a, width)
+                let_go(parts[s])
         return out
 
     def log10(self, tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
