@@ -31,7 +31,7 @@ from tabprobe.llm.tokens import (
 #: Hash of the end token; hashes of words are taken to be others.
 END = np.uint64(0x8000000000000001)
 #: Different entries that a task holds before it sends them on.
-HELD_ENTRIES = 3_000_000
+HELD_ENTRIES = 1_000_000
 #: Bounds of the sample that splitters between shards come from.
 SPLITTER_DOCS, SPLITTER_KEYS = 2_000, 200_000
 
