@@ -263,3 +263,21 @@ def test_levene_tail_probabilities():
     assert M._t_tail(4.0, 10) == pytest.approx(0.0733880347707, abs=1e-10)
     assert M._t_tail(3.841458820694124, 1e7) == pytest.approx(0.05, abs=1e-6)
     assert M._t_tail(0.0, 5) == 1.0
+
+
+def test_row_ids_are_counted_in_tasks_of_a_bounded_number_of_rows(spark, sf_dir, monkeypatch):
+    from suite.column_queries import row_ids_added
+    from tabprobe.operators import columns as C
+
+    monkeypatch.setattr(C, "_ROW_BLOCK", 500)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    found = row_ids_added(spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-n // 500)}), REPARTITION_BY_NUM" in plan
+    assert tuple(found.first()) == (n, 1, n, n, n * (n + 1) // 2)
+
+
+def test_a_repeated_number_is_no_row_id(spark):
+    df = spark.createDataFrame([(i, i if i != 5 else 4) for i in range(1, 9)], "a long, b long")
+    assert ensure_row_id(df.select("b", "a")).columns == ["b", "row_id"]
+    assert ensure_row_id(df.select("b")).columns == ["row_id", "b"]
