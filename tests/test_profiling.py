@@ -81,3 +81,19 @@ def test_sample_does_not_depend_on_the_prefilter(small, monkeypatch):
     plain = {tuple(r) for r in column_sample({"s": small}, "row_id", 5).collect()}
     monkeypatch.setattr(profiling, "_PREFILTER_ROWS", 10)
     assert {tuple(r) for r in column_sample({"s": small.repartition(4)}, "row_id", 5).collect()} == plain
+
+
+def test_cells_are_looked_at_without_a_sort_and_shuffled_once(spark, small):
+    found_ = profile_all({"a": small, "b": small.select("row_id", "agree")})
+    found_.collect()
+    plan = found_._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ObjectHashAggregate" not in plan
+    assert "ReusedExchange" in plan
+
+
+def test_spellings_of_true_and_false_are_counted(spark):
+    few, many = ["true", "T", "yes", "y", "no", "N"], ["true", "t", "yes", "y", "no", "n", "off"]
+    rows = [(i, few[i % 6], many[i % 7]) for i in range(42)]
+    df = spark.createDataFrame(rows, "row_id bigint, few string, many string")
+    got = {r["column"]: r["dtype"] for r in profile(df, "d").collect()}
+    assert (got["few"], got["many"]) == ("bool", "string")
