@@ -97,3 +97,26 @@ def test_spellings_of_true_and_false_are_counted(spark):
     df = spark.createDataFrame(rows, "row_id bigint, few string, many string")
     got = {r["column"]: r["dtype"] for r in profile(df, "d").collect()}
     assert (got["few"], got["many"]) == ("bool", "string")
+
+
+def test_few_values_are_sorted_for_random_slots(spark):
+    import hashlib
+
+    from tabprobe.plans.matching import pick_values
+
+    values = spark.range(20_000).selectExpr("'d' as dataset", "'c' as `column`",
+                                            "cast(id % 9000 as string) as value")
+    needed = spark.createDataFrame(
+        [("d", "t", f"S{i}", "c", "random", i) for i in (1, 2, 3)],
+        "dataset string, template_id string, slot string, `column` string, position string, turn int")
+    picked = pick_values(needed, lambda pairs: values, 5)
+    order = sorted((hashlib.md5(f"5:value:d|t|c|{i}".encode()).hexdigest(), str(i))
+                   for i in range(9000))
+    assert {(r["slot"], r["value"]) for r in picked.collect()} == {
+        (f"S{i + 1}", order[i][1]) for i in range(3)}
+    assert "substring(draw" in picked._jdf.queryExecution().analyzed().toString()
+    # what the last window reads is a handful of rows, not one per value
+    from tabprobe.plans import matching as M
+    drawn = spark.createDataFrame([("d", h, v, 3) for h, v in order],
+                                  "g string, draw string, value string, most int")
+    assert 3 <= M._first_buckets(drawn, ["g"]).count() <= 10
