@@ -453,3 +453,42 @@ def test_held_out_texts_of_the_given_table(spark, sf_dir):
     found = [r for r in op1_language_id(spark, sf_dir).collect() if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id] for r in found) >= 0.95 * len(found)
     assert op3_toxicity(spark, sf_dir).count() == len(truth)
+
+
+def test_words_are_hashed_in_small_parts(monkeypatch):
+    import pyarrow as pa
+
+    from tabprobe.llm import language_model as M
+
+    texts = ["one two  Three", "", None, "x" * 300, "a b", " c\td "] * 40
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    whole = list(M.tokens_of(batch))
+    seen, plain = [], M.word_hashes
+
+    def watched(data, offsets):
+        seen.append(len(data))
+        return plain(data, offsets)
+
+    monkeypatch.setattr(M, "word_hashes", watched)
+    monkeypatch.setattr(M, "HASHED_BYTES", 64)
+    parts = list(M.tokens_of(batch))
+    assert max(seen) == 300 and len(seen) > 40
+    assert len(parts) == len(whole) == 1
+    for a, b in zip(parts[0], whole[0]):
+        assert np.array_equal(a, b)
+
+
+def test_shards_of_trigrams_grow_with_the_corpus(spark, monkeypatch):
+    from tabprobe.llm import language_model as M
+
+    docs = spark.createDataFrame(
+        [(i, " ".join(f"w{(i * 7 + j * j) % 40}" for j in range(30))) for i in range(60)],
+        "doc_id long, text string")
+    few = M.train(docs, shards=2, order=3)
+    monkeypatch.setattr(M, "MERGED_TOKENS", 200)
+    many = M.train(docs, shards=2, order=3)
+    assert len(few.trigrams) == 2 and len(many.trigrams) >= 8
+    assert sum(few.trigrams) == sum(many.trigrams) and few.discounts == many.discounts
+    assert max(many.trigrams) < max(few.trigrams) / 2
+    one, other = ({r.doc_id: r.score for r in M.scored(docs, m).collect()} for m in (few, many))
+    assert one == other
