@@ -492,3 +492,29 @@ def test_shards_of_trigrams_grow_with_the_corpus(spark, monkeypatch):
     assert max(many.trigrams) < max(few.trigrams) / 2
     one, other = ({r.doc_id: r.score for r in M.scored(docs, m).collect()} for m in (few, many))
     assert one == other
+
+
+def test_trigrams_take_few_bytes(spark, tmp_path):
+    from tabprobe.llm import language_model as M
+
+    rng = np.random.default_rng(3)
+    keys = np.unique((rng.integers(7_000, 9_000, 20_000).astype(np.uint64) << np.uint64(32))
+                     | rng.integers(0, 3_000, 20_000).astype(np.uint64))
+    M.write_keys(f"{tmp_path}/0", keys)
+    short = M.ShortKeys(f"{tmp_path}/0")
+    assert short.rows.itemsize == 3  # 11 bits of contexts, 12 of words
+    at, known = short.find(keys)
+    assert known.all() and (at == np.arange(len(keys))).all()
+    other = np.unique(np.r_[keys - np.uint64(1), keys + np.uint64(1), keys[:9] >> np.uint64(32),
+                            keys[:9] + (np.uint64(1) << np.uint64(50)), keys[:9] | np.uint64(1 << 30),
+                            keys[:9] << np.uint64(8), np.uint64(0), ~np.uint64(0)])
+    at, known = short.find(other)
+    assert (known == np.isin(other, keys)).all() and (keys[at[known]] == other[known]).all()
+    for some in (keys, keys[:1], keys[:0], np.array([0, ~np.uint64(0)], np.uint64)):
+        assert (M.unpacked_keys(M.packed_keys(some)) == some).all()
+    docs = spark.createDataFrame(
+        [(i, " ".join(f"w{(i * 7 + j * j * i) % 977}" for j in range(300))) for i in range(60)],
+        "doc_id long, text string")
+    model = M.train(docs, shards=2, order=3)
+    files = [f"{model.folder}/trigrams/{s}.npy" for s in range(2)]
+    assert sum(np.load(f).nbytes for f in files) <= 5 * sum(model.trigrams)
