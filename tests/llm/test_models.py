@@ -518,3 +518,43 @@ def test_trigrams_take_few_bytes(spark, tmp_path):
     model = M.train(docs, shards=2, order=3)
     files = [f"{model.folder}/trigrams/{s}.npy" for s in range(2)]
     assert sum(np.load(f).nbytes for f in files) <= 5 * sum(model.trigrams)
+
+
+def test_every_label_is_learned_from(spark, documents):
+    """A word that only the labelled texts last by hash have, behind 4 300 other toxic ones."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeiourstnlmdp") for _ in range(rng.randint(3, 7)))
+             for _ in range(2000)]
+    last = [r.id for r in spark.range(0, 4_400).orderBy(F.xxhash64(F.lit(3), "id").desc())
+            .limit(60).collect()]
+    rows = [(i, " ".join([*(rng.choice(words) for _ in range(10)),
+                          *(["vilekin" if i in last else "idiot"] if i < 4_400 else [])]))
+            for i in range(5_600)]
+    labels = spark.createDataFrame([(i, int(i < 4_400)) for i, _ in rows],
+                                   "doc_id long, toxic int")
+    model = toxicity.train(labels, documents(rows))
+    assert model.characters.words.total > 0.97 * sum(len(t.split()) for _, t in rows)
+    got = {r.doc_id: r.predicted for r in toxicity.score(
+        documents([(1, "torn vilekin moulder"), (2, "torn aside moulder")]), model).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_near_copies_are_told_in_rounds(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), *map(int, rng.integers(0, 6, 6))) for i in rng.permutation(150)]
+    rows += [(500 + i, *(i + j for j in range(6))) for i in range(6)] + rows[:5]
+    names = [f"h{j}" for j in range(6)]
+    seen, want = set(), set()
+    for doc_id, *own in sorted(rows):
+        keys = set(combinations(enumerate(own), 3))
+        if seen.isdisjoint(keys):
+            want.add(doc_id)
+            seen |= keys
+    table = spark.createDataFrame(rows, ["doc_id", *names])
+    got = [r.doc_id for r in toxicity.unlike(table).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert toxicity.unlike(table.limit(0)).count() == 0
