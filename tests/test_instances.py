@@ -265,3 +265,27 @@ def test_every_group_is_stored(spark, tmp_path):
     name = I.write_instance(spark, str(tmp_path), "d", 1, done, [])
     assert I.read_groups(spark, str(tmp_path), name).count() == len(set(group))
     assert I.discover_instances(spark, str(tmp_path)).first()["bytes"] > 0
+
+
+def test_cells_are_read_in_generated_code(spark):
+    """Reading cells inside a lambda is interpreted, cell by cell; records are unfolded before."""
+    from tabprobe.operators import set_answers
+
+    columns = [("row_id", "bigint", "i", 0), ("x", "double", "f", 0), ("word", "string", "t", 0),
+               ("y", "double", "f", 1)]
+    rows = spark.createDataFrame(
+        [("a", "fi", [i], [float("nan") if i == 3 else i * 0.5, 7.0 - i], [str(i) if i % 2 else "w"])
+         for i in range(1, 7)],
+        "instance string, injector string, _i array<bigint>, _f array<double>, _t array<string>"
+    ).selectExpr("*", "cast(array() as array<date>) as _d", "cast(array() as array<timestamp>) as _s")
+    questions = spark.createDataFrame(
+        [("q", "a", {"OUTCOME_COL": "y"}, None, columns, "row_id")],
+        "question string, instance string, slots map<string,string>,"
+        f" effects struct<id_no_cols: array<string>>, columns array<{S.COLUMN}>, row_key string")
+    cells = set_answers._scored_features(set_answers._Asked(questions, rows, True))
+    assert {(r["name"], r["x"], r["y"]) for r in cells.collect() if r["x"] is not None} == {
+        *(("row_id", float(i), 7.0 - i) for i in range(1, 7)),
+        *(("x", i * 0.5, 7.0 - i) for i in range(1, 7) if i != 3),
+        *(("word", float(i), 7.0 - i) for i in (1, 3, 5))}
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(features" in plan and "explode(transform" not in plan
