@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -558,3 +559,20 @@ def test_near_copies_are_told_in_rounds(spark):
     got = [r.doc_id for r in toxicity.unlike(table).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert toxicity.unlike(table.limit(0)).count() == 0
+
+
+def test_scoring_sorts_no_contexts_again(documents, prose, monkeypatch):
+    """Contexts of a batch are its words and pairs, which are sorted once."""
+    model = language_model.train(documents(prose), 3, order=3)
+    scorer = language_model.Scorer(model)
+    tokens, n = next(iter((t, k) for _, _, t, k in language_model.tokens_of(
+        pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b a b a", "c"]}))))
+    sorts, unique = [], np.unique
+
+    def counted(*args, **more):
+        sorts.append(len(args[0]))
+        return unique(*args, **more)
+
+    monkeypatch.setattr(np, "unique", counted)
+    scorer.log10(tokens, n)
+    assert len(sorts) == 4  # hashes, words, pairs and triples
