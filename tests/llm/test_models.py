@@ -576,3 +576,44 @@ def test_scoring_sorts_no_contexts_again(documents, prose, monkeypatch):
     monkeypatch.setattr(np, "unique", counted)
     scorer.log10(tokens, n)
     assert len(sorts) == 4  # hashes, words, pairs and triples
+
+
+def test_equal_words_are_searched_once(judge, monkeypatch):
+    asked, counts = [], toxicity.Vocabulary.counts
+    monkeypatch.setattr(toxicity.Vocabulary, "counts",
+                        lambda self, hashes: asked.append(len(hashes)) or counts(self, hashes))
+    text = "plain words that come again " * 400
+    assert toxicity.Restorer(judge.characters)([text, text]) == [text, text]
+    assert sum(asked) < 2_000  # of 4 000 words and some 12 000 neighbours of them
+
+
+def test_evidence_is_that_of_the_different_words(judge):
+    texts = ["", None, "Torn m-o-r-o-n torn MORON aside", "aside st upid torntorn $tup1d!! été ab",
+             "12 $$$", "p a t h e t i c pathetically pathetic Moronic"]
+    restore = toxicity.Restorer(judge.characters)
+    seen = [regex.findall(r"\p{L}+", t) for t in restore(texts)]
+    keys = {}
+    for word in {w for words in seen for w in words}:
+        hashed = Words([word])
+        spans = [(0, len(word))] + [(n, n) for n in toxicity.PREFIXES if len(word) >= n]
+        keys[word] = {int(hashed.hashes(np.array([0]), np.array([end]))[0]) ^ mark
+                      for mark, end in spans}
+    known = np.array(sorted(set().union(*keys.values()))[::2], np.uint64)
+    model = toxicity.ToxicityModel(judge.characters, known, np.arange(1.0, len(known) + 1))
+    weight = dict(zip(known.tolist(), model.weights.tolist()))
+    evidence, n = model.evidence(restore.words(texts))
+    assert n.tolist() == [len(words) for words in seen]
+    assert evidence.tolist() == [
+        sum(weight.get(k, 0) for k in set().union(*(keys[w] for w in words))) for words in seen]
+
+
+@pytest.mark.parametrize("words", [0, 1, 30_000])
+def test_the_filter_loses_no_word(spark, words):
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-2**63, 2**63, words)
+    rows = spark.createDataFrame([(int(k), i + 1) for i, k in enumerate(keys)], "word long, n long")
+    known = toxicity.vocabulary(rows)
+    assert known.perhaps(keys.view(np.uint64)).all()
+    assert known.counts(keys.view(np.uint64)).tolist() == list(range(1, words + 1))
+    others = rng.integers(-2**63, 2**63, 10_000).view(np.uint64)
+    assert known.perhaps(others).mean() < 0.2
